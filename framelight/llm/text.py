@@ -96,11 +96,11 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         low = int(row_end)
 
 
-def word_spans(data: np.ndarray, boundary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of words; ``boundary`` holds positions where a row begins."""
+def word_spans(data: np.ndarray, boundary: np.ndarray, letters: np.ndarray = ~SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs of ``letters``; ``boundary`` holds positions where a row begins."""
     n = len(data)
     inside = np.zeros(n + 2, dtype=bool)
-    inside[1:-1] = ~SPACE[data]
+    inside[1:-1] = letters[data]
     cut = np.zeros(n + 1, dtype=bool)
     cut[boundary[boundary <= n]] = True
     starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | cut[:-1]))
@@ -108,13 +108,13 @@ def word_spans(data: np.ndarray, boundary: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, letters: np.ndarray = ~SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of a batch in order, and for each row where its words begin (one more than rows)."""
     hashes, begins = [], []
     for low, high in pieces(data, offsets):
         part = data[low:high]
         inner = offsets[np.searchsorted(offsets, low) : np.searchsorted(offsets, high, side="right")] - low
-        starts, ends = word_spans(part, inner)
+        starts, ends = word_spans(part, inner, letters)
         hashes.append(span_hashes(part, starts, ends, lower))
         begins.append(starts + low)
     if not hashes:
@@ -122,6 +122,15 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[n
     return np.concatenate(hashes), np.searchsorted(np.concatenate(begins), offsets)
 
 
+def sum_by_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` between successive offsets; empty rows give 0."""
+    out = np.zeros(len(offsets) - 1, dtype=np.int64)
+    full = np.flatnonzero(offsets[1:] > offsets[:-1])
+    if len(full):
+        out[full] = np.add.reduceat(values, offsets[full], dtype=np.int64)
+    return out
+
+
 def append_columns(
     df: DataFrame,
     text_col: str,
