@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelight.llm import bpe, langid, mixing, quality, sharding, toxicity
+from framelight.llm import bpe, langid, mixing, quality, sharding, token_counts, toxicity
 
 #: Where the tokenizer files lie; they are never copied.
 TOKENIZERS = os.environ.get("FRAMELIGHT_TOKENIZERS", "/opt/tokenizers")
@@ -33,6 +33,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.count_documents(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken", end_id=50256)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,7 +47,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, f"{TOKENIZERS}/word_bpe_49k.json").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op4_sharding, op5_quality, op6_mixing, op9_toxicity, op10_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op4_sharding, op5_quality, op6_mixing, op7_token_counts, op9_toxicity, op10_bpe)}
 
 ORACLES: dict[str, str] = {
     "op6_mixing": r"""
