@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from framelight.llm import bpe, langid, mixing, quality, sharding, token_counts, toxicity
+from framelight.llm import ann, bpe, langid, mixing, quality, sharding, token_counts, toxicity
 
 #: Where the tokenizer files lie; they are never copied.
 TOKENIZERS = os.environ.get("FRAMELIGHT_TOKENIZERS", "/opt/tokenizers")
@@ -38,6 +39,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_documents(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken", end_id=50256)
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 50 == 0)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,7 +52,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, f"{TOKENIZERS}/word_bpe_49k.json").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op4_sharding, op5_quality, op6_mixing, op7_token_counts, op9_toxicity, op10_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op4_sharding, op5_quality, op6_mixing, op7_token_counts, op8_nearest, op9_toxicity, op10_bpe)}
 
 ORACLES: dict[str, str] = {
     "op6_mixing": r"""
