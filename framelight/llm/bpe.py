@@ -236,7 +236,8 @@ def encode(df: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str =
 
         def batch(column: pa.Array) -> list:
             texts = [t or "" for t in column.to_pylist()]
-            return [pa.array([ids for group in _groups(texts) for ids in encoder.encode_batch(group)], pa.list_(pa.int32()))]
+            parts = [pa.array(encoder.encode_batch(group), pa.list_(pa.int32())) for group in _groups(texts)]
+            return [pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))]
 
         return batch
 

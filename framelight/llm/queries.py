@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelight.llm import ann, bpe, jaccard_join, langid, mixing, quality, sharding, token_counts, toxicity
+from framelight.llm import ann, bpe, jaccard_join, langid, line_dedup, mixing, quality, sharding, token_counts, toxicity
 
 #: Where the tokenizer files lie; they are never copied.
 TOKENIZERS = os.environ.get("FRAMELIGHT_TOKENIZERS", "/opt/tokenizers")
@@ -26,6 +26,11 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs, counts=True).select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text"), 256).alias("text_sha256"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
@@ -56,7 +61,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, f"{TOKENIZERS}/word_bpe_49k.json").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op4_sharding, op5_quality, op6_mixing, op7_token_counts, op8_nearest, op9_toxicity, op10_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_line_dedup, op4_sharding, op5_quality, op6_mixing, op7_token_counts, op8_nearest, op9_toxicity, op10_bpe)}
 
 ORACLES: dict[str, str] = {
     "op2_jaccard_join": r"""
@@ -69,6 +74,25 @@ e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b W
 r AS (SELECT doc_id AS node, doc_id AS reached FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reached)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(reached) AS component_id FROM r GROUP BY node) c USING (doc_id)
+""",
+    "op3_line_dedup": r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents),
+t AS (SELECT doc_id, line_no, line, list_sort(list_distinct(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+'))) AS tokens FROM l),
+s AS (SELECT tokens, min((doc_id, line_no)) AS first_place, len(tokens) AS n, row_number() OVER () AS sid FROM t WHERE len(tokens) > 0 GROUP BY tokens),
+w AS (SELECT sid, n, unnest(tokens) AS token FROM s),
+df AS (SELECT token, count(*) AS df FROM w GROUP BY token),
+r AS (SELECT sid, n, token, row_number() OVER (PARTITION BY sid ORDER BY df, token) AS pos FROM w JOIN df USING (token)),
+p AS (SELECT sid, n, token FROM r WHERE pos <= n - ceil(n * 80 / 100.0) + 1),
+c AS (SELECT DISTINCT x.sid AS a, y.sid AS b FROM p x JOIN p y ON x.token = y.token AND x.sid < y.sid AND 80 * x.n <= 100 * y.n AND 80 * y.n <= 100 * x.n),
+v AS (SELECT a, b FROM c JOIN s x ON x.sid = a JOIN s y ON y.sid = b
+  WHERE 100 * len(list_intersect(x.tokens, y.tokens)) >= 80 * (x.n + y.n - len(list_intersect(x.tokens, y.tokens)))),
+later AS (SELECT DISTINCT CASE WHEN x.first_place > y.first_place THEN a ELSE b END AS sid FROM v JOIN s x ON x.sid = a JOIN s y ON y.sid = b),
+k AS (SELECT t.doc_id, t.line_no, t.line, len(t.tokens) > 0 AND ((t.doc_id, t.line_no) <> s.first_place OR later.sid IS NOT NULL) AS gone
+  FROM t LEFT JOIN s ON t.tokens = s.tokens LEFT JOIN later ON later.sid = s.sid)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT gone), '')) AS text_sha256
+FROM k GROUP BY doc_id
 """,
     "op6_mixing": r"""
 WITH sized AS (
