@@ -1,22 +1,62 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again.
+
+Language ID drops documents without a language; line dedup rewrites texts; the
+near-duplicate stage keeps one document of each class (five words, similarity
+0.8); mixing emits each document as often as its source's rate says; encoding
+replaces the text by its token ids. Null and repeated rows are treated as the
+operators' docstrings say; columns that aren't needed pass through every stage.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from framelight.llm import mixing
+from framelight.llm import bpe, jaccard_join, langid, line_dedup, mixing
+from framelight.llm.queries import TOKENIZERS
 from framelight.llm.storage import materialize
 
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told."""
+    return langid.keep_identified(docs)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that repeat earlier ones; n_chars follows the text."""
+    out = line_dedup.dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return jaccard_join.keep_one(docs, k=5, percent=80)
+
+
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents, each as often as the mix takes it."""
+    """Documents, each as often as the mix takes it."""
     return mixing.emit(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("mix", mix_stage)]
+def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in place of texts."""
+    encoded = bpe.encode(docs, f"{TOKENIZERS}/word_bpe_49k.json")
+    return encoded.withColumn("n_tokens", F.size("ids").cast("long")).drop("text")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_stage),
+    ("line_dedup", line_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("mix", mix_stage),
+    ("bpe", encode_stage),
+]
 
+#: Partial matching and merge lists aren't SQL; the pipeline is tested against a brute-force version.
 ORACLE_SQL: str | None = None
 
 
