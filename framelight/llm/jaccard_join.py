@@ -68,10 +68,10 @@ def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
             own = np.sort(rolled[low : high - k + 1])
             out.append(own[np.append(True, own[1:] != own[:-1])])
         elif high > low:
-            whole = np.uint64(high - low)
-            for h in hashes[low:high]:
-                whole = mix(np.array([whole + h]))[0]
-            out.append(np.array([whole], dtype=np.uint64))
+            whole = np.array([high - low], dtype=np.uint64)
+            for at in range(low, high):
+                whole = mix(whole + hashes[at : at + 1])
+            out.append(whole)
         else:
             out.append(np.zeros(0, dtype=np.uint64))
     return out

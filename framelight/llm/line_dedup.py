@@ -106,8 +106,12 @@ def removed_lines(keyed: DataFrame, percent: int) -> DataFrame:
     return again.union(later).distinct()
 
 
-def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
-    """``docs`` without the lines that repeat earlier ones; ``counts`` adds n_lines and n_removed."""
+def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, drop_emptied: bool = False) -> DataFrame:
+    """``docs`` without the lines that repeat earlier ones.
+
+    ``counts`` adds n_lines and n_removed; ``drop_emptied`` leaves out rows that
+    lost all their words.
+    """
     key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
     keyed = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), key.alias("key"), F.col(text_col).alias("text"))
     removed = removed_lines(keyed, percent).groupBy("key").agg(F.collect_list("line_no").alias("_removed"))
@@ -116,6 +120,8 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     lines = F.split(F.col(text_col), "\n")
     touched = marked.filter("_touched").join(removed, "_key", "left")
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_removed", i)), "\n")
+    if drop_emptied:
+        touched = touched.filter(F.col("_removed").isNull() | F.coalesce(kept.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
     columns = [F.when(F.col("_removed").isNull(), F.col(f"`{c}`")).otherwise(kept).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     n_lines, n_removed = F.coalesce(F.size(lines), F.lit(0)), F.coalesce(F.size("_removed"), F.lit(0))
     more = [F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.when(F.col("_removed").isNull(), 0).otherwise(n_removed).cast("long").alias("n_removed")] if counts else []
