@@ -25,8 +25,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that repeat earlier ones; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs)
+    """Documents without the lines that repeat earlier ones, unless no word is left; n_chars follows the text."""
+    out = line_dedup.dedup_lines(docs, drop_emptied=True)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out
