@@ -6,7 +6,9 @@ within them, has a Jaccard similarity of ``percent`` or more, whether or not
 that line was itself removed. Equal sets fold into their first line; the rest
 join exactly: tokens in order of rarity, only the prefix that similar sets must
 share a token of, positional and length filters in the join, Jaccard verified on
-whole sets. Rarity is the exact count of a token's hash class (``CLASSES`` of
+whole sets. A 64-bit parity mask of each set goes with its prefix: masks of two
+sets differ in no more bits than the sets differ in tokens, so pairs that can't
+be similar end in the join. Rarity is the exact count of a token's hash class (``CLASSES`` of
 them, so the table that is passed around has a fixed size), ties by hash.
 
 Defined results: null text stays null; lines without a word are kept; a text
@@ -32,10 +34,15 @@ _WHITE = r"[\x20\x09-\x0D]+"
 
 def _tokens(line: Column) -> Column:
     """The sorted distinct token hashes of a line."""
-    found = F.filter(F.split(F.lower(line), _WHITE), lambda w: w != "")
+    found = F.array_remove(F.split(F.lower(line), _WHITE), "")
     return F.sort_array(F.array_distinct(F.transform(found, lambda w: F.xxhash64(w))))
 
 
+def _mask(tokens: Column) -> Column:
+    """Bit i: whether an odd number of tokens have i as their low six bits."""
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda m, t: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
+
+
 def _lines(keyed: DataFrame) -> DataFrame:
     """(id, key, line_no, print, n, tokens) of every line with a word."""
     lines = keyed.select("id", "key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -69,15 +76,16 @@ def _maybe(bits: Column, column: str) -> Column:
 def similar_sets(sets: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """(a, b): prints of two sets with their Jaccard similarity at least ``percent``.
 
-    ``sets`` holds (print, n, prefix) with the prefix in order of rarity.
+    ``sets`` holds (print, n, mask, prefix) with the prefix in order of rarity.
     """
     # with fewer tokens than this only equal sets are similar
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 30
-    tokens = sets.filter(F.col("n") >= least).select("print", "n", F.posexplode("prefix").alias("at", "token"))
-    a, b = (tokens.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("print", "n", "at"))) for s in "ab")
+    tokens = sets.filter(F.col("n") >= least).select("print", "n", "mask", F.posexplode("prefix").alias("at", "token"))
+    a, b = (tokens.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("print", "n", "mask", "at"))) for s in "ab")
     by_length = F.expr(f"{percent} * n_a <= 100 * n_b and {percent} * n_b <= 100 * n_a")
     by_position = F.expr(f"{100 + percent} * (1 + least(n_a - at_a - 1, n_b - at_b - 1)) >= {percent} * (n_a + n_b)")
-    pairs = a.join(b, "token").filter((F.col("print_a") < F.col("print_b")) & by_length & by_position).select("print_a", "print_b").distinct()
+    by_mask = F.expr(f"{100 + percent} * bit_count(mask_a ^ mask_b) <= {100 - percent} * (n_a + n_b)")
+    pairs = a.join(b, "token").filter((F.col("print_a") < F.col("print_b")) & by_length & by_position & by_mask).select("print_a", "print_b").distinct()
     pairs = materialize(pairs, "line-pairs")
     needed = materialize(pairs.select(F.col("print_a").alias("print")).union(pairs.select("print_b")).distinct(), "line-prints")
     whole = lines.filter(_maybe(_bits(needed, "print"), "print")).join(needed, "print", "left_semi").groupBy("print").agg(F.first("tokens").alias("tokens"))
@@ -96,10 +104,10 @@ def removed_lines(keyed: DataFrame, percent: int) -> DataFrame:
     length = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
     prefix = F.transform(F.slice(by_rarity, 1, length), lambda x: x["token"])
     place = F.struct("id", "key", "line_no")
-    sets = lines.withColumn("prefix", prefix).groupBy("print", "n").agg(F.min(place).alias("first"), F.count("*").alias("lines"), F.max(place).alias("last"), F.first("prefix").alias("prefix"))
+    sets = lines.withColumn("prefix", prefix).withColumn("mask", _mask(F.col("tokens"))).groupBy("print", "n").agg(F.min(place).alias("first"), F.count("*").alias("lines"), F.max(place).alias("last"), F.first("mask").alias("mask"), F.first("prefix").alias("prefix"))
     sets = materialize(sets, "line-firsts")
     again = lines.select("print", place.alias("place")).join(sets.filter("first <> last").select("print", "first"), "print").filter("place <> first").select("place.key", "place.line_no")
-    similar = similar_sets(sets.select("print", "n", "prefix"), lines, percent)
+    similar = similar_sets(sets.select("print", "n", "mask", "prefix"), lines, percent)
     firsts = [sets.select(F.col("print").alias(s), F.col("first").alias(f"first_{s}")) for s in "ab"]
     ordered = similar.join(firsts[0], "a").join(firsts[1], "b")
     later = ordered.select(F.greatest("first_a", "first_b").alias("place")).distinct().select("place.key", "place.line_no")
