@@ -198,8 +198,12 @@ def _overlap(a: str, b: str) -> Column:
     return F.size(F.array_intersect(a, b)).cast("long")
 
 
-def links(sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) between sets (id, n, shingles, minima) whose components are those of all links."""
+def links(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The regions (id, region) of sets (id, n, shingles, minima), and edges (a, b) between regions.
+
+    A member is linked to its region's pivot, so a link of two members is kept as
+    an edge of their regions: classes are the components of regions.
+    """
     linked = F.expr(f"100 * common >= {percent} * (n_a + n_b - common)")
     distance = F.expr("1 - common / (n_a + n_b - common)")
     radius = 1 - percent / 100
@@ -238,12 +242,15 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     for side in "ab":
         compared = compared.join(extents.select(F.col("id").alias(side), F.col("extent").alias(f"extent_{side}")), side)
     compared = materialize(compared.filter(F.col("is_link") | (F.col("apart") <= radius + F.col("extent_a") + F.col("extent_b") + 1e-9)), "compared")
-    found = joined.select("a", "b").union(compared.filter("is_link").select("a", "b"))
+    at_a, at_b = (regions.select(F.col("id").alias(s), F.col("region").alias(f"region_{s}")) for s in "ab")
+    offered = joined.select("a", "b").join(at_a, "a").join(at_b, "b").select(F.col("region_a").alias("a"), F.col("region_b").alias("b")).filter("a <> b").distinct()
+    found = materialize(offered.union(compared.filter("is_link").select("a", "b")), "region-edges")
+    homes = regions.select("id", "region")
 
     # 5. open regions: members within the windows
     open_pairs = compared.filter(~F.col("is_link") & ((F.col("extent_a") > 0) | (F.col("extent_b") > 0)))
     if open_pairs.isEmpty():
-        return found
+        return homes, found
     labels = materialize(components(found), "settled")
     for side in "ab":
         named = labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
@@ -263,9 +270,10 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     in_a = side_a.select(F.col("mine").alias("p"), F.col("other").alias("q"), F.col("a").alias("x"), F.col("to_own").alias("xp"), F.col("to_other").alias("xq")).join(tokens.withColumnRenamed("member", "x"), "x")
     in_b = side_b.select(F.col("other").alias("p"), F.col("mine").alias("q"), F.col("a").alias("y"), F.col("to_own").alias("yq"), F.col("to_other").alias("yp")).join(tokens.withColumnRenamed("member", "y"), "y")
     near = F.expr(f"abs(xp - yp) <= {radius + 1e-9} and abs(xq - yq) <= {radius + 1e-9}")
-    candidates = in_a.join(in_b, ["p", "q", "token"]).filter(near).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    verified = measured(candidates).filter(linked).select("a", "b")
-    return found.union(side_a.filter("is_link").select("a", "b")).union(side_b.filter("is_link").select("a", "b")).union(verified)
+    candidates = in_a.join(in_b, ["p", "q", "token"]).filter(near).select("p", "q", F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    verified = measured(candidates).filter(linked).select("p", "q")
+    met = [side.filter("is_link").select("mine", "other") for side in (side_a, side_b)]
+    return homes, found.union(met[0]).union(met[1]).union(verified).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,11 +287,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     shared = by_range.groupBy("part").applyInPandas(_shared_in_range, "print long, shared long").groupBy("print").agg(F.sum("shared").alias("shared"))
     able = materialize(sets.join(shared, "print").filter(f"100 * shared >= {percent} * n").select("id"), "able")
     chosen = _only(slim.filter("id is not null"), able, able.count()).dropDuplicates(["id"])
-    found = links(materialize(_sets(chosen, k), "sets"), percent)
-    labels = components(found).withColumnRenamed("node", "id")
-    classes = sets.join(labels, "id", "left").select("print", "n", F.coalesce("label", "id").alias("component_id"))
+    homes, edges = links(materialize(_sets(chosen, k), "sets"), percent)
+    labelled = homes.join(components(edges).withColumnRenamed("node", "region"), "region", "left").select("id", F.coalesce("label", "region").alias("label"))
+    first = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
+    labelled = labelled.join(first, "label").select("id", "component_id")
+    classes = sets.join(labelled, "id", "left").select("print", "n", "component_id", F.col("id").alias("first_id"))
     with_class = each.join(classes, ["print", "n"], "left")
-    return with_class.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    return with_class.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "first_id", "id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
