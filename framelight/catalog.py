@@ -1,10 +1,6 @@
 """All queries of the frame and evidence engine, with their SQL oracles."""
 
-from __future__ import annotations
+from framelight.plans import frame_queries  # noqa: F401
+from framelight.plans.registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
