@@ -14,7 +14,7 @@ embedded AS (SELECT video_id, frame_idx, embedding::DOUBLE[] AS embedding FROM f
 
 
 def quantile(a: str, p: float) -> str:
-    at = f"((len({a}) - 1) * {p})"
+    at = f"((len({a}) - 1) * {p}::DOUBLE)"
     return f"({a}[floor({at})::INT + 1] + ({a}[ceil({at})::INT + 1] - {a}[floor({at})::INT + 1]) * ({at} - floor({at})))"
 
 
