@@ -6,9 +6,10 @@ within them, has a Jaccard similarity of ``percent`` or more, whether or not
 that line was itself removed. Equal sets fold into their first line; the rest
 join exactly: tokens in order of rarity, only the prefix that similar sets must
 share a token of, positional and length filters in the join, Jaccard verified on
-whole sets. A 64-bit parity mask of each set goes with its prefix: masks of two
+whole sets. A parity mask of each set goes with its prefix: masks of two
 sets differ in no more bits than the sets differ in tokens, so pairs that can't
-be similar end in the join. Rarity is the exact count of a token's hash class (``CLASSES`` of
+be similar end in the join. Groups of many similar lines are first compared with
+their leaders, so the join pairs only lines whose fate is open. Rarity is the exact count of a token's hash class (``CLASSES`` of
 them, so the table that is passed around has a fixed size), ties by hash.
 
 Defined results: null text stays null; lines without a word are kept; a text
@@ -38,9 +39,10 @@ def _tokens(line: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(found, lambda w: F.xxhash64(w))))
 
 
-def _mask(tokens: Column) -> Column:
-    """Bit i: whether an odd number of tokens have i as their low six bits."""
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda m, t: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
+def _mask(tokens: Column, shift: int) -> Column:
+    """Bit i: whether an odd number of tokens have i as six of their bits."""
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(t, shift).bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda m, t: m.bitwiseXOR(bit(t)))
 
 
 def _lines(keyed: DataFrame) -> DataFrame:
@@ -73,44 +75,75 @@ def _maybe(bits: Column, column: str) -> Column:
     return word.bitwiseAND(F.expr(f"shiftleft(1L, cast({column} & 63 as int))")) != 0
 
 
+def _may_match(percent: int) -> Column:
+    """What length and masks say about a pair of sets (n, mask, mask2 of sides a and b)."""
+    by_length = F.expr(f"{percent} * n_a <= 100 * n_b and {percent} * n_b <= 100 * n_a")
+    by_mask = F.expr(f"{100 + percent} * (bit_count(mask_a ^ mask_b)) <= {100 - percent} * (n_a + n_b) and {100 + percent} * (bit_count(mask2_a ^ mask2_b)) <= {100 - percent} * (n_a + n_b)")
+    both = F.expr(f"{100 + percent} * (bit_count(mask_a ^ mask_b) + bit_count(mask2_a ^ mask2_b)) <= {100 - percent} * 2 * (n_a + n_b)")
+    return by_length & by_mask & both
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs of prints (a, b) whose sets are similar."""
+    needed = materialize(pairs.select(F.col("a").alias("print")).union(pairs.select("b")).distinct(), "line-prints")
+    whole = lines.filter(_maybe(_bits(needed, "print"), "print")).join(needed, "print", "left_semi").groupBy("print").agg(F.first("tokens").alias("tokens"))
+    whole = materialize(whole, "line-sets")
+    sides = [whole.select(F.col("print").alias(s), F.col("tokens").alias(f"tokens_{s}")) for s in "ab"]
+    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    union = F.size("tokens_a") + F.size("tokens_b") - common
+    return pairs.join(sides[0], "a").join(sides[1], "b").filter(common * 100 >= union * percent).select("a", "b")
+
+
+def similar_to_leaders(sets: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """Prints of sets that resemble the earliest set with the same least or greatest token hash.
+
+    It settles nearly all of a large group of similar lines by one comparison
+    each; the join need not pair what is settled.
+    """
+    keyed = sets.select("print", "n", "mask", "mask2", "first", F.explode(F.array("low", "high")).alias("hash"))
+    leaders = keyed.groupBy("hash").agg(F.min(F.struct("first", "print", "n", "mask", "mask2")).alias("lead"), F.max("print").alias("other")).filter("lead.print <> other")
+    met = keyed.join(leaders, "hash").filter("print <> lead.print")
+    named = met.select(*(F.col(c).alias(f"{c}_b") for c in ("print", "n", "mask", "mask2")), *(F.col(f"lead.{c}").alias(f"{c}_a") for c in ("print", "n", "mask", "mask2")))
+    pairs = named.filter(_may_match(percent)).select(F.col("print_a").alias("a"), F.col("print_b").alias("b")).distinct()
+    return _verified(materialize(pairs, "leader-pairs"), lines, percent).select(F.col("b").alias("print")).distinct()
+
+
 def similar_sets(sets: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """(a, b): prints of two sets with their Jaccard similarity at least ``percent``.
+    """(a, b): prints of two sets with their Jaccard similarity at least ``percent``, one of them open at least.
 
-    ``sets`` holds (print, n, mask, prefix) with the prefix in order of rarity.
+    ``sets`` holds (print, n, mask, mask2, open, prefix) with the prefix in order of rarity.
     """
     # with fewer tokens than this only equal sets are similar
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 30
-    tokens = sets.filter(F.col("n") >= least).select("print", "n", "mask", F.posexplode("prefix").alias("at", "token"))
-    a, b = (tokens.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("print", "n", "mask", "at"))) for s in "ab")
-    by_length = F.expr(f"{percent} * n_a <= 100 * n_b and {percent} * n_b <= 100 * n_a")
+    columns = ["print", "n", "mask", "mask2", "open", "at"]
+    tokens = sets.filter(F.col("n") >= least).select(*columns[:-1], F.posexplode("prefix").alias("at", "token"))
+    a, b = (tokens.select("token", *(F.col(c).alias(f"{c}_{s}") for c in columns)) for s in "ab")
     by_position = F.expr(f"{100 + percent} * (1 + least(n_a - at_a - 1, n_b - at_b - 1)) >= {percent} * (n_a + n_b)")
-    by_mask = F.expr(f"{100 + percent} * bit_count(mask_a ^ mask_b) <= {100 - percent} * (n_a + n_b)")
-    pairs = a.join(b, "token").filter((F.col("print_a") < F.col("print_b")) & by_length & by_position & by_mask).select("print_a", "print_b").distinct()
-    pairs = materialize(pairs, "line-pairs")
-    needed = materialize(pairs.select(F.col("print_a").alias("print")).union(pairs.select("print_b")).distinct(), "line-prints")
-    whole = lines.filter(_maybe(_bits(needed, "print"), "print")).join(needed, "print", "left_semi").groupBy("print").agg(F.first("tokens").alias("tokens"))
-    whole = materialize(whole, "line-sets")
-    sides = [whole.select(F.col("print").alias(f"print_{s}"), F.col("tokens").alias(f"tokens_{s}")) for s in "ab"]
-    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    union = F.size("tokens_a") + F.size("tokens_b") - common
-    return pairs.join(sides[0], "print_a").join(sides[1], "print_b").filter(common * 100 >= union * percent).select(F.col("print_a").alias("a"), F.col("print_b").alias("b"))
+    met = a.join(b, "token").filter((F.col("print_a") < F.col("print_b")) & (F.col("open_a") | F.col("open_b")) & _may_match(percent) & by_position)
+    pairs = materialize(met.select(F.col("print_a").alias("a"), F.col("print_b").alias("b")).distinct(), "line-pairs")
+    return _verified(pairs, lines, percent)
 
 
 def removed_lines(keyed: DataFrame, percent: int) -> DataFrame:
     """(key, line_no) of every line that repeats an earlier one; ``keyed`` holds (id, key, text)."""
     lines = materialize(_lines(keyed), "lines")
     counts = _rarity(lines)
-    by_rarity = F.sort_array(F.transform("tokens", lambda t: F.struct(F.get(counts, F.pmod(t, F.lit(CLASSES)).cast("int")).alias("count"), t.alias("token"))))
+    # count and low half of the hash in one number: its order is that of rarity, and equal tokens have equal numbers
+    rank = lambda t: F.shiftleft(F.get(counts, F.pmod(t, F.lit(CLASSES)).cast("int")), 32) + t.bitwiseAND(F.lit(0xFFFFFFFF))
     length = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    prefix = F.transform(F.slice(by_rarity, 1, length), lambda x: x["token"])
     place = F.struct("id", "key", "line_no")
-    sets = lines.withColumn("prefix", prefix).withColumn("mask", _mask(F.col("tokens"))).groupBy("print", "n").agg(F.min(place).alias("first"), F.count("*").alias("lines"), F.max(place).alias("last"), F.first("mask").alias("mask"), F.first("prefix").alias("prefix"))
+    derived = {"prefix": F.slice(F.sort_array(F.transform("tokens", rank)), 1, length), "mask": _mask(F.col("tokens"), 0), "mask2": _mask(F.col("tokens"), 6), "low": F.element_at("tokens", 1), "high": F.element_at("tokens", -1)}
+    firsts = [F.first(c).alias(c) for c in derived]
+    sets = lines.withColumns(derived).groupBy("print", "n").agg(F.min(place).alias("first"), F.max(place).alias("last"), *firsts)
     sets = materialize(sets, "line-firsts")
     again = lines.select("print", place.alias("place")).join(sets.filter("first <> last").select("print", "first"), "print").filter("place <> first").select("place.key", "place.line_no")
-    similar = similar_sets(sets.select("print", "n", "mask", "prefix"), lines, percent)
-    firsts = [sets.select(F.col("print").alias(s), F.col("first").alias(f"first_{s}")) for s in "ab"]
-    ordered = similar.join(firsts[0], "a").join(firsts[1], "b")
-    later = ordered.select(F.greatest("first_a", "first_b").alias("place")).distinct().select("place.key", "place.line_no")
+    settled = materialize(similar_to_leaders(sets, lines, percent), "settled")
+    by_leader = sets.select("print", "first").join(settled, "print", "left_semi").select("first.key", "first.line_no")
+    flagged = sets.join(settled.withColumn("_settled", F.lit(True)), "print", "left").withColumn("open", F.col("_settled").isNull())
+    similar = materialize(similar_sets(flagged, lines, percent), "similar-lines")
+    places = [sets.select(F.col("print").alias(s), F.col("first").alias(f"first_{s}")) for s in "ab"]
+    ordered = similar.join(places[0], "a").join(places[1], "b")
+    later = ordered.select(F.greatest("first_a", "first_b").alias("place")).distinct().select("place.key", "place.line_no").union(by_leader)
     return again.union(later).distinct()
 
 
