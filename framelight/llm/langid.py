@@ -134,7 +134,9 @@ def compile_model(stats: Counts) -> Model:
     def tally(order: int, chosen: np.ndarray) -> np.ndarray:
         """Counts of each symbol after each chosen context of this order."""
         context = (stats.grams >> 8) & ((1 << 8 * order) - 1)
-        slot = np.minimum(np.searchsorted(chosen, context), max(len(chosen) - 1, 0))
+        if not len(chosen):
+            return np.zeros((0, n_symbols, n_lang))
+        slot = np.minimum(np.searchsorted(chosen, context), len(chosen) - 1)
         known = chosen[slot] == context
         out = np.zeros((len(chosen) * n_symbols, n_lang))
         np.add.at(out, slot[known] * n_symbols + last[known], stats.counts[known])
