@@ -30,12 +30,17 @@ from framelight.llm.storage import materialize
 CLASSES = 1 << 15
 #: 64-bit words of the bit sets that spare unaffected rows a shuffle.
 BIT_WORDS = 1 << 16
-_WHITE = r"[\x20\x09-\x0D]+"
+#: White space other than the blank and the line break.
+_OTHER_WHITE = "\t\x0b\x0c\r"
 
 
 def _tokens(line: Column) -> Column:
     """The sorted distinct token hashes of a line."""
-    found = F.array_remove(F.split(F.lower(line), _WHITE), "")
+    blank = F.lit(False)
+    for c in _OTHER_WHITE:
+        blank = blank | line.contains(c)
+    spaced = F.when(blank, F.translate(line, _OTHER_WHITE, " " * len(_OTHER_WHITE))).otherwise(line)
+    found = F.array_remove(F.split(F.lower(spaced), " "), "")
     return F.sort_array(F.array_distinct(F.transform(found, lambda w: F.xxhash64(w))))
 
 
@@ -48,7 +53,8 @@ def _mask(tokens: Column, shift: int) -> Column:
 def _lines(keyed: DataFrame) -> DataFrame:
     """(id, key, line_no, print, n, tokens) of every line with a word."""
     lines = keyed.select("id", "key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.select("id", "key", "line_no", _tokens(F.col("line")).alias("tokens"))
+    # exploding an array of one keeps the tokens from being worked out again for every use
+    lines = lines.select("id", "key", "line_no", F.explode(F.array(_tokens(F.col("line")))).alias("tokens"))
     return lines.select("id", "key", "line_no", F.xxhash64("tokens").alias("print"), F.size("tokens").alias("n"), "tokens").filter("n > 0")
 
 
