@@ -20,8 +20,8 @@ class Config:
     beta: float = 0.3
     gamma: float = 0.3
     retrieval_strategy: str = "hybrid"
-    cerberus_high_thresh: float = 0.70
-    cerberus_low_thresh: float = 0.35
+    verify_high_thresh: float = 0.70
+    verify_low_thresh: float = 0.35
     disable_nli: bool = False
     residual_weight: float = 0.5
     motion_weight: float = 0.3
@@ -46,7 +46,7 @@ class Config:
         signal = (self.residual_weight, self.motion_weight, self.entropy_weight)
         keep = [v for k, v in dataclasses.asdict(self).items() if k.startswith("l1_w_")]
         for ok, what in (
-            (self.disable_nli or 0 < self.cerberus_low_thresh < self.cerberus_high_thresh < 1, "verification thresholds must satisfy 0 < low < high < 1"),
+            (self.disable_nli or 0 < self.verify_low_thresh < self.verify_high_thresh < 1, "verification thresholds must satisfy 0 < low < high < 1"),
             (self.l1_capacity > 0, "l1_capacity must be positive"),
             (min(signal) >= 0 and sum(signal) > 0, "signal weights must be non-negative with a positive sum"),
             (self.peak_distance > 0, "peak_distance must be positive"),

@@ -171,6 +171,6 @@ def test_config(tmp_path):
     path = tmp_path / "c.json"
     path.write_text('{"alpha": 0.9, "unknown": 1}')
     assert load_config(str(path)).alpha == 0.9 and load_config(str(tmp_path / "none")) == Config()
-    for bad in ({"cerberus_low_thresh": 0.9}, {"l1_w_action": 0.9}, {"retrieval_strategy": "x"}, {"peak_distance": 0}):
+    for bad in ({"verify_low_thresh": 0.9}, {"l1_w_action": 0.9}, {"retrieval_strategy": "x"}, {"peak_distance": 0}):
         with pytest.raises(ValueError):
             Config(**bad).validate()
