@@ -25,7 +25,8 @@ connected components of the links.
 
 Defined results: null, empty and wordless texts have 0 shingles and are classes
 of their own; texts with fewer words than a shingle have one, the whole sequence;
-repeated rows with one id give one result row each; a null id stays a row of its
+repeated rows with one id give one result row each, and if their texts differ, one
+of the texts stands for the id when links are sought; a null id stays a row of its
 own, with a null class; extra columns are dropped by :func:`near_duplicates` and
 kept by :func:`keep_one`, which keeps the row with the smallest id of a class
 and, among rows with that id, one; rows with a null id are kept.
@@ -34,6 +35,7 @@ and, among rows with that id, one; rows with a null id are kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -43,15 +45,20 @@ from pyspark.sql import functions as F
 
 from framelight.llm.components import components
 from framelight.llm.storage import materialize
-from framelight.llm.text import buffers, mix, words
+from framelight.llm.text import buffers, mix, slices, words
 
-#: Random orders whose minima choose pivots.
-ORDERS = 4
+#: Random orders whose minima choose pivots, and how many of them a round takes.
+ORDERS = 8
+ORDERS_A_ROUND = 4
 #: Hash classes in which shingles are counted to order them by rarity; a fixed size, so it may be broadcast.
 RARITY_CLASSES = 1 << 18
+#: Sets of up to so many shingles carry a parity mask of so many 64-bit words, and up to so many earlier tokens.
+MASKED = 512
+MASK_WORDS = 8
+EARLIER = 32
 #: Largest number of ids that goes into a broadcast filter (two bytes each); beyond it rows are shuffled.
 FILTER_IDS = 4_000_000
-_SEEDS = mix(np.arange(1, 17, dtype=np.uint64))
+_SEEDS = mix(np.arange(1, 65, dtype=np.uint64))
 
 
 def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
@@ -86,9 +93,7 @@ def _survey(docs: DataFrame, k: int, ranges: int) -> DataFrame:
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             sets = shingle_sets(batch.column(1), k)
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
             prints = np.array([_fingerprint(s) for s in sets], dtype=np.int64)
@@ -163,8 +168,8 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [s for s in shingle_sets(batch.column(1), k)]
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            sets = shingle_sets(batch.column(1), k)
             minima = [[int(mix(s ^ seed).min().astype(np.int64)) for seed in _SEEDS[-ORDERS:]] if len(s) else [] for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(minima, pa.list_(pa.int64()))],
@@ -175,23 +180,36 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _prefixes(regions: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
-    """(token, id, region, n): the rare-first prefix of each set, which any two linked sets share a part of."""
+    """(token, rest, id, region, n): the rare-first prefix of each set, which any two linked sets share a part of; rest counts the tokens after.
+
+    Small sets carry a parity mask of all their shingles (two masks differ in no
+    more bits than the sets differ in shingles) and the prefix tokens before each
+    one, so that a pair can be told apart, and taken at its first common token only.
+    """
     shared = regions.sparkSession.sparkContext.broadcast(rarity)
     id_type = regions.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, sizes = [], []
+            tokens, rests, sizes, masks, before = [], [], [], [], []
             for s in batch.column(3):
                 own = np.array(s.values.to_numpy(zero_copy_only=False), dtype=np.int64)
                 length = len(own) - -(-percent * len(own) // 100) + 1
                 order = np.lexsort((own, shared.value[own & (RARITY_CLASSES - 1)]))[:length]
                 tokens.append(own[order])
+                rests.append(len(own) - 1 - np.arange(len(order)))
                 sizes.append(len(order))
+                small = len(own) <= MASKED
+                odd = np.bincount(own & (64 * MASK_WORDS - 1), minlength=64 * MASK_WORDS).astype(np.uint8) & 1
+                masks += [np.packbits(odd).view(np.int64).tolist() if small else None] * len(order)
+                before += [own[order[:j]] if small and j <= EARLIER else None for j in range(len(order))]
             at = pa.array(np.repeat(np.arange(batch.num_rows), np.array(sizes, dtype=np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)), *(batch.column(i).take(at) for i in range(3))], names=["token", "id", "region", "n"])
+            flat = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (tokens, rests)]
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (masks, before)]
+            yield pa.RecordBatch.from_arrays([*flat, *lists, *(batch.column(i).take(at) for i in (0, 1, 2, 4))], names=["token", "rest", "mask", "before", "id", "region", "n", "alone"])
 
-    return regions.select("id", "region", "n", "shingles").mapInArrow(run, f"token long, id {id_type}, region {id_type}, n long")
+    columns = f"token long, rest long, mask array<long>, before array<long>, id {id_type}, region {id_type}, n long, alone boolean"
+    return regions.select("id", "region", "n", "shingles", "alone").mapInArrow(run, columns)
 
 
 def _overlap(a: str, b: str) -> Column:
@@ -216,16 +234,22 @@ def links(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         near = pairs.join(a_side, pairs["a"] == F.col("id_a")).drop("id_a").join(b_side, F.col("b") == F.col("id_b")).drop("id_b")
         return near.withColumn("common", _overlap("shingles_a", "shingles_b")).drop("shingles_a", "shingles_b")
 
-    # 3. pivots and regions
-    minima = sets.select("id", F.posexplode("minima").alias("order", "least")).withColumn("turn", F.xxhash64("id"))
-    leaders = minima.groupBy("order", "least").agg(F.min(F.struct("turn", "id")).alias("first"), F.max("id").alias("other")).filter(F.col("first.id") != F.col("other"))
-    offers = minima.join(leaders, ["order", "least"]).filter(F.col("first.id") != F.col("id")).select(F.col("id").alias("a"), F.col("first.id").alias("b")).distinct()
-    joined = materialize(measured(offers).filter(linked).select("a", "b", distance.alias("apart")), "offers")
+    # 3. pivots and regions: whoever has no pivot yet looks for one again in other orders, among those in the same position
+    minima = materialize(sets.select("id", F.posexplode("minima").alias("order", "least")), "minima")
+    offers, left = [], sets.select("id")
+    for turn in range(ORDERS // ORDERS_A_ROUND):
+        own = F.floor(F.col("order") / ORDERS_A_ROUND) == turn
+        met = minima.filter(own).join(left, "id", "left_semi").withColumn("turn", F.xxhash64("id", F.lit(turn)))
+        leaders = met.groupBy("order", "least").agg(F.min(F.struct("turn", "id")).alias("first"), F.max("id").alias("other"), F.min("id").alias("one")).filter("one <> other")
+        offered = met.join(leaders, ["order", "least"]).filter(F.col("first.id") != F.col("id")).select(F.col("id").alias("a"), F.col("first.id").alias("b")).distinct()
+        offers.append(materialize(measured(offered).filter(linked).select("a", "b", distance.alias("apart")), "offers"))
+        left = materialize(left.join(offers[-1].select(F.col("a").alias("id")), "id", "left_anti"), "without-pivot")
+    joined = reduce(DataFrame.unionAll, offers)
     parents = joined.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select(F.col("a").alias("id"), F.col("best.b").alias("pivot"), F.col("best.apart").alias("apart"))
     pivots = parents.select(F.col("pivot").alias("id")).distinct().withColumn("is_pivot", F.lit(True))
     regions = bare.join(parents, "id", "left").join(pivots, "id", "left")
     own = F.col("is_pivot").isNotNull() | F.col("pivot").isNull()
-    regions = materialize(regions.select("id", "n", "shingles", F.when(own, F.col("id")).otherwise(F.col("pivot")).alias("region"), F.when(own, 0.0).otherwise(F.col("apart")).alias("apart")), "regions")
+    regions = materialize(regions.select("id", "n", "shingles", F.when(own, F.col("id")).otherwise(F.col("pivot")).alias("region"), F.when(own, 0.0).otherwise(F.col("apart")).alias("apart"), (F.col("pivot").isNull() & F.col("is_pivot").isNull()).alias("alone")), "regions")
 
     # 4. regions that share a prefix shingle
     rarity = np.zeros(RARITY_CLASSES, dtype=np.int64)
@@ -233,10 +257,21 @@ def links(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         rarity[r["c"]] = r["count"]
     prefixes = materialize(_prefixes(regions, rarity, percent), "prefixes")
     meeting = prefixes.groupBy("token").agg(F.min("region").alias("low"), F.max("region").alias("high")).filter("low <> high").select("token")
-    spans = materialize(prefixes.join(meeting, "token").groupBy("token", "region").agg(F.min("n").alias("least"), F.max("n").alias("most")), "spans")
-    left, right = (spans.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("region", "least", "most"))) for s in "ab")
-    fits = F.expr(f"{percent} * least_a <= 100 * most_b and {percent} * least_b <= 100 * most_a")
-    pairs = left.join(right, "token").filter((F.col("region_a") < F.col("region_b")) & fits).select(F.col("region_a").alias("a"), F.col("region_b").alias("b")).distinct()
+    shared = prefixes.join(meeting, "token")
+    span = ["token", "region", "least", "most", "rest", "mask", "before"]
+    none = F.lit(None).cast("array<long>")
+    lone = shared.filter("alone").select("token", "region", F.col("n").alias("least"), F.col("n").alias("most"), "rest", "mask", "before")
+    wide = shared.filter("not alone").groupBy("token", "region").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"))
+    spans = materialize(lone.unionByName(wide.withColumns({"mask": none, "before": none}).select(*span)), "spans")
+    left, right = (spans.select("token", *(F.col(c).alias(f"{c}_{s}") for c in span[1:])) for s in "ab")
+    by_length = f"{percent} * least_a <= 100 * most_b and {percent} * least_b <= 100 * most_a"
+    # at the first token that linked sets share, what follows must suffice for the rest of their overlap
+    by_position = f"{100 + percent} * (1 + least(rest_a, rest_b)) >= {percent} * (least_a + least_b)"
+    apart_bits = " + ".join(f"bit_count(mask_a[{w}] ^ mask_b[{w}])" for w in range(MASK_WORDS))
+    by_mask = f"coalesce({100 + percent} * ({apart_bits}) <= {100 - percent} * (most_a + most_b), true)"
+    at_first = "not coalesce(arrays_overlap(before_a, before_b), false)"
+    fits = F.expr(f"region_a < region_b and {by_length} and {by_position} and {by_mask} and {at_first}")
+    pairs = left.join(right, "token").filter(fits).select(F.col("region_a").alias("a"), F.col("region_b").alias("b")).distinct()
     extents = regions.groupBy(F.col("region").alias("id")).agg(F.max("apart").alias("extent"))
     compared = measured(pairs).withColumn("is_link", linked).withColumn("apart", distance)
     for side in "ab":
@@ -266,20 +301,20 @@ def links(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         return materialize(met.withColumn("is_link", linked).select("mine", "other", "a", "b", "to_own", "to_other", "is_link"), "window")
 
     side_a, side_b = window("a", "b"), window("b", "a")
-    tokens = prefixes.select(F.col("id").alias("member"), "token")
-    in_a = side_a.select(F.col("mine").alias("p"), F.col("other").alias("q"), F.col("a").alias("x"), F.col("to_own").alias("xp"), F.col("to_other").alias("xq")).join(tokens.withColumnRenamed("member", "x"), "x")
-    in_b = side_b.select(F.col("other").alias("p"), F.col("mine").alias("q"), F.col("a").alias("y"), F.col("to_own").alias("yq"), F.col("to_other").alias("yp")).join(tokens.withColumnRenamed("member", "y"), "y")
+    joined_pairs = materialize(side_a.filter("is_link").select(F.col("mine").alias("p"), F.col("other").alias("q")).union(side_b.filter("is_link").select("other", "mine")).distinct(), "joined-pairs")
+    tokens = prefixes.join(meeting, "token", "left_semi").select(F.col("id").alias("member"), "token")
+    in_a = side_a.select(F.col("mine").alias("p"), F.col("other").alias("q"), F.col("a").alias("x"), F.col("to_own").alias("xp"), F.col("to_other").alias("xq")).join(joined_pairs, ["p", "q"], "left_anti").join(tokens.withColumnRenamed("member", "x"), "x")
+    in_b = side_b.select(F.col("other").alias("p"), F.col("mine").alias("q"), F.col("a").alias("y"), F.col("to_own").alias("yq"), F.col("to_other").alias("yp")).join(joined_pairs, ["p", "q"], "left_anti").join(tokens.withColumnRenamed("member", "y"), "y")
     near = F.expr(f"abs(xp - yp) <= {radius + 1e-9} and abs(xq - yq) <= {radius + 1e-9}")
     candidates = in_a.join(in_b, ["p", "q", "token"]).filter(near).select("p", "q", F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     verified = measured(candidates).filter(linked).select("p", "q")
-    met = [side.filter("is_link").select("mine", "other") for side in (side_a, side_b)]
-    return homes, found.union(met[0]).union(met[1]).union(verified).distinct()
+    return homes, found.union(joined_pairs).union(verified).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    ranges = max(16, 2 * slim.rdd.getNumPartitions())
+    ranges = max(16, slim.rdd.getNumPartitions())
     surveyed = materialize(_survey(slim, k, ranges), "shingles")
     each = surveyed.filter("part < 0").select("id", "n", "print")
     sets = materialize(each.filter("n > 0 and id is not null").groupBy("print", "n").agg(F.min("id").alias("id")), "distinct-sets")

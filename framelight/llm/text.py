@@ -131,6 +131,16 @@ def sum_by_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows whose texts together have about ``most`` bytes, one row at least."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = done = 0
+    while first < batch.num_rows:
+        last = max(first + 1, int(np.searchsorted(sizes, done + most, side="right")))
+        yield batch.slice(first, last - first)
+        first, done = last, int(sizes[last - 1])
+
+
 def append_columns(
     df: DataFrame,
     text_col: str,
@@ -147,12 +157,14 @@ def append_columns(
     if text_col in names:
         raise ValueError(f"{text_col} cannot be both text and result")
     schema = T.StructType([*(df.schema[c] for c in keep), *fields])
+    sliced = isinstance(df.schema[text_col].dataType, T.StringType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
-        for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            columns = [batch.column(i) for i in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*columns, *compute(batch.column(at))], names=schema.names)
+        for whole in batches:
+            at = whole.schema.get_field_index(text_col)
+            for batch in slices(whole, at) if sliced else [whole]:
+                columns = [batch.column(i) for i in range(batch.num_columns)]
+                yield pa.RecordBatch.from_arrays([*columns, *compute(batch.column(at))], names=schema.names)
 
     return df.select(*(f"`{c}`" for c in keep)).mapInArrow(run, schema)
