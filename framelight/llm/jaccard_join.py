@@ -290,15 +290,18 @@ def links(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     for side in "ab":
         named = labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
         open_pairs = open_pairs.join(named, side, "left").withColumn(f"label_{side}", F.coalesce(f"label_{side}", side))
-    open_pairs = open_pairs.filter("label_a <> label_b").select("a", "b", "extent_a", "extent_b")
+    open_pairs = open_pairs.filter("label_a <> label_b").select("a", "b", "extent_a", "extent_b", F.col("apart").alias("pivots_apart"))
     members = regions.select("region", "id", "apart")
 
     def window(mine: str, other: str) -> DataFrame:
         """Members of one side's region with their distance to the other side's pivot, where it leaves a link possible."""
         met = open_pairs.join(members, open_pairs[mine] == members["region"]).drop("region").withColumnRenamed("apart", "to_own")
-        met = met.select(F.col(mine).alias("mine"), F.col(other).alias("other"), F.col(f"extent_{other}").alias("extent"), F.col("id").alias("a"), F.col(other).alias("b"), "to_own")
-        met = measured(met).withColumn("to_other", distance).filter(F.col("to_other") <= radius + F.col("extent") + 1e-9)
-        return materialize(met.withColumn("is_link", linked).select("mine", "other", "a", "b", "to_own", "to_other", "is_link"), "window")
+        met = met.select(F.col(mine).alias("mine"), F.col(other).alias("other"), F.col(f"extent_{other}").alias("extent"), F.col("id").alias("a"), F.col(other).alias("b"), "to_own", "pivots_apart")
+        columns = ["mine", "other", "extent", "a", "b", "to_own", "to_other", "is_link"]
+        pivot = met.filter("a = mine").withColumns({"to_other": F.col("pivots_apart"), "is_link": F.lit(False)}).select(*columns)
+        rest = measured(met.filter("a <> mine")).withColumns({"to_other": distance, "is_link": linked}).select(*columns)
+        kept = pivot.union(rest).filter(F.col("to_other") <= radius + F.col("extent") + 1e-9)
+        return materialize(kept.drop("extent"), "window")
 
     side_a, side_b = window("a", "b"), window("b", "a")
     joined_pairs = materialize(side_a.filter("is_link").select(F.col("mine").alias("p"), F.col("other").alias("q")).union(side_b.filter("is_link").select("other", "mine")).distinct(), "joined-pairs")
