@@ -11,6 +11,8 @@ from framelight.config import Config
 from framelight.functions.arrays import cosine
 
 DAMPING = 0.85
+#: Added before display rounding, so that values halfway between two decimals go up whatever their last bits.
+TIE = 1e-9
 
 
 def upsert_nodes(rows: DataFrame, order: str) -> DataFrame:
@@ -115,7 +117,7 @@ def sparse_rows(matrix: DataFrame) -> DataFrame:
 def payload_nodes(frames: DataFrame) -> DataFrame:
     """Rounded node rows for display."""
     text = lambda c: F.when(F.col(c) != "", F.col(c))
-    r4 = [F.round(F.coalesce(F.col(c), F.lit(0.0)), 4).alias(c) for c in ("action_score", "persistence_value", "residual_energy", "entropy", "pagerank_score")]
+    r4 = [F.round(F.coalesce(F.col(c), F.lit(0.0)) + TIE, 4).alias(c) for c in ("action_score", "persistence_value", "residual_energy", "entropy", "pagerank_score")]
     return frames.select(
         "video_id", F.col("frame_idx").cast("string").alias("id"), "frame_idx", F.round(F.coalesce("timestamp_sec", F.lit(0.0)), 3).alias("timestamp"), *r4,
         F.coalesce("is_peak", F.lit(False)).alias("is_peak"), F.coalesce(text("semantic_caption"), text("clip_label"), F.lit("—")).alias("caption"),
@@ -124,7 +126,7 @@ def payload_nodes(frames: DataFrame) -> DataFrame:
 
 def _display(nodes: DataFrame) -> DataFrame:
     w = Window.partitionBy("video_id")
-    s = F.round("action_score", 4)
+    s = F.round(F.col("action_score") + TIE, 4)
     width = F.greatest(F.max(s).over(w) - F.min(s).over(w), F.lit(1e-6))
     rank = F.row_number().over(w.orderBy("frame_idx"))
     return nodes.select("video_id", "frame_idx", s.alias("s"), width.alias("width"), rank.alias("rn"))
@@ -134,7 +136,7 @@ def adjacent_edges(nodes: DataFrame) -> DataFrame:
     """Edges between temporal neighbours."""
     w = Window.partitionBy("video_id").orderBy("frame_idx")
     rows = _display(nodes).withColumn("target", F.lead("frame_idx").over(w)).withColumn("s2", F.lead("s").over(w)).filter("target is not null")
-    return rows.select("video_id", F.col("frame_idx").alias("source"), "target", F.round(1 - F.abs(F.col("s") - F.col("s2")) / F.col("width"), 4).alias("weight"))
+    return rows.select("video_id", F.col("frame_idx").alias("source"), "target", F.round(1 - F.abs(F.col("s") - F.col("s2")) / F.col("width") + TIE, 4).alias("weight"))
 
 
 def cross_edges(nodes: DataFrame, least: float = 0.85) -> DataFrame:
@@ -142,7 +144,7 @@ def cross_edges(nodes: DataFrame, least: float = 0.85) -> DataFrame:
     a = _display(nodes)
     b = a.select("video_id", F.col("frame_idx").alias("target"), F.col("s").alias("s2"), F.col("rn").alias("rn2"))
     near = a.join(b, "video_id").filter("rn2 >= rn + 2").withColumn("c", 1 - F.abs(F.col("s") - F.col("s2")) / F.col("width"))
-    return near.filter(F.col("c") > least).select("video_id", F.col("frame_idx").alias("source"), "target", F.round("c", 4).alias("weight"), F.lit(True).alias("cross"))
+    return near.filter(F.col("c") > least).select("video_id", F.col("frame_idx").alias("source"), "target", F.round(F.col("c") + TIE, 4).alias("weight"), F.lit(True).alias("cross"))
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -351,21 +351,21 @@ def e9_graph_export(spark, sf):
     return matrix.select("video_id", "frame_idx", F.size("row").alias("width"), (F.round(total, 4) + 0.0).alias("total"))
 
 
-@query(f"WITH RECURSIVE {sql.NMS} SELECT video_id, frame_idx::VARCHAR AS id, frame_idx, round(timestamp_sec, 3) AS timestamp, round(action_score, 4) AS action_score, round(persistence_value, 4) AS persistence_value, round(residual_energy, 4) AS residual_energy, round(entropy, 4) AS entropy, 0.0::DOUBLE AS pagerank_score, is_peak, CASE WHEN event_type = 'view' THEN 'seen' WHEN event_type = 'click' THEN 'clicked' ELSE '—' END AS caption FROM nmsed")
+@query(f"WITH RECURSIVE {sql.NMS} SELECT video_id, frame_idx::VARCHAR AS id, frame_idx, round(timestamp_sec, 3) AS timestamp, round(action_score + 1e-9, 4) AS action_score, round(persistence_value + 1e-9, 4) AS persistence_value, round(residual_energy + 1e-9, 4) AS residual_energy, round(entropy + 1e-9, 4) AS entropy, 0.0::DOUBLE AS pagerank_score, is_peak, CASE WHEN event_type = 'view' THEN 'seen' WHEN event_type = 'click' THEN 'clicked' ELSE '—' END AS caption FROM nmsed")
 def e10_payload_nodes(spark, sf):
     frames = suppressed(spark, sf).withColumns({"pagerank_score": F.lit(0.0), "semantic_caption": F.when(F.col("event_type") == "view", "seen").otherwise(""), "clip_label": F.when(F.col("event_type") == "click", "clicked")})
     return graph.payload_nodes(frames)
 
 
-SHOWN = "shown AS (SELECT video_id, frame_idx, round(action_score, 4) AS s, greatest(max(round(action_score, 4)) OVER v - min(round(action_score, 4)) OVER v, 1e-6) AS width, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) AS rn FROM nmsed WINDOW v AS (PARTITION BY video_id))"
+SHOWN = "shown AS (SELECT video_id, frame_idx, round(action_score + 1e-9, 4) AS s, greatest(max(round(action_score + 1e-9, 4)) OVER v - min(round(action_score + 1e-9, 4)) OVER v, 1e-6) AS width, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) AS rn FROM nmsed WINDOW v AS (PARTITION BY video_id))"
 
 
-@query(f"WITH RECURSIVE {sql.NMS}, {SHOWN} SELECT a.video_id, a.frame_idx AS source, b.frame_idx AS target, round(1 - abs(a.s - b.s) / a.width, 4) + 0.0 AS weight FROM shown a JOIN shown b ON a.video_id = b.video_id AND b.rn = a.rn + 1")
+@query(f"WITH RECURSIVE {sql.NMS}, {SHOWN} SELECT a.video_id, a.frame_idx AS source, b.frame_idx AS target, round(1 - abs(a.s - b.s) / a.width + 1e-9, 4) + 0.0 AS weight FROM shown a JOIN shown b ON a.video_id = b.video_id AND b.rn = a.rn + 1")
 def e11_payload_adjacent_edges(spark, sf):
     return graph.adjacent_edges(suppressed(spark, sf)).withColumn("weight", F.col("weight") + 0.0)
 
 
-@query(f"WITH RECURSIVE {sql.NMS}, {SHOWN} SELECT a.video_id, a.frame_idx AS source, b.frame_idx AS target, round(1 - abs(a.s - b.s) / a.width, 4) AS weight, true AS cross FROM shown a JOIN shown b ON a.video_id = b.video_id AND b.rn >= a.rn + 2 WHERE 1 - abs(a.s - b.s) / a.width > 0.85")
+@query(f"WITH RECURSIVE {sql.NMS}, {SHOWN} SELECT a.video_id, a.frame_idx AS source, b.frame_idx AS target, round(1 - abs(a.s - b.s) / a.width + 1e-9, 4) AS weight, true AS cross FROM shown a JOIN shown b ON a.video_id = b.video_id AND b.rn >= a.rn + 2 WHERE 1 - abs(a.s - b.s) / a.width > 0.85")
 def e12_payload_cross_edges(spark, sf):
     return graph.cross_edges(suppressed(spark, sf))
 
