@@ -8,7 +8,7 @@ join exactly: tokens in order of rarity, only the prefix that similar sets must
 share a token of, positional and length filters in the join, Jaccard verified on
 whole sets. A parity mask of each set goes with its prefix: masks of two
 sets differ in no more bits than the sets differ in tokens, so pairs that can't
-be similar end in the join. Groups of many similar lines are first compared with
+be similar end in the join, others by wider masks before sets are compared. Groups of many similar lines are first compared with
 their leaders, so the join pairs only lines whose fate is open. Rarity is the exact count of a token's hash class (``CLASSES`` of
 them, so the table that is passed around has a fixed size), ties by hash.
 
@@ -30,6 +30,8 @@ from framelight.llm.storage import materialize
 CLASSES = 1 << 15
 #: 64-bit words of the bit sets that spare unaffected rows a shuffle.
 BIT_WORDS = 1 << 16
+#: 64-bit words (a power of two) of the parity masks that are compared before whole sets.
+WIDE_WORDS = 4
 #: White space other than the blank and the line break.
 _OTHER_WHITE = "\t\x0b\x0c\r"
 
@@ -44,9 +46,9 @@ def _tokens(line: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(found, lambda w: F.xxhash64(w))))
 
 
-def _mask(tokens: Column, shift: int) -> Column:
-    """Bit i: whether an odd number of tokens have i as six of their bits."""
-    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(t, shift).bitwiseAND(F.lit(63)).cast("int"))
+def _mask(tokens: Column) -> Column:
+    """Bit i: whether an odd number of tokens have i as their lowest six bits."""
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda m, t: m.bitwiseXOR(bit(t)))
 
 
@@ -82,11 +84,25 @@ def _maybe(bits: Column, column: str) -> Column:
 
 
 def _may_match(percent: int) -> Column:
-    """What length and masks say about a pair of sets (n, mask, mask2 of sides a and b)."""
+    """What length and masks say about a pair of sets (n, mask of sides a and b)."""
     by_length = F.expr(f"{percent} * n_a <= 100 * n_b and {percent} * n_b <= 100 * n_a")
-    by_mask = F.expr(f"{100 + percent} * (bit_count(mask_a ^ mask_b)) <= {100 - percent} * (n_a + n_b) and {100 + percent} * (bit_count(mask2_a ^ mask2_b)) <= {100 - percent} * (n_a + n_b)")
-    both = F.expr(f"{100 + percent} * (bit_count(mask_a ^ mask_b) + bit_count(mask2_a ^ mask2_b)) <= {100 - percent} * 2 * (n_a + n_b)")
-    return by_length & by_mask & both
+    by_mask = F.expr(f"{100 + percent} * bit_count(mask_a ^ mask_b) <= {100 - percent} * (n_a + n_b)")
+    return by_length & by_mask
+
+
+def _sifted(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """The pairs of prints (a, b) that wider parity masks leave, as masks of 64 bits say little of long lines."""
+    needed = pairs.select(F.col("a").alias("print")).union(pairs.select("b"))
+    some = lines.filter(_maybe(_bits(needed, "print"), "print"))
+    tokens = some.select("print", "key", "line_no", F.explode("tokens").alias("t"))
+    word = lambda w: F.expr(f"bit_xor(if(shiftright(t, 6) & {WIDE_WORDS - 1} = {w}, shiftleft(1L, cast(t & 63 as int)), 0L))")
+    names = [f"w{w}" for w in range(WIDE_WORDS)]
+    by_line = tokens.groupBy("print", "key", "line_no").agg(F.count("*").alias("n"), *(word(w).alias(x) for w, x in enumerate(names)))
+    masks = materialize(by_line.groupBy("print").agg(*(F.max(x).alias(x) for x in ["n", *names])), "line-masks")
+    sides = [masks.select(F.col("print").alias(s), *(F.col(x).alias(f"{x}_{s}") for x in ["n", *names])) for s in "ab"]
+    differ = " + ".join(f"bit_count({x}_a ^ {x}_b)" for x in names)
+    fits = F.expr(f"{100 + percent} * ({differ}) <= {100 - percent} * (n_a + n_b)")
+    return materialize(pairs.join(sides[0], "a").join(sides[1], "b").filter(fits).select("a", "b"), "sifted-pairs")
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
@@ -106,10 +122,10 @@ def similar_to_leaders(sets: DataFrame, lines: DataFrame, percent: int) -> DataF
     It settles nearly all of a large group of similar lines by one comparison
     each; the join need not pair what is settled.
     """
-    keyed = sets.select("print", "n", "mask", "mask2", "first", F.explode(F.array("low", "high")).alias("hash"))
-    leaders = keyed.groupBy("hash").agg(F.min(F.struct("first", "print", "n", "mask", "mask2")).alias("lead"), F.max("print").alias("other")).filter("lead.print <> other")
+    keyed = sets.select("print", "n", "mask", "first", F.explode(F.array("low", "high")).alias("hash"))
+    leaders = keyed.groupBy("hash").agg(F.min(F.struct("first", "print", "n", "mask")).alias("lead"), F.max("print").alias("other")).filter("lead.print <> other")
     met = keyed.join(leaders, "hash").filter("print <> lead.print")
-    named = met.select(*(F.col(c).alias(f"{c}_b") for c in ("print", "n", "mask", "mask2")), *(F.col(f"lead.{c}").alias(f"{c}_a") for c in ("print", "n", "mask", "mask2")))
+    named = met.select(*(F.col(c).alias(f"{c}_b") for c in ("print", "n", "mask")), *(F.col(f"lead.{c}").alias(f"{c}_a") for c in ("print", "n", "mask")))
     pairs = named.filter(_may_match(percent)).select(F.col("print_a").alias("a"), F.col("print_b").alias("b")).distinct()
     return _verified(materialize(pairs, "leader-pairs"), lines, percent).select(F.col("b").alias("print")).distinct()
 
@@ -117,32 +133,44 @@ def similar_to_leaders(sets: DataFrame, lines: DataFrame, percent: int) -> DataF
 def similar_sets(sets: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """(a, b): prints of two sets with their Jaccard similarity at least ``percent``, one of them open at least.
 
-    ``sets`` holds (print, n, mask, mask2, open, prefix) with the prefix in order of rarity.
+    ``sets`` holds (print, n, mask, open, prefix) with the prefix in order of rarity.
     """
     # with fewer tokens than this only equal sets are similar
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 30
-    columns = ["print", "n", "mask", "mask2", "open", "at"]
+    columns = ["print", "n", "mask", "open", "at"]
     tokens = sets.filter(F.col("n") >= least).select(*columns[:-1], F.posexplode("prefix").alias("at", "token"))
-    a, b = (tokens.select("token", *(F.col(c).alias(f"{c}_{s}") for c in columns)) for s in "ab")
+    # the first common token stands early in the shorter set; late ones, the more frequent, needn't meet each other
+    is_early = F.expr(f"{100 + percent} * (n - at) >= {2 * percent} * n")
+    early, late = tokens.filter(is_early), tokens.filter(~is_early)
+    side = lambda rows, s: rows.select("token", *(F.col(c).alias(f"{c}_{s}") for c in columns))
     by_position = F.expr(f"{100 + percent} * (1 + least(n_a - at_a - 1, n_b - at_b - 1)) >= {percent} * (n_a + n_b)")
-    met = a.join(b, "token").filter((F.col("print_a") < F.col("print_b")) & (F.col("open_a") | F.col("open_b")) & _may_match(percent) & by_position)
+    fits = by_position & (F.col("open_a") | F.col("open_b")) & _may_match(percent)
+    both_early = side(early, "a").join(side(early, "b"), "token").filter((F.col("print_a") < F.col("print_b")) & fits)
+    one_late = side(early, "a").join(side(late, "b"), "token").filter((F.col("print_a") != F.col("print_b")) & (F.col("n_a") < F.col("n_b")) & fits)
+    met = both_early.select("print_a", "print_b").union(one_late.select(F.least("print_a", "print_b"), F.greatest("print_a", "print_b")))
     pairs = materialize(met.select(F.col("print_a").alias("a"), F.col("print_b").alias("b")).distinct(), "line-pairs")
-    return _verified(pairs, lines, percent)
+    return _verified(_sifted(pairs, lines, percent), lines, percent)
 
 
 def removed_lines(keyed: DataFrame, percent: int) -> DataFrame:
     """(key, line_no) of every line that repeats an earlier one; ``keyed`` holds (id, key, text)."""
-    lines = materialize(_lines(keyed), "lines")
+    lines = materialize(_lines(keyed), "lines", dictionary_mb=8)
     counts = _rarity(lines)
     # count and low half of the hash in one number: its order is that of rarity, and equal tokens have equal numbers
     rank = lambda t: F.shiftleft(F.get(counts, F.pmod(t, F.lit(CLASSES)).cast("int")), 32) + t.bitwiseAND(F.lit(0xFFFFFFFF))
     length = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
     place = F.struct("id", "key", "line_no")
-    derived = {"prefix": F.slice(F.sort_array(F.transform("tokens", rank)), 1, length), "mask": _mask(F.col("tokens"), 0), "mask2": _mask(F.col("tokens"), 6), "low": F.element_at("tokens", 1), "high": F.element_at("tokens", -1)}
+    derived = {"prefix": F.slice(F.sort_array(F.transform("tokens", rank)), 1, length), "mask": _mask(F.col("tokens")), "low": F.element_at("tokens", 1), "high": F.element_at("tokens", -1)}
+    # lines whose set occurs once, nearly all, are sets as they are
+    repeated = materialize(lines.groupBy("print", "n").count().filter("count > 1").select("print"), "repeated-lines")
+    some = _bits(repeated, "print")
+    described = lines.withColumns(derived)
+    once = described.filter(~_maybe(some, "print")).select("print", "n", place.alias("first"), place.alias("last"), *derived)
     firsts = [F.first(c).alias(c) for c in derived]
-    sets = lines.withColumns(derived).groupBy("print", "n").agg(F.min(place).alias("first"), F.max(place).alias("last"), *firsts)
-    sets = materialize(sets, "line-firsts")
-    again = lines.select("print", place.alias("place")).join(sets.filter("first <> last").select("print", "first"), "print").filter("place <> first").select("place.key", "place.line_no")
+    folded = described.filter(_maybe(some, "print")).groupBy("print", "n").agg(F.min(place).alias("first"), F.max(place).alias("last"), *firsts)
+    sets = materialize(once.unionByName(folded), "line-firsts")
+    several = sets.filter("first <> last").select("print", "first")
+    again = lines.filter(_maybe(some, "print")).select("print", place.alias("place")).join(several, "print").filter("place <> first").select("place.key", "place.line_no")
     settled = materialize(similar_to_leaders(sets, lines, percent), "settled")
     by_leader = sets.select("print", "first").join(settled, "print", "left_semi").select("first.key", "first.line_no")
     flagged = sets.join(settled.withColumn("_settled", F.lit(True)), "print", "left").withColumn("open", F.col("_settled").isNull())

@@ -42,10 +42,10 @@ def _remove(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back."""
+def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None, dictionary_mb: int = 1) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back; larger dictionaries suit columns of many distinct values that recur."""
     spark, schema = df.sparkSession, df.schema
     path = new_path(spark, name)
-    writer = df.write.option("compression", "zstd")
+    writer = df.write.option("compression", "zstd").option("parquet.dictionary.page.size", dictionary_mb << 20)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(schema).parquet(path)
