@@ -32,6 +32,8 @@ CLASSES = 1 << 15
 BIT_WORDS = 1 << 16
 #: 64-bit words (a power of two) of the parity masks that are compared before whole sets.
 WIDE_WORDS = 4
+#: Lines of so many tokens carry two masks.
+LONG = 56
 #: White space other than the blank and the line break.
 _OTHER_WHITE = "\t\x0b\x0c\r"
 
@@ -52,6 +54,12 @@ def _mask(tokens: Column) -> Column:
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda m, t: m.bitwiseXOR(bit(t)))
 
 
+def _half(tokens: Column, n: Column) -> Column:
+    """The mask of the tokens whose seventh bit is set, for long lines only, where one mask says too little."""
+    bit = lambda t: F.call_function("shiftleft", F.shiftright(t, 6).bitwiseAND(F.lit(1)), t.bitwiseAND(F.lit(63)).cast("int"))
+    return F.when(n >= LONG, F.aggregate(tokens, F.lit(0).cast("long"), lambda m, t: m.bitwiseXOR(bit(t))))
+
+
 def _lines(keyed: DataFrame) -> DataFrame:
     """(id, key, line_no, print, n, tokens) of every line with a word."""
     lines = keyed.select("id", "key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -61,10 +69,10 @@ def _lines(keyed: DataFrame) -> DataFrame:
 
 
 def _rarity(lines: DataFrame) -> Column:
-    """How many line tokens fall into each class, as a constant array (subqueries can't stand in lambdas)."""
+    """How many line tokens fall into each class, times 2 ** 32, as a constant array (subqueries can't stand in lambdas)."""
     counted = lines.select(F.explode("tokens").alias("t")).groupBy(F.pmod("t", F.lit(CLASSES)).cast("int").alias("class")).agg(F.count("*").alias("n"))
     found = {r["class"]: r["n"] for r in counted.collect()}  # CLASSES rows at most
-    return F.split(F.lit(",".join(str(found.get(c, 0)) for c in range(CLASSES))), ",").cast("array<long>")
+    return F.split(F.lit(",".join(str(found.get(c, 0) << 32) for c in range(CLASSES))), ",").cast("array<long>")
 
 
 def _bits(hashes: DataFrame, column: str) -> Column:
@@ -84,9 +92,11 @@ def _maybe(bits: Column, column: str) -> Column:
 
 
 def _may_match(percent: int) -> Column:
-    """What length and masks say about a pair of sets (n, mask of sides a and b)."""
+    """What length and masks say about a pair of sets (n, mask, half of sides a and b)."""
     by_length = F.expr(f"{percent} * n_a <= 100 * n_b and {percent} * n_b <= 100 * n_a")
-    by_mask = F.expr(f"{100 + percent} * bit_count(mask_a ^ mask_b) <= {100 - percent} * (n_a + n_b)")
+    # the mask of the other half of the tokens is mask ^ half
+    halves = "bit_count(half_a ^ half_b) + bit_count(mask_a ^ mask_b ^ half_a ^ half_b)"
+    by_mask = F.expr(f"{100 + percent} * coalesce({halves}, bit_count(mask_a ^ mask_b)) <= {100 - percent} * (n_a + n_b)")
     return by_length & by_mask
 
 
@@ -122,10 +132,10 @@ def similar_to_leaders(sets: DataFrame, lines: DataFrame, percent: int) -> DataF
     It settles nearly all of a large group of similar lines by one comparison
     each; the join need not pair what is settled.
     """
-    keyed = sets.select("print", "n", "mask", "first", F.explode(F.array("low", "high")).alias("hash"))
-    leaders = keyed.groupBy("hash").agg(F.min(F.struct("first", "print", "n", "mask")).alias("lead"), F.max("print").alias("other")).filter("lead.print <> other")
+    keyed = sets.select("print", "n", "mask", "half", "first", F.explode(F.array("low", "high")).alias("hash"))
+    leaders = keyed.groupBy("hash").agg(F.min(F.struct("first", "print", "n", "mask", "half")).alias("lead"), F.max("print").alias("other")).filter("lead.print <> other")
     met = keyed.join(leaders, "hash").filter("print <> lead.print")
-    named = met.select(*(F.col(c).alias(f"{c}_b") for c in ("print", "n", "mask")), *(F.col(f"lead.{c}").alias(f"{c}_a") for c in ("print", "n", "mask")))
+    named = met.select(*(F.col(c).alias(f"{c}_b") for c in ("print", "n", "mask", "half")), *(F.col(f"lead.{c}").alias(f"{c}_a") for c in ("print", "n", "mask", "half")))
     pairs = named.filter(_may_match(percent)).select(F.col("print_a").alias("a"), F.col("print_b").alias("b")).distinct()
     return _verified(materialize(pairs, "leader-pairs"), lines, percent).select(F.col("b").alias("print")).distinct()
 
@@ -133,11 +143,11 @@ def similar_to_leaders(sets: DataFrame, lines: DataFrame, percent: int) -> DataF
 def similar_sets(sets: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """(a, b): prints of two sets with their Jaccard similarity at least ``percent``, one of them open at least.
 
-    ``sets`` holds (print, n, mask, open, prefix) with the prefix in order of rarity.
+    ``sets`` holds (print, n, mask, half, open, prefix) with the prefix in order of rarity.
     """
     # with fewer tokens than this only equal sets are similar
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 30
-    columns = ["print", "n", "mask", "open", "at"]
+    columns = ["print", "n", "mask", "half", "open", "at"]
     tokens = sets.filter(F.col("n") >= least).select(*columns[:-1], F.posexplode("prefix").alias("at", "token"))
     # the first common token stands early in the shorter set; late ones, the more frequent, needn't meet each other
     is_early = F.expr(f"{100 + percent} * (n - at) >= {2 * percent} * n")
@@ -157,10 +167,10 @@ def removed_lines(keyed: DataFrame, percent: int) -> DataFrame:
     lines = materialize(_lines(keyed), "lines", dictionary_mb=8)
     counts = _rarity(lines)
     # count and low half of the hash in one number: its order is that of rarity, and equal tokens have equal numbers
-    rank = lambda t: F.shiftleft(F.get(counts, F.pmod(t, F.lit(CLASSES)).cast("int")), 32) + t.bitwiseAND(F.lit(0xFFFFFFFF))
+    rank = lambda t: F.get(counts, t.bitwiseAND(F.lit(CLASSES - 1)).cast("int")).bitwiseOR(t.bitwiseAND(F.lit(0xFFFFFFFF)))
     length = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
     place = F.struct("id", "key", "line_no")
-    derived = {"prefix": F.slice(F.sort_array(F.transform("tokens", rank)), 1, length), "mask": _mask(F.col("tokens")), "low": F.element_at("tokens", 1), "high": F.element_at("tokens", -1)}
+    derived = {"prefix": F.slice(F.sort_array(F.transform("tokens", rank)), 1, length), "mask": _mask(F.col("tokens")), "half": _half(F.col("tokens"), F.col("n")), "low": F.element_at("tokens", 1), "high": F.element_at("tokens", -1)}
     # lines whose set occurs once, nearly all, are sets as they are
     repeated = materialize(lines.groupBy("print", "n").count().filter("count > 1").select("print"), "repeated-lines")
     some = _bits(repeated, "print")
