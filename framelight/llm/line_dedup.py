@@ -104,10 +104,11 @@ def _sifted(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """The pairs of prints (a, b) that wider parity masks leave, as masks of 64 bits say little of long lines."""
     needed = pairs.select(F.col("a").alias("print")).union(pairs.select("b"))
     some = lines.filter(_maybe(_bits(needed, "print"), "print"))
-    tokens = some.select("print", "key", "line_no", F.explode("tokens").alias("t"))
+    # a row of its own for every line: repeated documents share key and line_no, and their tokens mustn't cancel out
+    tokens = some.select("print", F.monotonically_increasing_id().alias("row"), "tokens").select("print", "row", F.explode("tokens").alias("t"))
     word = lambda w: F.expr(f"bit_xor(if(shiftright(t, 6) & {WIDE_WORDS - 1} = {w}, shiftleft(1L, cast(t & 63 as int)), 0L))")
     names = [f"w{w}" for w in range(WIDE_WORDS)]
-    by_line = tokens.groupBy("print", "key", "line_no").agg(F.count("*").alias("n"), *(word(w).alias(x) for w, x in enumerate(names)))
+    by_line = tokens.groupBy("print", "row").agg(F.count("*").alias("n"), *(word(w).alias(x) for w, x in enumerate(names)))
     masks = materialize(by_line.groupBy("print").agg(*(F.max(x).alias(x) for x in ["n", *names])), "line-masks")
     sides = [masks.select(F.col("print").alias(s), *(F.col(x).alias(f"{x}_{s}") for x in ["n", *names])) for s in "ab"]
     differ = " + ".join(f"bit_count({x}_a ^ {x}_b)" for x in names)
