@@ -13,7 +13,8 @@ exactly.
 Defined results: vectors that are null, empty, zero, hold a null or non-finite
 component, or differ from the commonest length take no part, neither as queries
 nor candidates; rows with null ids take no part; a repeated row is a candidate
-for each other row with another id only; with fewer than ``k`` candidates in
+for each other row with another id only, and one candidate however often it
+occurs; an id with several vectors counts by the nearest; with fewer than ``k`` candidates in
 the probed parts a query gets those found; an empty table gives an empty result.
 """
 
@@ -147,7 +148,8 @@ def search(table: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id
     lengths = valid.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     valid = valid.filter(F.size("vector") == (lengths[0]["d"] if lengths else 0))
     first = Window.partitionBy("vector").orderBy("vec_id")
-    distinct = valid.select("vec_id", "vector").withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= k + 1).drop("_n")
+    # repeated rows go first, so that the first rows of a vector are its first ids
+    distinct = valid.select("vec_id", "vector").dropDuplicates().withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= k + 1).drop("_n")
     net = fit(valid.select("vec_id", "vector"), parts)
     shared = spark.sparkContext.broadcast(net)
 
@@ -173,11 +175,11 @@ def search(table: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id
     key = ["part", "row_block", "query_block"]
     near = queries.groupBy(*key).cogroup(rows.groupBy(*key)).applyInPandas(lambda q, r: block_nearest(q, r, k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return near.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def block_nearest(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The best ``k`` rows of a block for each of its queries.
+    """The best ``k`` ids of a block for each of its queries; an id counts once, by its nearest vector.
 
     A matrix product finds what may be among the best; those are scored again
     pair by pair, so equal vectors have equal scores in every block.
@@ -188,7 +190,10 @@ def block_nearest(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataF
     q_id, v_id = queries["query_id"].to_numpy(), rows["vec_id"].to_numpy()
     rough = _unit(q) @ _unit(v).T
     rough[q_id[:, None] == v_id[None]] = -np.inf
-    last = np.partition(rough, max(len(v_id) - k, 0), axis=1)[:, max(len(v_id) - k, 0)]
+    by_id = np.argsort(v_id, kind="stable")
+    starts = np.flatnonzero(np.diff(v_id[by_id], prepend=v_id[by_id[0]] - 1))
+    best = rough if len(starts) == len(v_id) else np.maximum.reduceat(rough[:, by_id], starts, axis=1)
+    last = np.partition(best, max(best.shape[1] - k, 0), axis=1)[:, max(best.shape[1] - k, 0)]
     at_q, at_v = np.nonzero((rough >= last[:, None] - 1e-9) & (rough > -np.inf))
     a, b = q[at_q], v[at_v]
     exact = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))

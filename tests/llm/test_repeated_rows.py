@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import random
 
-from framelight.llm import line_dedup
+import numpy as np
+from pyspark.sql import functions as F
+
+from framelight.llm import ann, line_dedup
 from tests.llm.test_llm import brute_lines
 
 
@@ -20,3 +23,24 @@ def test_line_dedup_repeated_rows_equal_brute_force(spark):
     assert all(not want[2 * i + 1] for i in range(300))
     out = line_dedup.dedup_lines(spark.createDataFrame(table, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["text"]) for r in out) == sorted((i, want[i]) for i, _ in table)
+
+
+def test_nearest_repeated_rows(spark):
+    same = [(1, [1.0, 2.0])] * 9 + [(i, [1.0, 2.0]) for i in range(2, 7)]
+    table = spark.createDataFrame([(0, [1.0, 2.1]), *same], "vec_id long, embedding array<double>")
+    out = ann.search(table, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r["rank"], r["vec_id"]) for r in out] == [(i, i) for i in range(1, 6)]
+
+
+def test_nearest_ids_with_several_vectors(spark):
+    rng = np.random.default_rng(2)
+    rows = [(0, rng.normal(size=4).tolist())]
+    near = [(1, (np.array(rows[0][1]) + rng.normal(0, 0.01, 4)).tolist()) for _ in range(8)]
+    rows += near * 3 + [(i, rng.normal(size=4).tolist()) for i in range(2, 40)]
+    best = {}
+    for i, v in rows[1:]:
+        s = np.dot(v, rows[0][1]) / np.linalg.norm(v) / np.linalg.norm(rows[0][1])
+        best[i] = max(best.get(i, -2), s)
+    out = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, cover=1.0).orderBy("rank").collect()
+    want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5]
+    assert [(r["vec_id"], round(r["score"], 9)) for r in out] == [(i, round(s, 9)) for i, s in want]
