@@ -35,9 +35,10 @@ from framelight.llm.text import PIECE, append_columns, buffers
 #: Bounds of the training sample and of the model.
 DOCS_PER_LANGUAGE = 400
 LONGEST_SAMPLED = 20_000
-MAX_LANGUAGES = 64
 MAX_CONTEXTS = 12_000
 MIN_COUNT = 12
+#: Languages whose code lengths are worked out together, for memory.
+TOGETHER = 8
 _PAD = 10  # the byte that stands before a text
 
 
@@ -89,31 +90,26 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def training_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int, longest: int, labels: int) -> DataFrame:
-    """(label, text) of at most ``per_label`` rows of each of the most frequent labels, chosen by a hash of the id.
+def training_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int, longest: int) -> DataFrame:
+    """(label, text) of at most ``per_label`` rows of every label, chosen by a hash of the id.
 
     Rows are thinned by rate before they are ranked, so no label gathers many.
+    Rates count only rows that can be chosen, a repeated id once, so a label
+    with such rows is never thinned away.
     """
-    usable = docs.filter(~held_out(F.col(id_col)) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).withColumn("_label", F.col(label_col).cast("string"))
-    frequent = usable.groupBy("_label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_label").limit(labels).collect()
-    rates = {r["_label"]: min(1.0, 1.5 * per_label / r["n"]) for r in frequent}
-    if not rates:
-        return usable.select("_label", F.col(text_col).alias("_text")).limit(0)
-    rate = F.create_map(*[F.lit(x) for pair in rates.items() for x in pair])
+    fits = F.col(text_col).isNotNull() & (F.length(text_col) <= longest)
+    named = F.col(label_col).isNotNull() & F.col(id_col).isNotNull()
     draw = F.xxhash64(F.col(id_col).cast("string"), F.lit(17))
-    thinned = (
-        usable.withColumn("_draw", draw)
-        .filter(F.pmod("_draw", F.lit(1_000_000)) < rate[F.col("_label")] * 1_000_000)
-        .filter(F.col(text_col).isNotNull() & (F.length(text_col) <= longest))
-        .select("_label", F.col(text_col).alias("_text"), "_draw")
-    )
+    usable = docs.filter(~held_out(F.col(id_col)) & named & fits).select(F.col(label_col).cast("string").alias("_label"), F.col(text_col).alias("_text"), draw.alias("_draw"))
+    rates = usable.groupBy("_label").agg((1_500_000 * per_label / F.approx_count_distinct("_draw")).alias("_rate"))
+    thinned = usable.join(F.broadcast(rates), "_label").filter(F.pmod("_draw", F.lit(1_000_000)) < F.col("_rate")).drop("_rate")
     ranked = thinned.withColumn("_rank", F.row_number().over(Window.partitionBy("_label").orderBy("_draw", "_text")))
     return ranked.filter(F.col("_rank") <= per_label).select("_label", "_text")
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Counts:
     """Count the four-byte strings of the sample, by language."""
-    sample = training_sample(docs, id_col, text_col, lang_col, DOCS_PER_LANGUAGE, LONGEST_SAMPLED, MAX_LANGUAGES)
+    sample = training_sample(docs, id_col, text_col, lang_col, DOCS_PER_LANGUAGE, LONGEST_SAMPLED)
     counted = sample.mapInArrow(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     found = counted.toArrow().to_pandas()
     languages = sorted(found["lang"].unique(), key=lambda s: s.encode())
@@ -128,18 +124,19 @@ def compile_model(stats: Counts) -> Model:
     symbols_seen = np.unique(stats.grams & 255)
     symbol = np.zeros(256, dtype=np.int64)
     symbol[symbols_seen] = np.arange(1, len(symbols_seen) + 1)
-    n_symbols, n_lang = len(symbols_seen) + 1, len(stats.languages)
+    n_symbols = len(symbols_seen) + 1
     last = symbol[stats.grams & 255]
 
-    def tally(order: int, chosen: np.ndarray) -> np.ndarray:
+    def tally(order: int, chosen: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Counts of each symbol after each chosen context of this order."""
+        n_lang = counts.shape[1]
         context = (stats.grams >> 8) & ((1 << 8 * order) - 1)
         if not len(chosen):
             return np.zeros((0, n_symbols, n_lang))
         slot = np.minimum(np.searchsorted(chosen, context), len(chosen) - 1)
         known = chosen[slot] == context
         out = np.zeros((len(chosen) * n_symbols, n_lang))
-        np.add.at(out, slot[known] * n_symbols + last[known], stats.counts[known])
+        np.add.at(out, slot[known] * n_symbols + last[known], counts[known])
         return out.reshape(len(chosen), n_symbols, n_lang)
 
     def contexts(order: int, least: int, most: int) -> np.ndarray:
@@ -155,20 +152,25 @@ def compile_model(stats: Counts) -> Model:
         escape = np.where(rest > 1e-12, d / np.maximum(n + d, 1) / np.maximum(rest, 1e-12), 0)
         return np.where(n > 0, np.where(seen, count / total, escape * shorter), shorter)
 
-    # Order 0 blends with the uniform distribution over 256 bytes; code 0 stands for any one unseen byte.
-    root = blend(tally(0, np.zeros(1, np.int64)), np.full((1, n_symbols, n_lang), 1 / 256))
     one = contexts(1, 1, 256)
     two = contexts(2, MIN_COUNT, MAX_CONTEXTS // 3)
     three = contexts(3, MIN_COUNT, MAX_CONTEXTS)
     three = three[np.isin(three & 0xFFFF, two)]
     node_one = {c: 1 + i for i, c in enumerate(one.tolist())}
-    p_one = blend(tally(1, one), np.repeat(root, len(one), 0))
     at_one = np.array([node_one[c & 255] for c in two.tolist()], dtype=np.int64)
-    p_two = blend(tally(2, two), p_one[at_one - 1])
     node_two = {c: 1 + len(one) + i for i, c in enumerate(two.tolist())}
     at_two = np.array([node_two[c & 0xFFFF] for c in three.tolist()], dtype=np.int64)
-    p_three = blend(tally(3, three), p_two[at_two - 1 - len(one)])
-    bits = -np.log2(np.maximum(np.concatenate([root, p_one, p_two, p_three]), 1e-30))
+
+    def node_bits(counts: np.ndarray) -> np.ndarray:
+        # Order 0 blends with the uniform distribution over 256 bytes; code 0 stands for any one unseen byte.
+        root = blend(tally(0, np.zeros(1, np.int64), counts), np.full((1, n_symbols, counts.shape[1]), 1 / 256))
+        p_one = blend(tally(1, one, counts), np.repeat(root, len(one), 0))
+        p_two = blend(tally(2, two, counts), p_one[at_one - 1])
+        p_three = blend(tally(3, three, counts), p_two[at_two - 1 - len(one)])
+        bits = -np.log2(np.maximum(np.concatenate([root, p_one, p_two, p_three]), 1e-30))
+        return bits.reshape(-1, counts.shape[1]).astype(np.float32)
+
+    bits = np.concatenate([node_bits(stats.counts[:, low : low + TOGETHER]) for low in range(0, len(stats.languages), TOGETHER)], axis=1)
 
     first = np.zeros(n_symbols, dtype=np.int64)
     first[symbol[one]] = np.arange(1, len(one) + 1)
@@ -177,7 +179,7 @@ def compile_model(stats: Counts) -> Model:
     third = np.repeat(np.arange(1 + len(one) + len(two))[:, None], n_symbols, 1)
     third[at_two, symbol[three >> 16]] = np.arange(len(three)) + 1 + len(one) + len(two)
     return Model(
-        stats.languages, symbol.astype(np.int32), first.astype(np.int32), second.astype(np.int32).ravel(), third.astype(np.int32).ravel(), bits.reshape(-1, n_lang).astype(np.float32)
+        stats.languages, symbol.astype(np.int32), first.astype(np.int32), second.astype(np.int32).ravel(), third.astype(np.int32).ravel(), bits
     )
 
 
@@ -187,8 +189,9 @@ def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndar
     starts = offsets[:-1][offsets[1:] > offsets[:-1]]
     owner = np.flatnonzero(offsets[1:] > offsets[:-1])
     n_symbols = len(model.first)
-    for low in range(0, len(data), PIECE):
-        high, lead = min(low + PIECE, len(data)), max(0, low - 3)
+    step = max(1, PIECE * TOGETHER // max(TOGETHER, len(model.languages)))
+    for low in range(0, len(data), step):
+        high, lead = min(low + step, len(data)), max(0, low - 3)
         part = data[lead:high]
         inner = starts[np.searchsorted(starts, lead) : np.searchsorted(starts, high)] - lead
         a1 = _before(part, inner)

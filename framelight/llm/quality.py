@@ -29,10 +29,9 @@ from pyspark.sql import types as T
 
 from framelight.llm.text import PIECE, SPACE, append_columns, buffers, mix, span_hashes, sum_by_row, words
 
-#: A common word has at least this share of its language's words; at most so many are used.
+#: A common word has at least this share of its language's words, so there can't be more of them than this.
 COMMON = 1e-3
-MOST_COMMON = 64
-MAX_LANGUAGES = 64
+MOST_COMMON = round(1 / COMMON)
 #: Guards of length, and the largest divergence that is kept.
 MIN_CHARS = 200
 MIN_WORDS = 100
@@ -143,9 +142,9 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
 
     proposed = known.mapInArrow(propose, _TALLY).groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     # what a word lacks in these sums is under half of COMMON, so common words reach the other half
-    totals = proposed.filter("kind = 't'").orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).select("lang", F.col("n").alias("total"))
+    totals = proposed.filter("kind = 't'").select("lang", F.col("n").alias("total"))
     candidates: dict[str, list[int]] = {}
-    for r in proposed.filter("kind = 'w'").join(F.broadcast(totals), "lang").filter(F.col("n") >= F.col("total") * (COMMON / 2)).select("lang", "key").collect():
+    for r in proposed.filter("kind = 'w'").join(totals, "lang").filter(F.col("n") >= F.col("total") * (COMMON / 2)).select("lang", "key").collect():
         candidates.setdefault(r["lang"], []).append(r["key"])
     shared = spark.sparkContext.broadcast({k: np.sort(np.array(v, dtype=np.int64)) for k, v in candidates.items()})
 
@@ -163,7 +162,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
                     at = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
                     yield _tally(np.full(len(wanted), k), names, "w", wanted, np.bincount(at[wanted[at] == own], minlength=len(wanted)))
 
-    counted = known.join(F.broadcast(totals.select("lang")), "lang", "left_semi").mapInArrow(count, _TALLY).groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+    counted = known.mapInArrow(count, _TALLY).groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     out: dict[str, dict] = {}
     for r in counted.orderBy("lang", "kind", "key").collect():  # some numbers for each language
         out.setdefault(r["lang"], {"c": np.zeros(CLASSES), "w": [], "t": 0})
@@ -174,7 +173,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
         else:
             out[r["lang"]]["w"].append((r["n"], r["key"]))
     for ref in out.values():
-        often = sorted((x for x in ref["w"] if x[0] >= COMMON * ref["t"]), reverse=True)[:MOST_COMMON]
+        often = sorted((x for x in ref["w"] if x[0] >= COMMON * ref["t"]), reverse=True)
         often.sort(key=lambda x: x[1])
         ref["keys"] = np.array([k for _, k in often], dtype=np.int64)
         ref["words"] = np.array([n for n, _ in often] + [ref["t"] - sum(n for n, _ in often)], dtype=float) / max(ref["t"], 1)
