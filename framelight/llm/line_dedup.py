@@ -7,10 +7,12 @@ that line was itself removed. Equal sets fold into their first line; the rest
 join exactly: tokens in order of rarity, only the prefix that similar sets must
 share a token of, positional and length filters in the join, Jaccard verified on
 whole sets. A parity mask of each set goes with its prefix: masks of two
-sets differ in no more bits than the sets differ in tokens, so pairs that can't
-be similar end in the join, others by wider masks before sets are compared. Groups of many similar lines are first compared with
-their leaders, so the join pairs only lines whose fate is open. Rarity is the exact count of a token's hash class (``CLASSES`` of
-them, so the table that is passed around has a fixed size), ties by hash.
+sets differ in no more bits than the sets differ in tokens, so most pairs that
+can't be similar end in the join. Groups of many similar lines are first compared
+with their leaders, and the join pairs only sets of which the later one's fate is
+open. Rarity is the count of a token's hash class (``CLASSES`` of them, so the
+table that is passed around has a fixed size) in steps of a part of a doubling,
+ties by hash: any order that all sets share keeps the prefix filter exact.
 
 Defined results: null text stays null; lines without a word are kept; a text
 that loses all its lines becomes empty; rows equal in id and text are one
@@ -27,11 +29,12 @@ from pyspark.sql import functions as F
 
 from framelight.llm.storage import materialize
 
-CLASSES = 1 << 15
+#: Hash classes whose counts order tokens; their table of small numbers has a fixed size and goes with the plan.
+CLASSES = 1 << 16
+#: Steps of a doubling in which counts are told apart.
+STEPS = 4
 #: 64-bit words of the bit sets that spare unaffected rows a shuffle.
 BIT_WORDS = 1 << 16
-#: 64-bit words (a power of two) of the parity masks that are compared before whole sets.
-WIDE_WORDS = 4
 #: Lines of so many tokens carry two masks.
 LONG = 56
 #: White space other than the blank and the line break.
@@ -39,13 +42,18 @@ _OTHER_WHITE = "\t\x0b\x0c\r"
 
 
 def _tokens(line: Column) -> Column:
-    """The sorted distinct token hashes of a line."""
+    """The distinct token hashes of a line."""
     blank = F.lit(False)
     for c in _OTHER_WHITE:
         blank = blank | line.contains(c)
     spaced = F.when(blank, F.translate(line, _OTHER_WHITE, " " * len(_OTHER_WHITE))).otherwise(line)
-    found = F.array_remove(F.split(F.lower(spaced), " "), "")
-    return F.sort_array(F.array_distinct(F.transform(found, lambda w: F.xxhash64(w))))
+    hashes = F.transform(F.split(F.lower(spaced), " "), lambda w: F.xxhash64(w))
+    return F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit("")))
+
+
+def _print(tokens: Column) -> Column:
+    """A hash of a set, whatever the order of its tokens."""
+    return F.xxhash64(F.size(tokens), F.aggregate(tokens, F.lit(0).cast("long"), lambda m, t: m.bitwiseXOR(t)))
 
 
 def _mask(tokens: Column) -> Column:
@@ -65,14 +73,18 @@ def _lines(keyed: DataFrame) -> DataFrame:
     lines = keyed.select("id", "key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     # exploding an array of one keeps the tokens from being worked out again for every use
     lines = lines.select("id", "key", "line_no", F.explode(F.array(_tokens(F.col("line")))).alias("tokens"))
-    return lines.select("id", "key", "line_no", F.xxhash64("tokens").alias("print"), F.size("tokens").alias("n"), "tokens").filter("n > 0")
+    return lines.select("id", "key", "line_no", _print(F.col("tokens")).alias("print"), F.size("tokens").alias("n"), "tokens").filter("n > 0")
 
 
 def _rarity(lines: DataFrame) -> Column:
-    """How many line tokens fall into each class, times 2 ** 32, as a constant array (subqueries can't stand in lambdas)."""
-    counted = lines.select(F.explode("tokens").alias("t")).groupBy(F.pmod("t", F.lit(CLASSES)).cast("int").alias("class")).agg(F.count("*").alias("n"))
-    found = {r["class"]: r["n"] for r in counted.collect()}  # CLASSES rows at most
-    return F.split(F.lit(",".join(str(found.get(c, 0) << 32) for c in range(CLASSES))), ",").cast("array<long>")
+    """How many line tokens fall into each class, in steps of a doubling, as a constant array (subqueries can't stand in lambdas)."""
+    each = lines.select(F.explode("tokens").alias("t")).groupBy(F.col("t").bitwiseAND(F.lit(CLASSES - 1)).cast("int").alias("class"))
+    counted = each.agg(F.round(F.log2(F.count("*")) * STEPS).cast("int").alias("step"))
+    every = lines.sparkSession.range(CLASSES, numPartitions=1).select(F.col("id").cast("int").alias("class"), F.lit(0).alias("step"))
+    whole = counted.union(every).groupBy("class").agg(F.max("step").alias("step"))
+    in_order = F.sort_array(F.collect_list(F.col("class") * 256 + F.col("step")))
+    row = whole.agg(F.transform(in_order, lambda x: x.bitwiseAND(F.lit(255))).alias("steps")).first()  # CLASSES numbers
+    return F.split(F.lit(",".join(str(x << 48) for x in row["steps"])), ",").cast("array<long>")
 
 
 def _bits(hashes: DataFrame, column: str) -> Column:
@@ -100,22 +112,6 @@ def _may_match(percent: int) -> Column:
     return by_length & by_mask
 
 
-def _sifted(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """The pairs of prints (a, b) that wider parity masks leave, as masks of 64 bits say little of long lines."""
-    needed = pairs.select(F.col("a").alias("print")).union(pairs.select("b"))
-    some = lines.filter(_maybe(_bits(needed, "print"), "print"))
-    # a row of its own for every line: repeated documents share key and line_no, and their tokens mustn't cancel out
-    tokens = some.select("print", F.monotonically_increasing_id().alias("row"), "tokens").select("print", "row", F.explode("tokens").alias("t"))
-    word = lambda w: F.expr(f"bit_xor(if(shiftright(t, 6) & {WIDE_WORDS - 1} = {w}, shiftleft(1L, cast(t & 63 as int)), 0L))")
-    names = [f"w{w}" for w in range(WIDE_WORDS)]
-    by_line = tokens.groupBy("print", "row").agg(F.count("*").alias("n"), *(word(w).alias(x) for w, x in enumerate(names)))
-    masks = materialize(by_line.groupBy("print").agg(*(F.max(x).alias(x) for x in ["n", *names])), "line-masks")
-    sides = [masks.select(F.col("print").alias(s), *(F.col(x).alias(f"{x}_{s}") for x in ["n", *names])) for s in "ab"]
-    differ = " + ".join(f"bit_count({x}_a ^ {x}_b)" for x in names)
-    fits = F.expr(f"{100 + percent} * ({differ}) <= {100 - percent} * (n_a + n_b)")
-    return materialize(pairs.join(sides[0], "a").join(sides[1], "b").filter(fits).select("a", "b"), "sifted-pairs")
-
-
 def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs of prints (a, b) whose sets are similar."""
     needed = materialize(pairs.select(F.col("a").alias("print")).union(pairs.select("b")).distinct(), "line-prints")
@@ -128,16 +124,21 @@ def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
 
 
 def similar_to_leaders(sets: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """Prints of sets that resemble the earliest set with the same least or greatest token hash.
+    """Prints of sets that resemble an earlier leader of those with the same least or greatest token hash.
 
-    It settles nearly all of a large group of similar lines by one comparison
-    each; the join need not pair what is settled.
+    Leaders are the earliest set and the earliest of the shortest ones, which is
+    near to lines that hold a passage between words of their own. They settle
+    nearly all of a large group by a few comparisons each; the join need not
+    pair what is settled.
     """
     keyed = sets.select("print", "n", "mask", "half", "first", F.explode(F.array("low", "high")).alias("hash"))
-    leaders = keyed.groupBy("hash").agg(F.min(F.struct("first", "print", "n", "mask", "half")).alias("lead"), F.max("print").alias("other")).filter("lead.print <> other")
-    met = keyed.join(leaders, "hash").filter("print <> lead.print")
-    named = met.select(*(F.col(c).alias(f"{c}_b") for c in ("print", "n", "mask", "half")), *(F.col(f"lead.{c}").alias(f"{c}_a") for c in ("print", "n", "mask", "half")))
-    pairs = named.filter(_may_match(percent)).select(F.col("print_a").alias("a"), F.col("print_b").alias("b")).distinct()
+    about = [F.col(c) for c in ("first", "print", "n", "mask", "half")]
+    leads = [F.min(F.struct(*about)).alias("lead"), F.min(F.struct(F.floor(F.col("n") / 4).alias("short"), *about)).alias("shortest")]
+    leaders = keyed.groupBy("hash").agg(*leads, F.max("print").alias("other")).filter("lead.print <> other")
+    met = keyed.join(leaders, "hash")
+    sides = lambda lead: [F.col(f"{lead}.first").alias("led_by"), *(F.col(f"{lead}.{c}").alias(f"{c}_a") for c in ("print", "n", "mask", "half")), "first", *(F.col(c).alias(f"{c}_b") for c in ("print", "n", "mask", "half"))]
+    named = met.select(F.explode(F.array(*(F.struct(*sides(x)) for x in ("lead", "shortest")))).alias("x")).select("x.*")
+    pairs = named.filter(F.expr("led_by < first")).filter(_may_match(percent)).select(F.col("print_a").alias("a"), F.col("print_b").alias("b")).distinct()
     return _verified(materialize(pairs, "leader-pairs"), lines, percent).select(F.col("b").alias("print")).distinct()
 
 
@@ -148,30 +149,32 @@ def similar_sets(sets: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """
     # with fewer tokens than this only equal sets are similar
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 30
-    columns = ["print", "n", "mask", "half", "open", "at"]
-    tokens = sets.filter(F.col("n") >= least).select(*columns[:-1], F.posexplode("prefix").alias("at", "token"))
+    columns = ["print", "id", "n", "mask", "half", "open", "at"]
+    tokens = sets.filter(F.col("n") >= least).withColumn("id", F.col("first.id")).select(*columns[:-1], F.posexplode("prefix").alias("at", "token"))
     # the first common token stands early in the shorter set; late ones, the more frequent, needn't meet each other
     is_early = F.expr(f"{100 + percent} * (n - at) >= {2 * percent} * n")
     early, late = tokens.filter(is_early), tokens.filter(~is_early)
     side = lambda rows, s: rows.select("token", *(F.col(c).alias(f"{c}_{s}") for c in columns))
     by_position = F.expr(f"{100 + percent} * (1 + least(n_a - at_a - 1, n_b - at_b - 1)) >= {percent} * (n_a + n_b)")
-    fits = by_position & (F.col("open_a") | F.col("open_b")) & _may_match(percent)
+    # only a later set can lose its lines; ids tell which of two is later unless they're equal (null ids come first)
+    matters = F.expr("(open_b and (id_a is null or id_a <= id_b)) or (open_a and (id_b is null or id_b <= id_a))")
+    fits = by_position & F.coalesce(matters, F.lit(False)) & _may_match(percent)
     both_early = side(early, "a").join(side(early, "b"), "token").filter((F.col("print_a") < F.col("print_b")) & fits)
     one_late = side(early, "a").join(side(late, "b"), "token").filter((F.col("print_a") != F.col("print_b")) & (F.col("n_a") < F.col("n_b")) & fits)
     met = both_early.select("print_a", "print_b").union(one_late.select(F.least("print_a", "print_b"), F.greatest("print_a", "print_b")))
     pairs = materialize(met.select(F.col("print_a").alias("a"), F.col("print_b").alias("b")).distinct(), "line-pairs")
-    return _verified(_sifted(pairs, lines, percent), lines, percent)
+    return _verified(pairs, lines, percent)
 
 
 def removed_lines(keyed: DataFrame, percent: int) -> DataFrame:
     """(key, line_no) of every line that repeats an earlier one; ``keyed`` holds (id, key, text)."""
     lines = materialize(_lines(keyed), "lines", dictionary_mb=8)
     counts = _rarity(lines)
-    # count and low half of the hash in one number: its order is that of rarity, and equal tokens have equal numbers
-    rank = lambda t: F.get(counts, t.bitwiseAND(F.lit(CLASSES - 1)).cast("int")).bitwiseOR(t.bitwiseAND(F.lit(0xFFFFFFFF)))
+    # count and hash in one number, never null: its order is that of rarity, and equal tokens have equal numbers
+    rank = lambda t: F.coalesce(F.get(counts, t.bitwiseAND(F.lit(CLASSES - 1))).bitwiseOR(t.bitwiseAND(F.lit((1 << 48) - 1))), F.lit(0).cast("long"))
     length = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
     place = F.struct("id", "key", "line_no")
-    derived = {"prefix": F.slice(F.sort_array(F.transform("tokens", rank)), 1, length), "mask": _mask(F.col("tokens")), "half": _half(F.col("tokens"), F.col("n")), "low": F.element_at("tokens", 1), "high": F.element_at("tokens", -1)}
+    derived = {"prefix": F.slice(F.sort_array(F.transform("tokens", rank)), 1, length), "mask": _mask(F.col("tokens")), "half": _half(F.col("tokens"), F.col("n")), "low": F.array_min("tokens"), "high": F.array_max("tokens")}
     # lines whose set occurs once, nearly all, are sets as they are
     repeated = materialize(lines.groupBy("print", "n").count().filter("count > 1").select("print"), "repeated-lines")
     some = _bits(repeated, "print")
