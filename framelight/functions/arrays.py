@@ -30,9 +30,3 @@ def quantile(sorted_values: Column, p: float) -> Column:
 
 def clip01(x: Column) -> Column:
     return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
-
-
-def suppress(sorted_places: Column, too_near) -> Column:
-    """Greedy suppression: places are taken in order unless ``too_near(a, b)`` holds for one taken before."""
-    empty = F.array().cast("array<bigint>")
-    return F.aggregate(sorted_places, empty, lambda kept, b: F.when(F.exists(kept, lambda a: too_near(a, b)), kept).otherwise(F.concat(kept, F.array(b))))

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framelight.config import Config
-from framelight.functions.arrays import clip01, quantile, suppress
+from framelight.functions.arrays import clip01, quantile
+from framelight.functions.ordered import over_videos
 
 #: Videos with at least so many frames are normalised between percentiles 2 and 98.
 ROBUST_FROM = 50
 
 
+def _field(name: str, kind: T.DataType) -> T.StructField:
+    return T.StructField(name, kind, True)
+
+
 def robust_normalize(frames: DataFrame, columns: list[str]) -> DataFrame:
     """``frames`` with ``n_<column>`` in 0..1, by video; a flat signal becomes 0."""
     lists = frames.groupBy("video_id").agg(F.count("*").alias("_n"), *(F.sort_array(F.collect_list(F.coalesce(F.col(c), F.lit(0.0)))).alias(f"_{c}") for c in columns))
@@ -51,34 +58,93 @@ def find_peaks(scored: DataFrame) -> DataFrame:
     return sides.filter("height > before and height > after").select("video_id", F.floor((F.col("start") + F.col("end")) / 2).cast("int").alias("frame_idx"), "height")
 
 
+def spaced(places: np.ndarray, order: np.ndarray, gap: int) -> np.ndarray:
+    """Which of the places stay when, in the given order, one nearer than ``gap`` to one that stays is dropped.
+
+    Those that stay lie ``gap`` apart, so each stretch of that length holds one
+    at most and only three stretches are looked at.
+    """
+    stays = np.zeros(len(places), dtype=bool)
+    if gap <= 1:
+        stays[:] = True
+        return stays
+    taken: dict[int, int] = {}
+    for i in order.tolist():
+        at = int(places[i])
+        stretch = at // gap
+        if all(abs(taken.get(stretch + d, at - gap) - at) >= gap for d in (-1, 0, 1)):
+            taken[stretch], stays[i] = at, True
+    return stays
+
+
+def prominences(x: np.ndarray, peaks: np.ndarray) -> np.ndarray:
+    """Height of the peaks (positions in ``x``) above the higher of the two minima up to the next strictly higher value on each side.
+
+    A stack of falling values with the least value since each one gives a
+    side's minima in one walk.
+    """
+    floors = []
+    for values, wanted in ((x, peaks), (x[::-1], len(x) - 1 - peaks)):
+        floor, stack = np.zeros(len(x)), []
+        for i, v in enumerate(values.tolist()):
+            least = v
+            while stack and stack[-1][0] <= v:
+                least = min(least, stack.pop()[1])
+            stack.append((v, least))
+            floor[i] = least
+        floors.append(floor[wanted])
+    return x[peaks] - np.maximum(*floors)
+
+
+def local_peaks(frame: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Frame numbers and heights of strict local maxima, as :func:`find_peaks` defines them."""
+    starts = np.flatnonzero(np.diff(x, prepend=np.nan) != 0)
+    ends = np.append(starts[1:], len(x)) - 1
+    height = x[starts]
+    inner = np.zeros(len(starts), dtype=bool)
+    inner[1:-1] = (height[1:-1] > height[:-2]) & (height[1:-1] > height[2:])
+    return (frame[starts[inner]] + frame[ends[inner]]) // 2, height[inner]
+
+
+def _highest_first(at: np.ndarray, height: np.ndarray) -> np.ndarray:
+    return np.lexsort((-at, -height))
+
+
 def peak_distance(peaks: DataFrame, distance: int) -> DataFrame:
     """Peaks left when, from the highest down, those nearer than ``distance`` to one kept are dropped; of equals the later goes first."""
-    order = F.sort_array(F.collect_list(F.struct("height", F.col("frame_idx").cast("long").alias("at"))), asc=False)
-    kept = peaks.groupBy("video_id").agg(order.alias("order")).select("video_id", F.explode(suppress(F.col("order.at"), lambda a, b: F.abs(a - b) < distance)).alias("frame_idx"))
-    return peaks.join(kept.withColumn("frame_idx", F.col("frame_idx").cast("int")), ["video_id", "frame_idx"], "left_semi")
+    stays = over_videos(peaks, ["frame_idx", "height"], [_field("stays", T.BooleanType())], lambda at, height: [spaced(at, _highest_first(at, height), distance)])
+    return stays.filter("stays").drop("stays")
 
 
 def peak_prominence(peaks: DataFrame, scored: DataFrame) -> DataFrame:
     """``peaks`` with prominence: height above the higher of the two minima up to the next strictly higher frame on each side."""
-    signal = scored.select("video_id", F.col("frame_idx").alias("at"), F.col("action_score").alias("x"))
-    higher = peaks.join(signal, "video_id").groupBy("video_id", "frame_idx", "height").agg(
-        F.max(F.when((F.col("at") < F.col("frame_idx")) & (F.col("x") > F.col("height")), F.col("at"))).alias("left_end"),
-        F.min(F.when((F.col("at") > F.col("frame_idx")) & (F.col("x") > F.col("height")), F.col("at"))).alias("right_end"),
-    )
-    inside = higher.join(signal, "video_id")
-    left = (F.col("at") <= F.col("frame_idx")) & (F.col("at") > F.coalesce("left_end", F.lit(-1)))
-    right = (F.col("at") >= F.col("frame_idx")) & (F.col("right_end").isNull() | (F.col("at") < F.col("right_end")))
-    minima = inside.groupBy("video_id", "frame_idx", "height").agg(F.min(F.when(left, F.col("x"))).alias("left_min"), F.min(F.when(right, F.col("x"))).alias("right_min"))
-    return minima.select("video_id", "frame_idx", "height", (F.col("height") - F.greatest("left_min", "right_min")).alias("prominence"))
+
+    def measure(x: np.ndarray, height: np.ndarray) -> list[np.ndarray]:
+        found, at = np.full(len(x), np.nan), np.flatnonzero(~np.isnan(height))
+        found[at] = prominences(x, at)
+        return [found]
+
+    signal = scored.select("video_id", "frame_idx", "action_score").join(peaks.select("video_id", "frame_idx", F.col("height").cast("double").alias("height")), ["video_id", "frame_idx"], "left")
+    measured = over_videos(signal, ["action_score", "height"], [_field("prominence", T.DoubleType())], measure)
+    return measured.filter("height is not null").select("video_id", "frame_idx", "height", "prominence")
 
 
 def score_frames(frames: DataFrame, config: Config = Config()) -> DataFrame:
-    """``frames`` with action_score, persistence_value and is_peak."""
-    scored = action_score(frames, config)
-    peaks = peak_prominence(peak_distance(find_peaks(scored), config.peak_distance), scored).filter(F.col("prominence") >= config.peak_prominence)
-    value = persistence(peaks, config).select("video_id", "frame_idx", "persistence_value")
-    joined = scored.join(value, ["video_id", "frame_idx"], "left").withColumn("persistence_value", F.coalesce("persistence_value", F.lit(0.0)))
-    return joined.withColumn("is_peak", F.col("persistence_value") >= config.persistence_threshold)
+    """``frames`` with action_score, persistence_value and is_peak; peaks are found in one walk over each video."""
+    top = config.max_prominence
+
+    def mark(frame: np.ndarray, x: np.ndarray) -> list[np.ndarray]:
+        at, height = local_peaks(frame, x)
+        at = at[spaced(at, _highest_first(at, height), config.peak_distance)]
+        place = np.searchsorted(frame, at)
+        place = place[frame[place] == at]  # the middle of a plateau may be a frame that's missing
+        found = prominences(x, place)
+        place, found = place[found >= config.peak_prominence], found[found >= config.peak_prominence]
+        value = np.zeros(len(x))
+        value[place] = np.minimum(found / top, 1.0) if top > 1e-8 else 0.0
+        return [value, value >= config.persistence_threshold]
+
+    return over_videos(action_score(frames, config), ["frame_idx", "action_score"], [_field("persistence_value", T.DoubleType()), _field("is_peak", T.BooleanType())], mark)
 
 
 def persistence(peaks: DataFrame, config: Config = Config()) -> DataFrame:
@@ -92,19 +158,24 @@ def nms(scored: DataFrame, window: int | None = 10) -> DataFrame:
     """``scored`` with is_peak cleared for peaks within ``window`` of a higher one that stays."""
     if not window or window <= 0:
         return scored
-    order = F.sort_array(F.collect_list(F.struct((-F.col("action_score")).alias("s"), F.col("frame_idx").cast("long").alias("at"))))
-    kept = scored.filter("is_peak").groupBy("video_id").agg(order.alias("order"))
-    kept = kept.select("video_id", F.explode(suppress(F.col("order.at"), lambda a, b: F.abs(a - b) <= window)).alias("at"))
-    kept = kept.select("video_id", F.col("at").cast("int").alias("frame_idx"), F.lit(True).alias("_stays"))
-    joined = scored.join(kept, ["video_id", "frame_idx"], "left")
-    return joined.withColumn("is_peak", F.coalesce("_stays", F.lit(False))).drop("_stays")
+
+    def clear(frame: np.ndarray, x: np.ndarray, peak: np.ndarray) -> list[np.ndarray]:
+        at = np.flatnonzero(peak.astype(bool))
+        out = np.zeros(len(x), dtype=bool)
+        out[at[spaced(frame[at], np.lexsort((frame[at], -x[at])), window + 1)]] = True
+        return [out]
+
+    given = scored.withColumn("is_peak", F.coalesce("is_peak", F.lit(False)))
+    return over_videos(given, ["frame_idx", "action_score", "is_peak"], [_field("is_peak", T.BooleanType())], clear).select(*scored.columns)
 
 
 def nms_parents(scored: DataFrame, suppressed: DataFrame, window: int = 10) -> DataFrame:
     """Suppressed peaks with the highest peak within the window that stayed."""
     was, stays = scored.filter("is_peak").select("video_id", "frame_idx", "action_score"), suppressed.filter("is_peak").select("video_id", F.col("frame_idx").alias("parent"), F.col("action_score").alias("s"))
     gone = was.join(stays, (was["video_id"] == stays["video_id"]) & (was["frame_idx"] == stays["parent"]), "left_anti")
-    met = gone.join(stays, "video_id").filter(F.abs(F.col("frame_idx") - F.col("parent")) <= window)
+    # parents lie in the same stretch of the window's length or a neighbouring one
+    near = gone.withColumn("stretch", F.explode(F.array(*(F.floor(F.col("frame_idx") / window) + d for d in (-1, 0, 1)))))
+    met = near.join(stays.withColumn("stretch", F.floor(F.col("parent") / window)), ["video_id", "stretch"]).filter(F.abs(F.col("frame_idx") - F.col("parent")) <= window)
     return met.groupBy("video_id", "frame_idx").agg(F.min(F.struct((-F.col("s")).alias("s"), "parent")).alias("best")).select("video_id", "frame_idx", F.col("best.parent").alias("nms_parent"))
 
 
