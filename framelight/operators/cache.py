@@ -34,40 +34,79 @@ def keep_score(total_admitted: Column, config: Config = Config()) -> Column:
     return sum((w * F.col(c) for c, w in weights(config).items()), config.l1_w_recency * recency)
 
 
+class _Replay:
+    """One video's cache of bounded size and its counters."""
+
+    def __init__(self, size: int, config: Config):
+        self.size, self.weights, self.recency = size, weights(config), config.l1_w_recency
+        self.entries: dict[int, dict] = {}
+        self.hits = self.misses = self.counter = 0
+
+    def score(self, entry: dict) -> float:
+        age = (self.counter - entry["admitted_at"]) / max(self.counter, 1)
+        return sum(w * entry[c] for c, w in self.weights.items()) + self.recency * max(0.0, 1 - age)
+
+    def arrive(self, row: dict) -> tuple[int, float] | None:
+        """Take a frame in; returns the frame that is evicted for it and its score."""
+        at, gone = row["frame_idx"], None
+        if at in self.entries:
+            self.hits += 1
+            self.entries[at] = row | {"admitted_at": 0}
+            return None
+        self.misses += 1
+        if len(self.entries) >= self.size:
+            scores = {i: self.score(e) for i, e in self.entries.items()}
+            victim = min(scores, key=scores.get)  # the earliest of equals
+            del self.entries[victim]
+            gone = victim, scores[victim]
+        self.entries[at] = row | {"admitted_at": self.counter}
+        self.counter += 1
+        return gone
+
+    def final(self, video_id: int) -> pd.DataFrame:
+        rows = [{"video_id": video_id, **{c: e[c] for c in ("frame_idx", *SIGNALS, "admitted_at")}, "position": i} for i, e in enumerate(self.entries.values())]
+        return pd.DataFrame(rows).assign(hits=self.hits, misses=self.misses, counter=self.counter)
+
+
+def _replayed(events: DataFrame, size: int, config: Config, evicted: bool, schema: str) -> DataFrame:
+    """Arrivals stream through one cache at a time: partitions are sorted by video and arrival, and may spill."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        video, cache = None, None
+        for rows in batches:
+            out = []
+            for row in rows.to_dict("records"):
+                if cache is None or row["video_id"] != video:
+                    if cache is not None and not evicted:
+                        yield cache.final(video)
+                    video, cache = row["video_id"], _Replay(size, config)
+                gone = cache.arrive(row)
+                if gone and evicted:
+                    out.append((video, row["arrival"], row["frame_idx"], *gone))
+            if out:
+                yield pd.DataFrame(out, columns=["video_id", "arrival", "frame_idx", "victim", "keep_score"])
+        if cache is not None and not evicted:
+            yield cache.final(video)
+
+    given = events.select("video_id", "arrival", "frame_idx", *SIGNALS)
+    return given.repartition("video_id").sortWithinPartitions("video_id", "arrival").mapInPandas(run, schema)
+
+
 def admit(events: DataFrame, config: Config = Config(), capacity: int | None = None) -> DataFrame:
     """Replay arrivals (video_id, arrival, frame_idx and the signals) into one cache for each video.
 
     Returns the final entries in insertion order with the video's counters. A
     frame that is present again replaces its entry with admitted_at 0; a full
     cache first evicts the lowest keep score, the earliest of equals. The state
-    is one cache of bounded size; arrivals stream through it.
+    is one cache of bounded size.
     """
-    size, w = capacity or config.l1_capacity, weights(config)
+    schema = "video_id long, frame_idx int, " + ", ".join(f"{c} double" for c in SIGNALS) + ", admitted_at long, position long, hits long, misses long, counter long"
+    return _replayed(events, capacity or config.l1_capacity, config, False, schema)
 
-    def replay(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict[int, dict] = {}
-        hits = misses = counter = 0
-        for rows in batches:
-            for row in rows.to_dict("records"):
-                at = row["frame_idx"]
-                if at in cache:
-                    hits += 1
-                    cache[at] = row | {"admitted_at": 0}
-                    continue
-                misses += 1
-                if len(cache) >= size:
-                    score = lambda r: sum(w[c] * r[c] for c in SIGNALS) + config.l1_w_recency * max(0.0, 1 - (counter - r["admitted_at"]) / max(counter, 1))  # noqa: B023, E731
-                    del cache[min(cache, key=lambda i: score(cache[i]))]
-                cache[at] = row | {"admitted_at": counter}
-                counter += 1
-        out = pd.DataFrame([{**{c: r[c] for c in ("video_id", "frame_idx", *SIGNALS)}, "admitted_at": r["admitted_at"], "position": i} for i, r in enumerate(cache.values())])
-        yield out.assign(hits=hits, misses=misses, counter=counter)
-
-    def grouped(rows: pd.DataFrame) -> pd.DataFrame:
-        return next(replay((), iter([rows.sort_values("arrival", kind="stable")])))
 
-    schema = "video_id long, frame_idx int, " + ", ".join(f"{c} double" for c in SIGNALS) + ", admitted_at long, position long, hits long, misses long, counter long"
-    return events.select("video_id", "arrival", "frame_idx", *SIGNALS).groupBy("video_id").applyInPandas(grouped, schema)
+def evictions(events: DataFrame, config: Config = Config(), capacity: int | None = None) -> DataFrame:
+    """(video_id, arrival, frame_idx, victim, keep_score): which frame went for which arrival."""
+    return _replayed(events, capacity or config.l1_capacity, config, True, "video_id long, arrival long, frame_idx int, victim int, keep_score double")
 
 
 def query_cache(entries: DataFrame, query: DataFrame, k: int, config: Config = Config()) -> DataFrame:

@@ -57,44 +57,73 @@ def edge_weights(nodes: DataFrame, config: Config = Config()) -> DataFrame:
     return pairs.select("video_id", "src", "dst", weight.alias("weight"))
 
 
-def power_iteration(weights: np.ndarray, seed: np.ndarray, rounds: int = 100, tolerance: float | None = 1e-6) -> np.ndarray:
-    """Weighted PageRank of a dense symmetric graph; rows without weight give their mass to the seeds."""
+class CompleteGraph:
+    """The weights of a video's complete graph, applied to vectors without being written out.
+
+    The cosine part of a product is two products with the unit vectors, the
+    coherence part prefix sums over the sorted scores; so a product takes time
+    and memory in proportion to the nodes and their embeddings.
+    """
+
+    def __init__(self, score: np.ndarray, unit: np.ndarray, has: np.ndarray, alpha: float, beta: float):
+        self.unit, self.has, self.alpha, self.beta = unit, has, alpha, beta
+        self.order = np.argsort(score, kind="stable")
+        self.sorted, self.width = score[self.order], score.max() - score.min()
+        self.own = np.where(has, alpha * (unit * unit).sum(1) + beta, 1.0)
+
+    def _coherent(self, z: np.ndarray) -> np.ndarray:
+        """The sum over i of z_i times the coherence of i with each node."""
+        if self.width == 0:
+            return np.full(len(z), z.sum())
+        w = z[self.order]
+        below, moment = np.cumsum(w), np.cumsum(w * self.sorted)
+        apart = self.sorted * (2 * below - below[-1]) + moment[-1] - 2 * moment
+        out = np.empty(len(z))
+        out[self.order] = below[-1] - apart / self.width
+        return out
+
+    def times(self, z: np.ndarray) -> np.ndarray:
+        embedded = np.where(self.has, z, 0.0)
+        both = self.alpha * (self.unit @ (self.unit.T @ embedded)) + (self.beta - 1) * self._coherent(embedded)
+        return self._coherent(z) + np.where(self.has, both, 0.0) - self.own * z
+
+
+def power_iteration(graph: CompleteGraph, seed: np.ndarray, rounds: int = 100, tolerance: float | None = 1e-6) -> np.ndarray:
+    """Weighted PageRank; nodes without weight give their mass to the seeds."""
     n = len(seed)
-    total = weights.sum(1)
-    step = np.divide(weights, total[:, None], out=np.zeros_like(weights), where=total[:, None] != 0)
+    total = graph.times(np.ones(n))
+    linked = np.abs(total) > 1e-12 * n
+    share = np.divide(1.0, total, out=np.zeros(n), where=linked)
     p = seed / seed.sum() if seed.sum() > 0 else np.full(n, 1 / n)
     x = np.full(n, 1 / n)
     for _ in range(rounds):
-        new = DAMPING * (x @ step + x[total == 0].sum() * p) + (1 - DAMPING) * p
+        new = DAMPING * (graph.times(x * share) + x[~linked].sum() * p) + (1 - DAMPING) * p
         if tolerance is not None and np.abs(new - x).sum() < n * tolerance:
             return new
         x = new
     if tolerance is not None and seed.sum() > 0:  # no convergence: again without seeds
-        return power_iteration(weights, np.zeros(n), rounds, None)
+        return power_iteration(graph, np.zeros(n), rounds, None)
     return x
 
 
 def pagerank(nodes: DataFrame, config: Config = Config(), rounds: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
     """video_id, frame_idx, pagerank_score, personalised by action_score.
 
-    The graph of a video is complete, so it's built from the nodes inside the
-    video's group (n rows) and never shuffled as n * n edges.
+    The graph of a video is complete; neither its n * n edges are shuffled nor
+    its matrix built. A group holds one video's nodes and embeddings.
     """
 
     def rank(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("frame_idx")
         score = rows["action_score"].fillna(0).to_numpy(dtype=float)
-        width = score.max() - score.min()
-        weight = np.ones((len(rows), len(rows))) if width == 0 else 1 - np.abs(score[:, None] - score) / width
         has = rows["embedding"].notna().to_numpy()
+        unit = np.zeros((len(rows), len(rows["embedding"][has].iloc[0]) if has.any() else 1))
         if has.any():
             e = np.stack(rows["embedding"][has].to_numpy()).astype(float)
             size = np.linalg.norm(e, axis=1, keepdims=True)
-            unit = np.divide(e, size, out=np.zeros_like(e), where=size > 0)
-            at = np.ix_(has, has)
-            weight[at] = config.alpha * (unit @ unit.T) + config.beta * weight[at]
-        np.fill_diagonal(weight, 0)
-        return pd.DataFrame({"video_id": rows["video_id"], "frame_idx": rows["frame_idx"], "pagerank_score": power_iteration(weight, score, rounds, tolerance)})
+            unit[has] = np.divide(e, size, out=np.zeros_like(e), where=size > 0)
+        found = CompleteGraph(score, unit, has, config.alpha, config.beta)
+        return pd.DataFrame({"video_id": rows["video_id"], "frame_idx": rows["frame_idx"], "pagerank_score": power_iteration(found, score, rounds, tolerance)})
 
     return nodes.select("video_id", "frame_idx", "action_score", "embedding").groupBy("video_id").applyInPandas(rank, "video_id long, frame_idx int, pagerank_score double")
 
@@ -140,10 +169,11 @@ def adjacent_edges(nodes: DataFrame) -> DataFrame:
 
 
 def cross_edges(nodes: DataFrame, least: float = 0.85) -> DataFrame:
-    """Edges between frames that aren't neighbours but have nearly the same score."""
-    a = _display(nodes)
-    b = a.select("video_id", F.col("frame_idx").alias("target"), F.col("s").alias("s2"), F.col("rn").alias("rn2"))
-    near = a.join(b, "video_id").filter("rn2 >= rn + 2").withColumn("c", 1 - F.abs(F.col("s") - F.col("s2")) / F.col("width"))
+    """Edges between frames that aren't neighbours but have nearly the same score (``least`` below 1)."""
+    # only scores in the same or a neighbouring band can be as near as that
+    a = _display(nodes).withColumn("band", F.floor(F.col("s") / (F.col("width") * (1 - least))))
+    b = a.select("video_id", F.col("frame_idx").alias("target"), F.col("s").alias("s2"), F.col("rn").alias("rn2"), F.explode(F.array(*(F.col("band") + d for d in (-1, 0, 1)))).alias("band"))
+    near = a.join(b, ["video_id", "band"]).filter("rn2 >= rn + 2").withColumn("c", 1 - F.abs(F.col("s") - F.col("s2")) / F.col("width"))
     return near.filter(F.col("c") > least).select("video_id", F.col("frame_idx").alias("source"), "target", F.round(F.col("c") + TIE, 4).alias("weight"), F.lit(True).alias("cross"))
 
 

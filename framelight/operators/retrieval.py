@@ -49,18 +49,27 @@ def zero_shot_label(frames: DataFrame, labels: DataFrame, fallback: str = "visua
 
 
 def embed(rows: DataFrame, column: str, model: Callable[[pd.Series], list], size: int = 512, out: str = "embedding") -> DataFrame:
-    """``rows`` with unit vectors from a model plug-in; a batch that fails gives zeros."""
+    """``rows`` with unit vectors from a model plug-in; where a batch fails each of its rows is tried alone, and those that fail give zeros."""
 
     @F.pandas_udf("array<double>")
     def run(values: pd.Series) -> pd.Series:
         import numpy as np
 
-        try:
-            raw = np.array(model(values), dtype=float).reshape(len(values), -1)
+        def units(part: pd.Series) -> list:
+            raw = np.array(model(part), dtype=float).reshape(len(part), -1)
             length = np.linalg.norm(raw, axis=1, keepdims=True)
-            return pd.Series(list(np.divide(raw, length, out=np.zeros_like(raw), where=length > 0)))
+            return list(np.divide(raw, length, out=np.zeros_like(raw), where=length > 0))
+
+        try:
+            return pd.Series(units(values))
         except Exception:  # the model is foreign code
-            return pd.Series([[0.0] * size] * len(values))
+            found = []
+            for i in range(len(values)):
+                try:
+                    found += units(values.iloc[i : i + 1])
+                except Exception:
+                    found.append([0.0] * size)
+            return pd.Series(found)
 
     return rows.withColumn(out, run(column))
 

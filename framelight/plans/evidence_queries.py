@@ -63,7 +63,7 @@ def g4_l1_query(spark, sf):
 
 @query()
 def g5_l1_update_pagerank(spark, sf):
-    scores = tables.frames(spark, sf).filter("frame_idx % 2 = 0").select("video_id", "frame_idx", (F.col("entropy") / 2).alias("pagerank_score"))
+    scores = tables.frames(spark, sf).select("video_id", "frame_idx", (F.col("entropy") / 2).alias("pagerank_score"))
     return rounded(cache.update_pagerank(cached(spark, sf), scores).select("video_id", "frame_idx", "pagerank"), "pagerank")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelight.config import Config
@@ -125,10 +125,9 @@ def b13_timestamp_resolve(spark, sf):
 NMS_TIERED = f"{sql.NMS},\n{sql.TIERED.removeprefix(sql.FRAMES + ',')}"
 
 
-@query(f"WITH RECURSIVE {NMS_TIERED} SELECT video_id, frame_idx, tier, round(coalesce(n.action_score, 0.0), 6) AS action_score, coalesce(n.is_peak, false) AS is_peak, round(coalesce(n.persistence_value, 0.0), 6) AS persistence_value FROM tiered LEFT JOIN (SELECT * FROM nmsed WHERE frame_idx % 3 <> 1) n USING (video_id, frame_idx) WHERE tier <> 'SKIP'")
+@query(f"WITH RECURSIVE {NMS_TIERED} SELECT video_id, frame_idx, tier, round(coalesce(n.action_score, 0.0), 6) AS action_score, coalesce(n.is_peak, false) AS is_peak, round(coalesce(n.persistence_value, 0.0), 6) AS persistence_value FROM tiered LEFT JOIN nmsed n USING (video_id, frame_idx) WHERE tier <> 'SKIP'")
 def b14_score_join_back(spark, sf):
-    partial = suppressed(spark, sf).filter("frame_idx % 3 <> 1")  # every third frame has no score
-    out = signals.join_scores(tiers.filter_skip(tiered(spark, sf)).select("video_id", "frame_idx", "tier"), partial)
+    out = signals.join_scores(tiers.filter_skip(tiered(spark, sf)).select("video_id", "frame_idx", "tier"), suppressed(spark, sf))
     return rounded(out, "action_score", "persistence_value")
 
 
@@ -294,17 +293,24 @@ def e2_node_bulk(spark, sf):
     return rounded(graph.bulk_nodes(features, suppressed(spark, sf)), "residual_energy", "entropy", "action_score", "persistence_value")
 
 
-@query(f"WITH RECURSIVE {sql.NODES} SELECT video_id, frame_idx, len(embedding)::INT AS dims FROM nodes")
+#: A number that changes if two entries of a list are swapped.
+PLACED = "list_sum(list_transform({0}, lambda x, i: x * i))"
+
+
+def placed(array: str) -> Column:
+    return F.aggregate(F.transform(array, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+
+
+@query(f"WITH RECURSIVE {sql.NODES} SELECT video_id, frame_idx, len(embedding)::INT AS dims, round({PLACED.format('embedding')}, 4) + 0.0 AS content FROM nodes")
 def e3_enrich_one(spark, sf):
     found = graph.enrich(suppressed(spark, sf), tables.frame_embeddings(spark, sf), strict=True)
-    return found.select("video_id", "frame_idx", F.size("embedding").alias("dims"))
+    return found.select("video_id", "frame_idx", F.size("embedding").alias("dims"), (F.round(placed("embedding"), 4) + 0.0).alias("content"))
 
 
-@query(f"WITH {sql.EMBEDDED} SELECT video_id, frame_idx, CASE WHEN frame_idx % 2 = 0 THEN len(embedding) ELSE 0 END::INT AS dims, 0::INT AS triples FROM embedded WHERE frame_idx > 3")
+@query(f"WITH {sql.EMBEDDED} SELECT video_id, frame_idx, len(embedding)::INT AS dims, round({PLACED.format('embedding')}, 4) + 0.0 AS content, 0::INT AS triples FROM embedded")
 def e4_enrich_bulk(spark, sf):
-    # some found ids have no node, some nodes find nothing
-    found = graph.enrich(tables.frames(spark, sf).filter("frame_idx > 3").select("video_id", "frame_idx"), tables.frame_embeddings(spark, sf).filter("frame_idx % 2 = 0"))
-    return found.select("video_id", "frame_idx", F.coalesce(F.size("embedding"), F.lit(0)).alias("dims"), F.greatest(F.coalesce(F.size("triples"), F.lit(0)), F.lit(0)).alias("triples")).withColumn("dims", F.greatest("dims", F.lit(0)))
+    found = graph.enrich(tables.frames(spark, sf).select("video_id", "frame_idx"), tables.frame_embeddings(spark, sf))
+    return found.select("video_id", "frame_idx", F.size("embedding").alias("dims"), (F.round(placed("embedding"), 4) + 0.0).alias("content"), F.size("triples").alias("triples"))
 
 
 @query(f"WITH RECURSIVE {sql.NODES} SELECT a.video_id, a.frame_idx AS src, b.frame_idx AS dst, round(CASE WHEN high = low THEN 1.0 ELSE 1 - abs(a.action_score - b.action_score) / (high - low) END, 6) + 0.0 AS coherence FROM nodes a JOIN nodes b ON a.video_id = b.video_id AND a.frame_idx < b.frame_idx JOIN ranges r ON r.video_id = a.video_id")
@@ -334,21 +340,22 @@ trans AS MATERIALIZED (SELECT video_id, i, j, weight / sum(weight) OVER (PARTITI
 seeds AS MATERIALIZED (SELECT video_id, frame_idx, action_score / sum(action_score) OVER (PARTITION BY video_id) AS s, count(*) OVER (PARTITION BY video_id) AS n FROM nodes),
 pr AS (SELECT 0 AS it, video_id, frame_idx, 1.0::DOUBLE / n AS x FROM seeds
   UNION ALL SELECT any_value(pr.it) + 1, t.video_id, t.j, 0.85 * sum(pr.x * t.p) + 0.15 * any_value(s.s) FROM pr JOIN trans t ON t.video_id = pr.video_id AND t.i = pr.frame_idx
-  JOIN seeds s ON s.video_id = t.video_id AND s.frame_idx = t.j WHERE pr.it < 30 GROUP BY t.video_id, t.j)
-SELECT video_id, frame_idx, round(x, 6) AS pagerank_score FROM pr WHERE it = 30""")
+  JOIN seeds s ON s.video_id = t.video_id AND s.frame_idx = t.j WHERE pr.it < 30 GROUP BY t.video_id, t.j),
+steps AS (SELECT a.video_id, a.it, sum(abs(a.x - b.x)) AS moved, count(*) AS n FROM pr a JOIN pr b ON b.video_id = a.video_id AND b.frame_idx = a.frame_idx AND b.it = a.it - 1 GROUP BY a.video_id, a.it),
+stops AS (SELECT video_id, min(it) AS it FROM steps WHERE moved < n * 1e-6 GROUP BY video_id)
+SELECT video_id, frame_idx, round(x, 6) AS pagerank_score FROM pr JOIN stops USING (video_id, it)""")
 def e8_pagerank(spark, sf):
-    return rounded(graph.pagerank(nodes(spark, sf), rounds=30, tolerance=None), "pagerank_score")
+    return rounded(graph.pagerank(nodes(spark, sf)), "pagerank_score")
 
 
 def _ranked_nodes(spark, sf):
     return nodes(spark, sf).withColumn("pagerank_score", F.lit(0.0)).withColumn("tensor", F.array(F.lit(0.0), F.col("residual_energy")))
 
 
-@query(f"WITH RECURSIVE {sql.NODES} SELECT video_id, frame_idx, (8 + 2 + len(embedding))::INT AS width, round(list_sum([frame_idx::DOUBLE, timestamp_sec, action_score, persistence_value, residual_energy, motion_magnitude, entropy, residual_energy] || embedding), 4) + 0.0 AS total FROM nodes")
+@query(f"WITH RECURSIVE {sql.NODES} SELECT video_id, frame_idx, (8 + 2 + len(embedding))::INT AS width, round({PLACED.format('([frame_idx::DOUBLE, timestamp_sec, action_score, persistence_value, residual_energy, motion_magnitude, entropy, 0.0, 0.0, residual_energy] || embedding)')}, 4) + 0.0 AS content FROM nodes")
 def e9_graph_export(spark, sf):
     matrix = graph.export_matrix(_ranked_nodes(spark, sf))
-    total = F.aggregate("row", F.lit(0.0), lambda s, x: s + x)
-    return matrix.select("video_id", "frame_idx", F.size("row").alias("width"), (F.round(total, 4) + 0.0).alias("total"))
+    return matrix.select("video_id", "frame_idx", F.size("row").alias("width"), (F.round(placed("row"), 4) + 0.0).alias("content"))
 
 
 @query(f"WITH RECURSIVE {sql.NMS} SELECT video_id, frame_idx::VARCHAR AS id, frame_idx, round(timestamp_sec, 3) AS timestamp, round(action_score + 1e-9, 4) AS action_score, round(persistence_value + 1e-9, 4) AS persistence_value, round(residual_energy + 1e-9, 4) AS residual_energy, round(entropy + 1e-9, 4) AS entropy, 0.0::DOUBLE AS pagerank_score, is_peak, CASE WHEN event_type = 'view' THEN 'seen' WHEN event_type = 'click' THEN 'clicked' ELSE '—' END AS caption FROM nmsed")
@@ -412,25 +419,30 @@ def f5_zero_shot_label(spark, sf):
     return retrieval.zero_shot_label(tables.frame_embeddings(spark, sf), labels)
 
 
-@query("SELECT conv_id, turn, round(sqrt(1.0), 6) AS length FROM conversations WHERE role = 'user'")
-def f6_query_embed(spark, sf):
-    return rounded(_embedded_length(tables.turns(spark, sf, "user").select(F.col("run_id").alias("conv_id"), F.col("pos").alias("turn"), "text"), "text"), "length").select("conv_id", "turn", "length")
+#: The unit vector of (1, number of a, e, i, o, u) has this first entry.
+LETTERS = "round(1 / sqrt(1 + " + " + ".join(f"power(length({{0}}) - length(replace({{0}}, '{c}', '')), 2)" for c in "aeiou") + "), 6)"
 
 
-def _embedded_length(rows, column):
-    """Rows with the length of a vector from a toy model: letter counts."""
+def _embedded(rows, column):
+    """Rows with the first entry and the length of a vector from a toy model: letter counts."""
     from framelight.functions.arrays import norm
 
     def letters(values):
         return [[1.0, *(str(v).count(c) for c in "aeiou")] for v in values]
 
-    return retrieval.embed(rows, column, letters).withColumn("length", norm("embedding"))
+    found = retrieval.embed(rows, column, letters)
+    return rounded(found.withColumn("first", F.col("embedding")[0]).withColumn("length", norm("embedding")), "first", "length")
+
+
+@query(f"SELECT conv_id, turn, {LETTERS.format('text')} AS first, 1.0::DOUBLE AS length FROM conversations WHERE role = 'user'")
+def f6_query_embed(spark, sf):
+    return _embedded(tables.turns(spark, sf, "user").select(F.col("run_id").alias("conv_id"), F.col("pos").alias("turn"), "text"), "text").select("conv_id", "turn", "first", "length")
 
 
-@query(f"WITH {sql.FRAMES} SELECT video_id, frame_idx, 1.0::DOUBLE AS length FROM frames")
+@query(f"WITH {sql.FRAMES} SELECT video_id, frame_idx, {LETTERS.format('event_type')} AS first, 1.0::DOUBLE AS length FROM frames")
 def f7_frame_embed(spark, sf):
     frames = tables.frames(spark, sf).select("video_id", "frame_idx", F.col("event_type").alias("image"))
-    return rounded(_embedded_length(frames, "image"), "length").select("video_id", "frame_idx", "length")
+    return _embedded(frames, "image").select("video_id", "frame_idx", "first", "length")
 
 
 @query(f"WITH {sql.FRAMES} SELECT video_id, frame_idx, CASE WHEN event_type = 'view' THEN 'remote' WHEN event_type = 'click' THEN 'local' ELSE '[CAPTION_FAILED]' END AS caption FROM frames")

@@ -29,6 +29,37 @@ def test_eviction(spark):
     assert set(kept(spark, [(0, 0.5), (0, 0.5), (1, 0.9), (2, 0.1)], 2)) == {1, 2}  # re-admission, then eviction at capacity
 
 
+def test_eviction_order(spark):
+    """Which frame goes for which arrival, against a plain replay; two videos in small batches."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(v, i, rng.randrange(40), rng.random(), 0.0, rng.random(), 0.0, 0.0, 0.0) for v in (1, 2) for i in range(120)]
+    given = spark.createDataFrame(rows, "video_id long, arrival long, frame_idx int, action_score double, query_similarity double, persistence_value double, pagerank double, motion_entropy double, hessian double")
+    expected, final = [], {}
+    for v in (1, 2):
+        held, n = {}, 0
+        for _, i, f, action, _, persist, *_ in (r for r in rows if r[0] == v):
+            if f in held:
+                held[f] = (action, persist, 0)
+                continue
+            if len(held) == 5:
+                keep = {x: 0.3 * a + 0.15 * p + 0.05 * max(0, 1 - (n - t) / max(n, 1)) for x, (a, p, t) in held.items()}
+                victim = min(keep, key=keep.get)
+                expected.append((v, i, f, victim, round(keep[victim], 9)))
+                del held[victim]
+            held[f], n = (action, persist, n), n + 1
+        final[v] = set(held)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    try:
+        gone = cache.evictions(given, Config(), 5).collect()
+        left = cache.admit(given, Config(), 5).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((*tuple(r)[:4], round(r["keep_score"], 9)) for r in gone) == sorted(expected)
+    assert {v: {r["frame_idx"] for r in left if r["video_id"] == v} for v in (1, 2)} == final
+
+
 def test_query(spark):
     rows = spark.createDataFrame([(1, 0, [1.0, 0.0], 0), (1, 1, [0.0, 1.0], 1), (1, 2, None, 2)], "video_id long, frame_idx int, embedding array<double>, position long")
     rows = rows.withColumns({c: F.lit(0.5) for c in cache.SIGNALS}).withColumn("admitted_at", F.lit(0)).withColumn("counter", F.lit(3))

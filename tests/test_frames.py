@@ -214,3 +214,76 @@ def test_config(tmp_path):
     for bad in ({"verify_low_thresh": 0.9}, {"l1_w_action": 0.9}, {"retrieval_strategy": "x"}, {"peak_distance": 0}):
         with pytest.raises(ValueError):
             Config(**bad).validate()
+
+
+def dense_pagerank(score, vectors, config):
+    """The stated rules on a written-out matrix, until the change is below n times 1e-6."""
+    n, width = len(score), max(score) - min(score)
+    w = np.zeros((n, n))
+    for i in range(n):
+        for j in range(n):
+            c = 1.0 if width == 0 else 1 - abs(score[i] - score[j]) / width
+            if i != j:
+                a, b = vectors[i], vectors[j]
+                if a is None or b is None:
+                    w[i, j] = c
+                else:
+                    size = np.linalg.norm(a) * np.linalg.norm(b)
+                    w[i, j] = config.alpha * (np.dot(a, b) / size if size else 0.0) + config.beta * c
+    seed = np.array(score) / sum(score)
+    x = np.full(n, 1 / n)
+    for _ in range(100):
+        new = 0.15 * seed
+        for i in range(n):
+            new = new + 0.85 * x[i] * (w[i] / w[i].sum() if w[i].sum() else seed)
+        if abs(new - x).sum() < n * 1e-6:
+            return new
+        x = new
+    raise AssertionError("no convergence")
+
+
+@pytest.mark.parametrize("share", [0.0, 0.6, 1.0])
+def test_pagerank_equals_dense(spark, share):
+    rng = np.random.default_rng(int(share * 10))
+    score = [round(float(s), 2) for s in rng.random(40)]
+    vectors = [[float(v) for v in rng.random(5)] if rng.random() < share else None for _ in score]
+    vectors[3] = [0.0] * 5 if share else None
+    got = graph.pagerank(nodes(spark, [(i, s, 0.0, v) for i, (s, v) in enumerate(zip(score, vectors, strict=True))])).orderBy("frame_idx").collect()
+    assert [r["pagerank_score"] for r in got] == pytest.approx(list(dense_pagerank(score, vectors, Config())), abs=1e-9)
+
+
+def test_pagerank_without_convergence(spark):
+    """Seeds are given up where the rounds don't suffice."""
+    rows = nodes(spark, [(i, s, 0.0, None) for i, s in enumerate([0.9, 0.1, 0.5, 0.3])])
+    plain = graph.pagerank(rows, rounds=2, tolerance=1e-30).orderBy("frame_idx").collect()
+    unseeded = graph.power_iteration(graph.CompleteGraph(np.array([0.9, 0.1, 0.5, 0.3]), np.zeros((4, 1)), np.zeros(4, bool), 0.4, 0.3), np.zeros(4), 2, None)
+    assert [r["pagerank_score"] for r in plain] == pytest.approx(list(unseeded))
+
+
+def test_cross_edges_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    score = [round(float(s), 4) for s in rng.random(50)]
+    got = graph.cross_edges(nodes(spark, [(i, s, 0.0, None) for i, s in enumerate(score)])).collect()
+    width = max(score) - min(score)
+    expected = {(i, j) for i in range(50) for j in range(i + 2, 50) if 1 - abs(score[i] - score[j]) / width > 0.85}
+    assert {(r["source"], r["target"]) for r in got} == expected and len(got) == len(expected)
+
+
+def test_missing_scores_and_finds(spark):
+    out = spark.createDataFrame([(1, 0), (1, 1)], "video_id long, frame_idx int")
+    some = spark.createDataFrame([(1, 0, 0.5, True, 0.4), (1, 9, 0.1, True, 0.2)], "video_id long, frame_idx int, action_score double, is_peak boolean, persistence_value double")
+    assert [tuple(r)[2:] for r in signals.join_scores(out, some).orderBy("frame_idx").collect()] == [(0.5, True, 0.4), (0.0, False, 0.0)]
+    found = spark.createDataFrame([(1, 1, [1.0]), (1, 7, [2.0])], "video_id long, frame_idx int, embedding array<double>")
+    assert [(r["embedding"], r["triples"]) for r in graph.enrich(out, found).orderBy("frame_idx").collect()] == [(None, None), ([1.0], [])]
+    with pytest.raises(KeyError):
+        graph.enrich(out, found, strict=True)
+
+
+def test_one_failing_row_spares_its_batch(spark):
+    def model(values):
+        if (values == "bad").any():
+            raise ValueError("bad")
+        return [[3.0, 4.0]] * len(values)
+
+    rows = retrieval.embed(spark.createDataFrame([("a",), ("bad",), ("b",)], "t string").coalesce(1), "t", model, size=2)
+    assert {r["t"]: r["embedding"] for r in rows.collect()} == {"a": [0.6, 0.8], "bad": [0.0, 0.0], "b": [0.6, 0.8]}
