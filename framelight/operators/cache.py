@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -129,6 +129,7 @@ def counters(entries: DataFrame, capacity: int) -> DataFrame:
 
 
 def display_text() -> Column:
+    # Fixed value: the layout of a frame's block.
     caption = F.coalesce(F.when(F.col("caption") != "", F.col("caption")), F.lit(CAPTION_FAILED))
     text = F.format_string("Frame %d\nTimestamp: %.1fs\n\nCaption:\n%s\n\nAction Score:\n%.2f\n\nPersistence:\n%.2f", "frame_idx", "timestamp_sec", caption, "action_score", "persistence_value")
     return F.concat(text, F.when(F.col("is_peak"), "\n\nSelection Reason:\nTop peak after NMS.").otherwise(""))
@@ -147,10 +148,20 @@ def nli_fact(frame_idx: Column, timestamp: Column, caption: Column) -> Column:
 
 
 def token_count(text: Column) -> Column:
-    """Words between white space, standing in for a tokenizer."""
+    """Words between white space, the default where no tokenizer is plugged in."""
     return F.size(F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")).cast("long")
 
 
+def tokens_by(encode: Callable[[str], list]) -> Callable[[Column], Column]:
+    """A token count by a tokenizer's ``encode``, to be given wherever :func:`token_count` is the default."""
+
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: len(encode(t)) if t else 0)
+
+    return count
+
+
 def resolve_budgets(budgets: dict[str, int] | None = None) -> dict[str, int]:
     given = budgets or {}
     if unknown := sorted(set(given) - set(DEFAULT_BUDGETS)):
@@ -160,11 +171,11 @@ def resolve_budgets(budgets: dict[str, int] | None = None) -> dict[str, int]:
     return DEFAULT_BUDGETS | given
 
 
-def add_system(rows: DataFrame, budget: int = DEFAULT_BUDGETS["system"], strict: bool = True) -> DataFrame:
+def add_system(rows: DataFrame, budget: int = DEFAULT_BUDGETS["system"], strict: bool = True, count: Callable[[Column], Column] | None = None) -> DataFrame:
     """Trimmed distinct system texts in order, with their running tokens; over budget is an error if strict."""
     trimmed = rows.withColumn("text", F.trim("text")).filter("text <> ''")
     first = trimmed.groupBy("set_id", "text").agg(F.min("seq").alias("seq"))
-    total = F.sum(token_count(F.col("text"))).over(Window.partitionBy("set_id").orderBy("seq"))
+    total = F.sum((count or token_count)(F.col("text"))).over(Window.partitionBy("set_id").orderBy("seq"))
     out = first.withColumn("tokens", total).withColumn("over_budget", F.col("tokens") > budget)
     if strict and not out.filter("over_budget").isEmpty():
         raise ValueError("system texts exceed their budget")
@@ -176,19 +187,46 @@ def upsert_facts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("set_id", "text").agg(F.max_by("score", "seq").alias("score"), F.min("seq").alias("seq"))
 
 
-def trim_facts(facts: DataFrame, budget: int = DEFAULT_BUDGETS["facts"]) -> DataFrame:
-    """Facts left after the lowest scores are dropped until the rest fits, two at least."""
+def trim_facts(facts: DataFrame, budget: int = DEFAULT_BUDGETS["facts"], count: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Facts left after the lowest scores are dropped until the rest fits, two at least.
+
+    It trims once, after all facts of a set are in; a set that is trimmed after
+    every fact can keep others where a later score is lower than an earlier one.
+    """
     w = Window.partitionBy("set_id").orderBy(F.desc("score"), F.desc("seq"))
-    ranked = facts.withColumn("_rank", F.row_number().over(w)).withColumn("_tokens", F.sum(token_count(F.col("text"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = facts.withColumn("_rank", F.row_number().over(w)).withColumn("_tokens", F.sum((count or token_count)(F.col("text"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return ranked.filter((F.col("_tokens") <= budget) | (F.col("_rank") <= MIN_FACTS)).drop("_rank", "_tokens")
 
 
-def trim_fifo(rows: DataFrame, budget: int, label: str, default: str) -> DataFrame:
-    """The newest entries (set_id, seq, label, text) whose lines together fit the budget."""
-    clean = rows.withColumn("text", F.trim("text")).filter("text <> ''").withColumn(label, F.coalesce(F.when(F.trim(label) != "", F.trim(label)), F.lit(default)))
-    line = F.concat_ws(": ", label, "text")
+def trim_fifo(rows: DataFrame, budget: int, label: str | None, default: str = "", count: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The newest entries (set_id, seq, label, text) whose lines together fit the budget; without a label the text is the line."""
+    clean = rows.withColumn("text", F.trim("text")).filter("text <> ''")
+    if label:
+        clean = clean.withColumn(label, F.coalesce(F.when(F.trim(label) != "", F.trim(label)), F.lit(default)))
+    line = F.concat_ws(": ", label, "text") if label else F.col("text")
     newest = Window.partitionBy("set_id").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
-    return clean.withColumn("_tokens", F.sum(token_count(line)).over(newest)).filter(F.col("_tokens") <= budget).drop("_tokens")
+    return clean.withColumn("_tokens", F.sum((count or token_count)(line)).over(newest)).filter(F.col("_tokens") <= budget).drop("_tokens")
+
+
+def add_history(rows: DataFrame, budget: int = DEFAULT_BUDGETS["history"]) -> DataFrame:
+    """Turns (set_id, seq, role, text) that the history keeps."""
+    return trim_fifo(rows, budget, "role", "user")
+
+
+def add_tools(rows: DataFrame, budget: int = DEFAULT_BUDGETS["tools"]) -> DataFrame:
+    """Results (set_id, seq, tool_name, text) that the tool set keeps."""
+    return trim_fifo(rows, budget, "tool_name", "tool")
+
+
+def add_scratch(rows: DataFrame, budget: int = DEFAULT_BUDGETS["scratch"]) -> DataFrame:
+    """Unverified texts (set_id, seq, text) that the scratch set keeps."""
+    return trim_fifo(rows, budget, None)
+
+
+def flush_scratch(kept: DataFrame) -> DataFrame:
+    """All scratch texts of each set in order, as one list, for verification; the set is empty afterwards."""
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "text")))
+    return kept.groupBy("set_id").agg(F.transform(ordered, lambda x: x["text"]).alias("flushed"))
 
 
 def route_set(verb: Column, subject: Column) -> Column:
@@ -215,7 +253,7 @@ def rerank_facts(facts: DataFrame, query: str, similarity: Column, alpha: float
     return rows.filter(~other_year).withColumn("score", (alpha * F.col("score") + (1 - alpha) * similarity) * penalty).drop("_fy", "_fn", "_qy", "_qn")
 
 
-#: Order and headings of the sets in a context.
+# Order and headings of the sets in a context.
 SECTIONS = (("system", "System Instructions:"), ("tools", "Active Tool Results:"), ("facts", "Fact Cache:"), ("history", "Conversation History:"), ("scratch", "Unverified Scratch (Dirty):"))
 
 

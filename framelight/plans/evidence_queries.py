@@ -35,15 +35,36 @@ def cache_rows(spark: SparkSession, sf: str) -> DataFrame:
 # G: cache
 
 
-@query()
+#: The cache of every video after every arrival, as a list of entries in insertion order.
+REPLAY = f"""{sql.NMS},
+arrivals AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY arrival) AS rn FROM (
+  SELECT video_id, frame_idx, frame_idx * 2 AS arrival, action_score, 0.3 * action_score + 0.2 * 0.0 + 0.15 * persistence_value + 0.1 * 0.0 + 0.1 * entropy + 0.1 * (motion_magnitude / 100) AS fixed FROM nmsed
+  UNION ALL SELECT video_id, frame_idx, frame_idx * 2 + 1, action_score, 0.3 * action_score + 0.15 * persistence_value + 0.1 * entropy + 0.1 * (motion_magnitude / 100) FROM nmsed WHERE frame_idx % 7 = 0)),
+replay AS (
+  SELECT DISTINCT video_id, 0::BIGINT AS rn, []::STRUCT(f INT, a DOUBLE, s DOUBLE, t BIGINT)[] AS cache, 0::BIGINT AS counter, NULL::BIGINT AS arrival, NULL::INT AS frame_idx, NULL::INT AS victim, NULL::DOUBLE AS keep_score FROM arrivals
+  UNION ALL
+  SELECT video_id, rn, CASE WHEN hit THEN list_transform(cache, lambda c: CASE WHEN c.f = f THEN struct_pack(f := c.f, a := a, s := s, t := 0::BIGINT) ELSE c END)
+      ELSE list_append(CASE WHEN gone IS NULL THEN cache ELSE list_concat(cache[1:gone - 1], cache[gone + 1:]) END, struct_pack(f := f, a := a, s := s, t := counter)) END,
+    counter + CASE WHEN hit THEN 0 ELSE 1 END, arrival, f, CASE WHEN gone IS NOT NULL THEN cache[gone].f END, scores[gone]
+  FROM (SELECT *, CASE WHEN NOT hit AND len(cache) >= {CAPACITY} THEN list_position(scores, list_min(scores)) END AS gone
+    FROM (SELECT r.video_id, x.rn, r.cache, r.counter, x.arrival, x.frame_idx::INT AS f, x.action_score AS a, x.fixed AS s,
+        list_contains(list_transform(r.cache, lambda c: c.f), x.frame_idx::INT) AS hit,
+        list_transform(r.cache, lambda c: c.s + 0.05 * greatest(0.0, 1 - (r.counter - c.t)::DOUBLE / greatest(r.counter, 1))) AS scores
+      FROM replay r JOIN arrivals x ON x.video_id = r.video_id AND x.rn = r.rn + 1))),
+entries AS (SELECT video_id, e.f AS frame_idx, e.a AS action_score, e.s AS fixed, e.t AS admitted_at, position, counter FROM (
+  SELECT video_id, counter, unnest(cache) AS e, unnest(range(len(cache))) AS position FROM replay QUALIFY rn = max(rn) OVER (PARTITION BY video_id)))"""
+
+
+@query(f"WITH RECURSIVE {REPLAY} SELECT video_id, frame_idx, admitted_at, position, round(action_score, 6) + 0.0 AS action_score FROM entries")
 def g1_l1_admit(spark, sf):
     return rounded(cached(spark, sf).select("video_id", "frame_idx", "admitted_at", "position", "action_score"), "action_score")
 
 
-@query(f"WITH RECURSIVE {sql.NMS}, v AS (SELECT video_id, count(*) AS n FROM nmsed GROUP BY video_id) SELECT video_id, greatest(n - {CAPACITY}, 0)::BIGINT AS kept_out FROM v")
+@query(f"WITH RECURSIVE {REPLAY} SELECT video_id, arrival, frame_idx, victim, round(keep_score + 1e-9, 6) + 0.0 AS keep_score FROM replay WHERE victim IS NOT NULL")
 def g2_l1_evict(spark, sf):
-    """How many admitted frames were evicted: every miss beyond the capacity (frames return at once, so none comes back evicted)."""
-    return cached(spark, sf).groupBy("video_id").agg((F.max("misses") - F.count("*")).alias("kept_out"))
+    """Which frame went for which arrival."""
+    gone = cache.evictions(arrivals(spark, sf), Config(), CAPACITY).withColumn("keep_score", F.col("keep_score") + 1e-9)
+    return rounded(gone, "keep_score")
 
 
 @query(f"WITH RECURSIVE {sql.NMS}, k AS (SELECT *, max(frame_idx) OVER (PARTITION BY video_id) + 1 AS total FROM nmsed) SELECT video_id, frame_idx, round(0.3 * action_score + 0.15 * persistence_value + 0.1 * entropy + 0.1 * motion_magnitude / 100 + 0.05 * (1 - (total - frame_idx)::DOUBLE / total) + 1e-9, 6) AS keep_score FROM k")
@@ -55,13 +76,16 @@ def g3_keep_score(spark, sf):
     return frames.withColumn("total", total).select("video_id", "frame_idx", F.round(cache.keep_score(F.col("total")) + 1e-9, 6).alias("keep_score"))
 
 
-@query()
+EMBEDDED = sql.EMBEDDED.removeprefix(sql.FRAMES + ",")
+
+
+@query(f"WITH RECURSIVE {REPLAY}, {EMBEDDED}, q AS (SELECT e.*, least(greatest(list_cosine_similarity(embedding, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 0.0), 1.0) AS similarity FROM entries e JOIN embedded USING (video_id, frame_idx)), k AS (SELECT *, fixed + 0.2 * similarity + 0.05 * greatest(0.0, 1 - (counter - admitted_at)::DOUBLE / greatest(counter, 1)) AS keep FROM q), o AS (SELECT *, (row_number() OVER (PARTITION BY video_id ORDER BY keep DESC, position))::INT AS rank FROM k) SELECT video_id, frame_idx, rank, round(keep + 1e-9, 6) + 0.0 AS keep_score, round(similarity, 6) + 0.0 AS query_similarity FROM o WHERE rank <= 5")
 def g4_l1_query(spark, sf):
-    found = cache.query_cache(cache_rows(spark, sf), query_vector(spark, sf), 5)
+    found = cache.query_cache(cache_rows(spark, sf), query_vector(spark, sf), 5).withColumn("keep_score", F.col("keep_score") + 1e-9)
     return rounded(found.select("video_id", "frame_idx", "rank", "keep_score", "query_similarity"), "keep_score", "query_similarity")
 
 
-@query()
+@query(f"WITH RECURSIVE {REPLAY} SELECT e.video_id, e.frame_idx, round(n.entropy / 2, 6) + 0.0 AS pagerank FROM entries e JOIN nmsed n USING (video_id, frame_idx)")
 def g5_l1_update_pagerank(spark, sf):
     scores = tables.frames(spark, sf).select("video_id", "frame_idx", (F.col("entropy") / 2).alias("pagerank_score"))
     return rounded(cache.update_pagerank(cached(spark, sf), scores).select("video_id", "frame_idx", "pagerank"), "pagerank")
@@ -122,21 +146,32 @@ def g11_trim_facts(spark, sf):
     return rounded(cache.trim_facts(cache.upsert_facts(fact_rows(spark, sf))), "score")
 
 
+def conversation_rows(spark, sf, *more):
+    return tables.table(spark, sf, "conversations").select(F.col("conv_id").alias("set_id"), F.col("turn").alias("seq"), *more, "text")
+
+
 @query(rf"WITH {TURNS}, u AS (SELECT *, sum(len(regexp_extract_all(role || ': ' || text, '\S+'))) OVER (PARTITION BY set_id ORDER BY seq DESC ROWS UNBOUNDED PRECEDING) AS used FROM lines) SELECT set_id, seq, role, text FROM u WHERE used <= 150")
 def g12_add_history(spark, sf):
-    rows = tables.table(spark, sf, "conversations").select(F.col("conv_id").alias("set_id"), F.col("turn").alias("seq"), "role", "text")
-    return cache.trim_fifo(rows, cache.DEFAULT_BUDGETS["history"], "role", "user")
+    return cache.add_history(conversation_rows(spark, sf, "role"))
 
 
-@query(rf"WITH {TURNS}, u AS (SELECT *, sum({WORDS}) OVER (PARTITION BY set_id ORDER BY seq DESC ROWS UNBOUNDED PRECEDING) AS used FROM lines) SELECT set_id, string_agg(text, chr(10) ORDER BY seq) AS flushed FROM u WHERE used <= 80 GROUP BY set_id")
-def g13_flush_scratch(spark, sf):
-    from pyspark.sql import Window
+@query(rf"WITH {TURNS}, named AS (SELECT *, CASE WHEN seq % 3 = 0 THEN 'search' ELSE 'tool' END AS tool_name FROM lines), u AS (SELECT *, sum(len(regexp_extract_all(tool_name || ': ' || text, '\S+'))) OVER (PARTITION BY set_id ORDER BY seq DESC ROWS UNBOUNDED PRECEDING) AS used FROM named) SELECT set_id, seq, tool_name, text FROM u WHERE used <= 100")
+def g12_add_tool(spark, sf):
+    return cache.add_tools(conversation_rows(spark, sf, F.when(F.col("turn") % 3 == 0, " search ").otherwise("  ").alias("tool_name")))
+
+
+SCRATCH = rf"{TURNS}, u AS (SELECT *, sum({WORDS}) OVER (PARTITION BY set_id ORDER BY seq DESC ROWS UNBOUNDED PRECEDING) AS used FROM lines)"
+
 
-    rows = tables.table(spark, sf, "conversations").select(F.col("conv_id").alias("set_id"), F.col("turn").alias("seq"), F.trim("text").alias("text")).filter("text <> ''")
-    newest = Window.partitionBy("set_id").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
-    kept = rows.withColumn("used", F.sum(cache.token_count(F.col("text"))).over(newest)).filter(F.col("used") <= cache.DEFAULT_BUDGETS["scratch"])
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "text")))
-    return kept.groupBy("set_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("flushed"))
+@query(f"WITH {SCRATCH} SELECT set_id, seq, text FROM u WHERE used <= 80")
+def g12_add_scratch(spark, sf):
+    return cache.add_scratch(conversation_rows(spark, sf))
+
+
+@query(f"WITH {SCRATCH} SELECT set_id, string_agg(text, chr(10) ORDER BY seq) AS flushed FROM u WHERE used <= 80 GROUP BY set_id")
+def g13_flush_scratch(spark, sf):
+    flushed = cache.flush_scratch(cache.add_scratch(conversation_rows(spark, sf)))
+    return flushed.withColumn("flushed", F.array_join("flushed", "\n"))
 
 
 ROUTED = f"{TEXT}, routed AS (SELECT triple_id, CASE WHEN regexp_matches(lower(verb), '{'|'.join(cache.SPEECH_WORDS)}') THEN 'history' WHEN regexp_matches(lower(subject), '{'|'.join(cache.TOOL_WORDS)}') THEN 'tools' ELSE 'facts' END AS set_name FROM triples)"
@@ -290,14 +325,25 @@ def h6_nli_label(spark, sf):
     return rounded(turn_pairs(spark, sf).select("run_id", "pos", "fact_pos", "label", "entail_prob"), "entail_prob")
 
 
-@query(f"WITH {LABELLED} SELECT run_id, pos, fact_pos, label FROM labelled")
+def eager_pairs(spark, sf):
+    """A stand-in model that finds an entailment from a fifth of the words on, whatever is negated, so that the guards have work."""
+    return turn_pairs(spark, sf).withColumn("label", F.when(F.col("entail_prob") >= 0.2, "entailment").otherwise("neutral"))
+
+
+EAGER = f"{LABELLED}, eager AS (SELECT * EXCLUDE (label), CASE WHEN entail_prob >= 0.2 THEN 'entailment' ELSE 'neutral' END AS label FROM labelled)"
+
+
+@query(f"WITH {EAGER} SELECT run_id, pos, fact_pos, CASE WHEN label = 'entailment' AND {negated_in('claim')} AND NOT {negated_in('fact')} AND entail_prob <= 0.5 THEN 'neutral' ELSE label END AS label FROM eager")
 def h7_negation_guard(spark, sf):
-    return turn_pairs(spark, sf).withColumn("label", verify.negation_guard()).select("run_id", "pos", "fact_pos", "label")
+    return eager_pairs(spark, sf).withColumn("label", verify.negation_guard()).select("run_id", "pos", "fact_pos", "label")
+
 
+PLACES = rf"list_distinct(list_transform(regexp_extract_all(claim, '{verify.PLACE}', 1), lambda w: lower(w)))"
 
-@query(f"WITH {LABELLED} SELECT run_id, pos, fact_pos, CASE WHEN label = 'entailment' AND len({facts_of('claim')}) > 0 AND len(list_filter({facts_of('claim')}, lambda p: contains(lower(fact), p))) = 0 THEN 'neutral' ELSE label END AS label FROM labelled")
+
+@query(f"WITH {EAGER} SELECT run_id, pos, fact_pos, CASE WHEN label = 'entailment' AND len({PLACES}) > 0 AND len(list_filter({PLACES}, lambda p: contains(lower(fact), p))) = 0 THEN 'neutral' ELSE label END AS label FROM eager")
 def h8_geo_guard(spark, sf):
-    return turn_pairs(spark, sf).withColumn("label", verify.geo_guard(verify.entities(F.col("claim")))).select("run_id", "pos", "fact_pos", "label")
+    return eager_pairs(spark, sf).withColumn("label", verify.geo_guard(verify.places(F.col("claim")))).select("run_id", "pos", "fact_pos", "label")
 
 
 @query(f"WITH {LABELLED} SELECT run_id, pos, fact_pos, relevant FROM labelled")
@@ -329,10 +375,11 @@ def h13_ner_overlap(spark, sf):
     return verify.ner_overlap(tables.turns(spark, sf, "assistant"), facts(spark, sf)).select("run_id", "pos", "verdict")
 
 
-@query(f"WITH {VOTED}, n AS (SELECT run_id, count(*) FILTER (WHERE verdict = 'verified') AS verified, count(*) FILTER (WHERE verdict = 'rejected') AS rejected, count(*) FILTER (WHERE verdict = 'unverifiable') AS unverifiable FROM voted GROUP BY run_id), g AS (SELECT DISTINCT conv_id AS run_id, coalesce(verified, 0) AS verified, coalesce(rejected, 0) AS rejected, coalesce(unverifiable, 0) AS unverifiable FROM conversations LEFT JOIN n ON run_id = conv_id) SELECT *, rejected = 0 AND unverifiable = 0 AS is_verified FROM g")
+@query(f"WITH {VOTED}, n AS (SELECT conv_id AS run_id, conv_id % 7 = 0 AS is_mocked, count(verdict) AS claims, count(*) FILTER (WHERE verdict = 'verified') AS yes, count(*) FILTER (WHERE verdict = 'rejected') AS no, count(*) FILTER (WHERE verdict = 'unverifiable') AS unknown FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN voted ON run_id = conv_id GROUP BY conv_id), g AS (SELECT run_id, is_mocked, CASE WHEN is_mocked THEN claims ELSE yes END AS verified, CASE WHEN is_mocked THEN 0 ELSE no END::BIGINT AS rejected, CASE WHEN is_mocked THEN 0 ELSE unknown END::BIGINT AS unverifiable FROM n) SELECT *, rejected = 0 AND unverifiable = 0 AS is_verified FROM g")
 def h14_gate_result(spark, sf):
+    """The verification of every seventh run is taken to have failed."""
     runs = tables.table(spark, sf, "conversations").select(F.col("conv_id").alias("run_id")).distinct()
-    return verify.gate_result(verify.full_nli(tables.turns(spark, sf, "assistant"), facts(spark, sf)), runs)
+    return verify.gate_result(verify.full_nli(tables.turns(spark, sf, "assistant"), facts(spark, sf)), runs, failed=runs.filter("run_id % 7 = 0"))
 
 
 @query(f"WITH {VOTED} SELECT run_id, coalesce(nullif(string_agg(text, ' ' ORDER BY pos) FILTER (WHERE verdict = 'verified'), ''), string_agg(text, ' ' ORDER BY pos)) AS answer FROM voted GROUP BY run_id")
@@ -376,9 +423,14 @@ def i1_run_ratios(spark, sf):
     return rounded(metrics.run_ratios(tiered_scored(spark, sf)), "skipped_ratio", "reduction")
 
 
+def gated(spark, sf):
+    runs = tables.table(spark, sf, "conversations").select(F.col("conv_id").alias("run_id")).distinct()
+    return verify.gate_result(verify.full_nli(tables.turns(spark, sf, "assistant"), facts(spark, sf)), runs)
+
+
 @query(f"WITH {VOTED} SELECT (count(*) FILTER (WHERE verdict = 'verified'))::BIGINT AS verified, (count(*) FILTER (WHERE verdict = 'rejected'))::BIGINT AS rejected, (count(*) FILTER (WHERE verdict = 'unverifiable'))::BIGINT AS unverifiable, (SELECT round(count(*) FILTER (WHERE event_type <> 'error')::DOUBLE / count(*), 6) FROM events) AS caption_success_rate FROM voted")
 def i2_validation_report(spark, sf):
-    return rounded(metrics.validation_report(h14_gate_result(spark, sf), h18_caption_frame(spark, sf)), "caption_success_rate")
+    return rounded(metrics.validation_report(gated(spark, sf), h18_caption_frame(spark, sf)), "caption_success_rate")
 
 
 @query("SELECT * FROM (VALUES ('baseline', false, false), ('ablation_1', true, false), ('ablation_2', false, true), ('full', true, true)) t(condition, gating, nli)")
@@ -392,7 +444,15 @@ def gated_by_nli(spark, sf):
     return both.groupBy("nli").agg(*(F.count_if(F.col("verdict") == v).alias(v) for v in ("verified", "rejected", "unverifiable")))
 
 
-@query()
+_COUNTS = ", ".join(f"count(*) FILTER (WHERE verdict = '{v}') AS {v}" for v in ("verified", "rejected", "unverifiable"))
+ABLATED = f"""{sql.TIERED}, {VOTED}, named AS (SELECT conv_id, list_distinct(flatten(list({facts_of('text')}))) AS found FROM conversations WHERE role = 'user' GROUP BY conv_id),
+ner AS (SELECT CASE WHEN list_has_any({facts_of('c.text')}, n.found) THEN 'verified' ELSE 'unverifiable' END AS verdict FROM conversations c LEFT JOIN named n USING (conv_id) WHERE role = 'assistant'),
+gated AS (SELECT true AS nli, {_COUNTS} FROM voted UNION ALL SELECT false, {_COUNTS} FROM ner),
+pool AS (SELECT count(*) AS total, count(*) FILTER (WHERE tier <> 'SKIP') AS passed FROM tiered),
+conditions AS (SELECT * FROM (VALUES ('baseline', false, false), ('ablation_1', true, false), ('ablation_2', false, true), ('full', true, true)) t(condition, gating, nli))"""
+
+
+@query(f"WITH {ABLATED} SELECT condition, CASE WHEN gating THEN passed ELSE total END AS frames_kept, round(CASE WHEN gating THEN (total - passed)::DOUBLE / total ELSE 0.0 END, 6) AS skip_ratio, verified, rejected, unverifiable FROM conditions CROSS JOIN pool JOIN gated USING (nli)")
 def i4_ablation_metrics(spark, sf):
     return rounded(metrics.ablation_metrics(metrics.ablation_conditions(spark), tiered(spark, sf), gated_by_nli(spark, sf)), "skip_ratio")
 
@@ -425,15 +485,31 @@ def i8_baseline_compare(spark, sf):
     return rounded(metrics.baseline_compare(kept), "uniform_reduction", "reduction", "uniform_cost", "cost", "savings_pct")
 
 
-@query("SELECT 0::BIGINT AS only_first, 0::BIGINT AS only_second, true AS identical")
+@query("SELECT unnest(['scores', 'retrieved', 'verdicts', 'answers']) AS part, 0::BIGINT AS only_first, 0::BIGINT AS only_second, true AS identical")
 def i9_determinism_compare(spark, sf):
-    run = lambda: suppressed(spark, sf).select("video_id", "frame_idx", "is_peak", F.round("action_score", 9).alias("s"))
-    return metrics.determinism_compare(run(), run())
+    """Two runs, the second over rows dealt out anew before every step."""
+
+    def run(dealt):
+        rows = dealt(nodes(spark, sf))
+        found = retrieval.hybrid_retrieve(rows, query_vector(spark, sf), 5)
+        judged = verify.full_nli(dealt(tables.turns(spark, sf, "assistant")), dealt(facts(spark, sf)))
+        return {
+            "scores": rows.select("video_id", "frame_idx", "is_peak", F.round("action_score", 9).alias("s")),
+            "retrieved": found.select("video_id", "frame_idx", "rank", F.round("score", 9).alias("s")),
+            "verdicts": judged.select("run_id", "pos", "verdict"),
+            "answers": verify.final_answer(judged, dealt(answers(spark, sf))),
+        }
+
+    first, second = run(lambda rows: rows), run(lambda rows: rows.repartition(7))
+    parts = [metrics.determinism_compare(first[k], second[k]).select(F.lit(k).alias("part"), "only_first", "only_second", "identical") for k in first]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
-@query("SELECT conv_id, turn, 1.0::DOUBLE AS succeeded FROM conversations")
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 AND turn % 2 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS succeeded FROM conversations")
 def i10_uses_real_aria_flag(spark, sf):
-    return tables.table(spark, sf, "conversations").select("conv_id", "turn", metrics.generation_succeeded(F.col("text")).alias("succeeded"))
+    """Every third answer is the text that reports what was processed, every second of those a failure."""
+    text = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Based on the video analysis, I processed 3 frames. "), F.when(F.col("turn") % 2 == 0, "Generation FAILED.").otherwise("Done."))).otherwise(F.col("text"))
+    return tables.table(spark, sf, "conversations").select("conv_id", "turn", metrics.generation_succeeded(text).alias("succeeded"))
 
 
 # A: sources and sinks

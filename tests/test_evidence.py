@@ -171,3 +171,41 @@ def test_captions_and_generation(spark):
 def test_generation_flag(spark):
     rows = spark.createDataFrame([("Based on the video analysis, I processed it, failed",), ("fine",)], "t string")
     assert [r[0] for r in rows.select(metrics.generation_succeeded(F.col("t"))).collect()] == [0.0, 1.0]
+
+
+def test_gate_failure(spark):
+    verdicts = spark.createDataFrame([(1, 0, "rejected"), (1, 1, "verified"), (2, 0, "rejected"), (4, 0, "verified")], "run_id long, pos int, verdict string")
+    runs = spark.createDataFrame([(1,), (2,), (3,), (4,)], "run_id long")
+    out = {r["run_id"]: (r["is_verified"], r["is_mocked"], r["verified"], r["rejected"]) for r in verify.gate_result(verdicts, runs, runs.filter("run_id = 1")).collect()}
+    assert out == {1: (True, True, 2, 0), 2: (False, False, 0, 1), 3: (True, False, 0, 0), 4: (True, False, 1, 0)}
+
+
+def test_sets_with_a_tokenizer(spark):
+    rows = spark.createDataFrame([(1, 0, " ", "abcd"), (1, 1, "find", "ef"), (1, 2, None, "  ")], "set_id long, seq long, tool_name string, text string")
+    assert [(r["tool_name"], r["text"]) for r in cache.add_tools(rows).orderBy("seq").collect()] == [("tool", "abcd"), ("find", "ef")]
+    by_letter = cache.trim_fifo(rows, 8, "tool_name", "tool", cache.tokens_by(list))
+    assert [r["text"] for r in by_letter.collect()] == ["ef"]  # "find: ef" has 8 letters
+    assert [r["text"] for r in cache.add_scratch(rows, 1).collect()] == ["ef"]
+    assert [r["flushed"] for r in cache.flush_scratch(cache.add_scratch(rows)).collect()] == [["abcd", "ef"]]
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        ("CLAIMS: [\"a\", \"b\",]", ["a", "b"]),
+        ("<think>[x]</think> ['it runs', 'it stops']", ["it runs", "it stops"]),
+        ("{\"tool\": \"look\", \"at\": 3} claims : [{\"s\": \"a dog\", \"v\": \"has\", \"o\": 4}, 7, \"ok\"]", ["a dog has 4", "ok"]),
+        ("[not json", ["[not json"]),
+        ("CLAIMS: [broken {]", ["CLAIMS: [broken {]"]),
+        ("plain words", ["plain words"]),
+        ("[]", []),
+        ("", [""]),
+    ],
+)
+def test_claim_lists(text, expected):
+    assert verify.parse_claim_text(text) == expected
+
+
+def test_places(spark):
+    rows = spark.createDataFrame([("He lives in Paris near Rome", "paris is big", "entailment"), ("Seen at Oslo", "a town", "entailment"), ("Nothing here", "x", "entailment")], "claim string, fact string, label string")
+    assert [r[0] for r in rows.select(verify.geo_guard(verify.places(F.col("claim")))).collect()] == ["entailment", "neutral", "entailment"]
