@@ -27,14 +27,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelight.llm.bits import bit_set, maybe_in
 from framelight.llm.storage import materialize
 
 #: Hash classes whose counts order tokens; their table of small numbers has a fixed size and goes with the plan.
 CLASSES = 1 << 16
 #: Steps of a doubling in which counts are told apart.
 STEPS = 4
-#: 64-bit words of the bit sets that spare unaffected rows a shuffle.
-BIT_WORDS = 1 << 16
 #: Lines of so many tokens carry two masks.
 LONG = 56
 #: White space other than the blank and the line break.
@@ -84,38 +83,22 @@ def _rarity(lines: DataFrame) -> Column:
     whole = counted.union(every).groupBy("class").agg(F.max("step").alias("step"))
     in_order = F.sort_array(F.collect_list(F.col("class") * 256 + F.col("step")))
     row = whole.agg(F.transform(in_order, lambda x: x.bitwiseAND(F.lit(255))).alias("steps")).first()  # CLASSES numbers
-    return F.split(F.lit(",".join(str(x << 48) for x in row["steps"])), ",").cast("array<long>")
+    return F.split(F.lit(",".join(map(str, row["steps"]))), ",").cast("array<int>")  # short numbers, as the plan is kept in many places
 
 
-def _bits(hashes: DataFrame, column: str) -> Column:
-    """A bit set of fixed size over a column of 64-bit hashes, as a scalar."""
-    word, bit = F.pmod(F.shiftright(column, 6), F.lit(BIT_WORDS)).cast("int"), F.col(column).bitwiseAND(F.lit(63)).cast("int")
-    set_bits = hashes.select(word.alias("word"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    every = hashes.sparkSession.range(BIT_WORDS, numPartitions=1).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("bits"))
-    whole = set_bits.union(every).groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    listed = F.array_sort(F.collect_list(F.struct("word", "bits")))
-    return materialize(whole.agg(F.transform(listed, lambda x: x["bits"]).alias("bits")), "bits").scalar()
-
-
-def _maybe(bits: Column, column: str) -> Column:
-    """False only where the hash is surely not in the bit set."""
-    word = F.get(bits, F.pmod(F.shiftright(column, 6), F.lit(BIT_WORDS)).cast("int"))
-    return word.bitwiseAND(F.expr(f"shiftleft(1L, cast({column} & 63 as int))")) != 0
-
-
-def _may_match(percent: int) -> Column:
+def _may_match(percent: int, n_a: str = "n_a", n_b: str = "n_b") -> Column:
     """What length and masks say about a pair of sets (n, mask, half of sides a and b)."""
-    by_length = F.expr(f"{percent} * n_a <= 100 * n_b and {percent} * n_b <= 100 * n_a")
+    by_length = F.expr(f"{percent} * {n_a} <= 100 * {n_b} and {percent} * {n_b} <= 100 * {n_a}")
     # the mask of the other half of the tokens is mask ^ half
     halves = "bit_count(half_a ^ half_b) + bit_count(mask_a ^ mask_b ^ half_a ^ half_b)"
-    by_mask = F.expr(f"{100 + percent} * coalesce({halves}, bit_count(mask_a ^ mask_b)) <= {100 - percent} * (n_a + n_b)")
+    by_mask = F.expr(f"{100 + percent} * coalesce({halves}, bit_count(mask_a ^ mask_b)) <= {100 - percent} * ({n_a} + {n_b})")
     return by_length & by_mask
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs of prints (a, b) whose sets are similar."""
     needed = materialize(pairs.select(F.col("a").alias("print")).union(pairs.select("b")).distinct(), "line-prints")
-    whole = lines.filter(_maybe(_bits(needed, "print"), "print")).join(needed, "print", "left_semi").groupBy("print").agg(F.first("tokens").alias("tokens"))
+    whole = lines.filter(maybe_in(bit_set(needed, "print"), "print")).join(needed, "print", "left_semi").groupBy("print").agg(F.first("tokens").alias("tokens"))
     whole = materialize(whole, "line-sets")
     sides = [whole.select(F.col("print").alias(s), F.col("tokens").alias(f"tokens_{s}")) for s in "ab"]
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
@@ -149,18 +132,21 @@ def similar_sets(sets: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """
     # with fewer tokens than this only equal sets are similar
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 30
-    columns = ["print", "id", "n", "mask", "half", "open", "at"]
-    tokens = sets.filter(F.col("n") >= least).withColumn("id", F.col("first.id")).select(*columns[:-1], F.posexplode("prefix").alias("at", "token"))
+    tokens = sets.filter(F.col("n") >= least).select("print", F.col("first.id").alias("id"), "n", "mask", "half", "open", F.posexplode("prefix").alias("at", "token"))
+    # size, place and state go in one number, as these rows are what the join moves
+    columns = ["print", "id", "mask", "half", "about"]
+    about = F.expr("shiftleft(cast(n as long), 32) | shiftleft(cast(at as long), 1) | cast(open as long)").alias("about")
     # the first common token stands early in the shorter set; late ones, the more frequent, needn't meet each other
     is_early = F.expr(f"{100 + percent} * (n - at) >= {2 * percent} * n")
-    early, late = tokens.filter(is_early), tokens.filter(~is_early)
+    early, late = (tokens.filter(x).select("token", *columns[:-1], about) for x in (is_early, ~is_early))
     side = lambda rows, s: rows.select("token", *(F.col(c).alias(f"{c}_{s}") for c in columns))
-    by_position = F.expr(f"{100 + percent} * (1 + least(n_a - at_a - 1, n_b - at_b - 1)) >= {percent} * (n_a + n_b)")
+    n, at, is_open = ({s: f.format(f"about_{s}") for s in "ab"} for f in ("shiftright({}, 32)", "(shiftright({}, 1) & 2147483647)", "({} & 1 = 1)"))
+    by_position = F.expr(f"{100 + percent} * (1 + least({n['a']} - {at['a']} - 1, {n['b']} - {at['b']} - 1)) >= {percent} * ({n['a']} + {n['b']})")
     # only a later set can lose its lines; ids tell which of two is later unless they're equal (null ids come first)
-    matters = F.expr("(open_b and (id_a is null or id_a <= id_b)) or (open_a and (id_b is null or id_b <= id_a))")
-    fits = by_position & F.coalesce(matters, F.lit(False)) & _may_match(percent)
+    matters = F.expr(f"({is_open['b']} and (id_a is null or id_a <= id_b)) or ({is_open['a']} and (id_b is null or id_b <= id_a))")
+    fits = by_position & F.coalesce(matters, F.lit(False)) & _may_match(percent, n["a"], n["b"])
     both_early = side(early, "a").join(side(early, "b"), "token").filter((F.col("print_a") < F.col("print_b")) & fits)
-    one_late = side(early, "a").join(side(late, "b"), "token").filter((F.col("print_a") != F.col("print_b")) & (F.col("n_a") < F.col("n_b")) & fits)
+    one_late = side(early, "a").join(side(late, "b"), "token").filter((F.col("print_a") != F.col("print_b")) & F.expr(f"{n['a']} < {n['b']}") & fits)
     met = both_early.select("print_a", "print_b").union(one_late.select(F.least("print_a", "print_b"), F.greatest("print_a", "print_b")))
     pairs = materialize(met.select(F.col("print_a").alias("a"), F.col("print_b").alias("b")).distinct(), "line-pairs")
     return _verified(pairs, lines, percent)
@@ -171,20 +157,21 @@ def removed_lines(keyed: DataFrame, percent: int) -> DataFrame:
     lines = materialize(_lines(keyed), "lines", dictionary_mb=8)
     counts = _rarity(lines)
     # count and hash in one number, never null: its order is that of rarity, and equal tokens have equal numbers
-    rank = lambda t: F.coalesce(F.get(counts, t.bitwiseAND(F.lit(CLASSES - 1))).bitwiseOR(t.bitwiseAND(F.lit((1 << 48) - 1))), F.lit(0).cast("long"))
+    step = lambda t: F.coalesce(F.get(counts, t.bitwiseAND(F.lit(CLASSES - 1))), F.lit(0)).cast("long")
+    rank = lambda t: F.call_function("shiftleft", step(t), F.lit(32)).bitwiseOR(t.bitwiseAND(F.lit(0xFFFFFFFF)))
     length = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
     place = F.struct("id", "key", "line_no")
     derived = {"prefix": F.slice(F.sort_array(F.transform("tokens", rank)), 1, length), "mask": _mask(F.col("tokens")), "half": _half(F.col("tokens"), F.col("n")), "low": F.array_min("tokens"), "high": F.array_max("tokens")}
     # lines whose set occurs once, nearly all, are sets as they are
     repeated = materialize(lines.groupBy("print", "n").count().filter("count > 1").select("print"), "repeated-lines")
-    some = _bits(repeated, "print")
+    some = bit_set(repeated, "print")
     described = lines.withColumns(derived)
-    once = described.filter(~_maybe(some, "print")).select("print", "n", place.alias("first"), place.alias("last"), *derived)
+    once = described.filter(~maybe_in(some, "print")).select("print", "n", place.alias("first"), place.alias("last"), *derived)
     firsts = [F.first(c).alias(c) for c in derived]
-    folded = described.filter(_maybe(some, "print")).groupBy("print", "n").agg(F.min(place).alias("first"), F.max(place).alias("last"), *firsts)
+    folded = described.filter(maybe_in(some, "print")).groupBy("print", "n").agg(F.min(place).alias("first"), F.max(place).alias("last"), *firsts)
     sets = materialize(once.unionByName(folded), "line-firsts")
     several = sets.filter("first <> last").select("print", "first")
-    again = lines.filter(_maybe(some, "print")).select("print", place.alias("place")).join(several, "print").filter("place <> first").select("place.key", "place.line_no")
+    again = lines.filter(maybe_in(some, "print")).select("print", place.alias("place")).join(several, "print").filter("place <> first").select("place.key", "place.line_no")
     settled = materialize(similar_to_leaders(sets, lines, percent), "settled")
     by_leader = sets.select("print", "first").join(settled, "print", "left_semi").select("first.key", "first.line_no")
     flagged = sets.join(settled.withColumn("_settled", F.lit(True)), "print", "left").withColumn("open", F.col("_settled").isNull())
@@ -198,21 +185,26 @@ def removed_lines(keyed: DataFrame, percent: int) -> DataFrame:
 def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, drop_emptied: bool = False) -> DataFrame:
     """``docs`` without the lines that repeat earlier ones.
 
-    ``counts`` adds n_lines and n_removed; ``drop_emptied`` leaves out rows that
-    lost all their words.
+    ``counts`` adds n_lines and n_removed, in place of columns of those names;
+    ``drop_emptied`` leaves out rows that lost all their words.
     """
-    key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+    key = F.when(F.col(text_col).isNotNull(), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)))
     keyed = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), key.alias("key"), F.col(text_col).alias("text"))
-    removed = removed_lines(keyed, percent).groupBy("key").agg(F.collect_list("line_no").alias("_removed"))
-    removed = materialize(removed.withColumnRenamed("key", "_key"), "removed-lines")
-    marked = docs.withColumn("_key", F.when(F.col(text_col).isNotNull(), key)).withColumn("_touched", F.coalesce(_maybe(_bits(removed, "_key"), "_key"), F.lit(False)))
-    lines = F.split(F.col(text_col), "\n")
-    touched = marked.filter("_touched").join(removed, "_key", "left")
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_removed", i)), "\n")
+    removed = materialize(removed_lines(keyed, percent).groupBy("key").agg(F.collect_list("line_no").alias("removed")), "removed-lines")
+    # whole rows go as one column, so their names can't clash with those in use here
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key"))
+    packed = packed.withColumn("touched", F.coalesce(maybe_in(bit_set(removed, "key"), "key"), F.lit(False)))
+    text = F.col("row")[text_col]
+    lines = F.split(text, "\n")
+    joined = packed.filter("touched").join(removed, "key", "left")
+    # exploding an array of one keeps the lines from being split again for every use
+    split = joined.filter("removed is not null").select("row", "removed", F.explode(F.array(lines)).alias("lines"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed"))
+    cut = split.select("row", F.size("lines").alias("n_lines"), F.size("removed").alias("n_removed"), F.explode(F.array(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))).alias("text"))
     if drop_emptied:
-        touched = touched.filter(F.col("_removed").isNull() | F.coalesce(kept.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
-    columns = [F.when(F.col("_removed").isNull(), F.col(f"`{c}`")).otherwise(kept).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    n_lines, n_removed = F.coalesce(F.size(lines), F.lit(0)), F.coalesce(F.size("_removed"), F.lit(0))
-    more = [F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.when(F.col("_removed").isNull(), 0).otherwise(n_removed).cast("long").alias("n_removed")] if counts else []
-    alone = marked.filter("not _touched").withColumn("_removed", F.lit(None).cast("array<int>"))
-    return touched.select(*columns, *more).unionByName(alone.select(*(F.col(f"`{c}`") for c in docs.columns), *more))
+        cut = cut.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    whole = joined.filter("removed is null").select("row").union(packed.filter("not touched").select("row"))
+    whole = whole.select("row", F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.lit(0).alias("n_removed"), text.alias("text"))
+    added = ["n_lines", "n_removed"] if counts else []
+    columns = [F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c not in added]
+    return cut.union(whole).select(*columns, *(F.when(F.col("row")[text_col].isNull(), 0).otherwise(F.col(c)).cast("long").alias(c) for c in added))
