@@ -16,24 +16,28 @@ through shared shingles instead of being computed for all pivots:
 4. Regions meet only where members share a shingle of their rare-first prefixes
    (any linked pair does). Two regions are settled by their pivots' distance: a
    link, or apart by more than the radius and both regions' extents.
-5. Regions that stay open recurse on the windows that the triangle inequality
+5. Regions that stay open go on with the windows that the triangle inequality
    leaves: members whose distance to the other pivot is within radius plus
-   extent. Those pairs are verified directly.
+   extent. One level of windows is all there is: a prefix join within each pair
+   of windows, with exact verification, stands in for deeper recursion.
 
 Links are exact up to collisions of 64-bit shingle hashes. The classes are the
 connected components of the links.
 
 Defined results: null, empty and wordless texts have 0 shingles and are classes
 of their own; texts with fewer words than a shingle have one, the whole sequence;
-repeated rows with one id give one result row each, and if their texts differ, one
-of the texts stands for the id when links are sought; a null id stays a row of its
-own, with a null class; extra columns are dropped by :func:`near_duplicates` and
-kept by :func:`keep_one`, which keeps the row with the smallest id of a class
-and, among rows with that id, one; rows with a null id are kept.
+repeated rows with one id give one result row each, and if their texts differ,
+every text seeks links and the id joins the classes of all of them; a null id stays
+a row of its own, with a null class. :func:`keep_one` keeps all columns and one row
+of each class, that with the smallest id and, among texts with that id, the
+smallest text hash; there rows that share an id but whose texts aren't linked are
+different documents; rows with a null id are kept, texts without words are kept
+once for each id and text.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from functools import reduce
 
@@ -43,6 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelight.llm.bits import bit_set, maybe_in
 from framelight.llm.components import components
 from framelight.llm.storage import materialize
 from framelight.llm.text import buffers, mix, slices, words
@@ -56,8 +61,9 @@ RARITY_CLASSES = 1 << 18
 MASKED = 512
 MASK_WORDS = 8
 EARLIER = 32
-#: Largest number of ids that goes into a broadcast filter (two bytes each); beyond it rows are shuffled.
-FILTER_IDS = 4_000_000
+#: Bytes of shingle hashes that one hash range holds at most, and how many such bytes a byte of text gives at most, by rule of thumb.
+RANGE_BYTES = 24 << 20
+BYTES_A_BYTE = 0.7
 _SEEDS = mix(np.arange(1, 65, dtype=np.uint64))
 
 
@@ -89,7 +95,7 @@ def _fingerprint(own: np.ndarray) -> int:
 
 
 def _survey(docs: DataFrame, k: int, ranges: int) -> DataFrame:
-    """Rows of two kinds: for each document its id, size and fingerprint (range -1); for each batch and hash range the hashes of its documents."""
+    """Rows of two kinds: for each document its id, key, size and fingerprint (range -1); for each batch and hash range the hashes of its documents."""
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,9 +104,9 @@ def _survey(docs: DataFrame, k: int, ranges: int) -> DataFrame:
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
             prints = np.array([_fingerprint(s) for s in sets], dtype=np.int64)
             n = len(sets)
-            ids = batch.column(0)
+            ids, keys = batch.column(0), batch.column(2)
             blank = pa.nulls(n, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -1, np.int32)), ids, pa.array(sizes), pa.array(prints), blank, blank], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -1, np.int32)), ids, keys, pa.array(sizes), pa.array(prints), blank, blank], names=names)
             _, firsts = np.unique(prints, return_index=True)
             firsts = firsts[sizes[firsts] > 0]
             if not len(firsts):
@@ -114,69 +120,64 @@ def _survey(docs: DataFrame, k: int, ranges: int) -> DataFrame:
             rows = []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 run_owner, run_n = np.unique(owner[a:b], return_counts=True)
-                rows.append((int(part[a]), np.stack([prints[firsts[run_owner]], run_n]).tobytes(), low[a:b].tobytes()))
+                rows.append((int(part[a]), prints[firsts[run_owner]].tobytes() + run_n.astype(np.uint32).tobytes(), low[a:b].tobytes()))
             m = len(rows)
             none = pa.nulls(m, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), pa.nulls(m, ids.type), none, none, pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=names
+                [pa.array([r[0] for r in rows], pa.int32()), pa.nulls(m, ids.type), none, none, none, pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=names
             )
 
-    names = ["part", "id", "n", "print", "owners", "hashes"]
-    return docs.select("id", "text").mapInArrow(run, f"part int, id {id_type}, n long, print long, owners binary, hashes binary")
+    names = ["part", "id", "key", "n", "print", "owners", "hashes"]
+    return docs.select("id", "text", "key").mapInArrow(run, f"part int, id {id_type}, key long, n long, print long, owners binary, hashes binary")
 
 
 def _shared_in_range(rows: pd.DataFrame) -> pd.DataFrame:
     """How many hashes of each set in this range occur in another set."""
-    owners = np.concatenate([np.frombuffer(x, dtype=np.int64).reshape(2, -1) for x in rows["owners"]], axis=1)
-    hashes = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in rows["hashes"]])
-    ends = np.cumsum(owners[1])
-    _, firsts = np.unique(owners[0], return_index=True)  # copies in other batches count once
-    own = np.zeros(len(owners[0]), dtype=bool)
+    lists = [(np.frombuffer(x, np.int64, len(x) // 12), np.frombuffer(x, np.uint32, offset=len(x) // 12 * 8)) for x in rows["owners"]]
+    prints, sizes = (np.concatenate(x) for x in zip(*lists, strict=True))
+    _, firsts = np.unique(prints, return_index=True)  # copies in other batches count once
+    own = np.zeros(len(prints), dtype=bool)
     own[firsts] = True
-    keep = np.repeat(own, owners[1])
-    hashes, owner = hashes[keep], np.repeat(np.arange(len(ends)), owners[1])[keep]
-    order = np.argsort(hashes, kind="stable")
-    same = hashes[order][1:] == hashes[order][:-1]
-    shared = np.zeros(len(order), dtype=bool)
+    hashes = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in rows["hashes"]])
+    # hash and owner in one number that is sorted in place, as a range may hold many millions
+    both = np.repeat(np.arange(len(prints), dtype=np.uint32), sizes).astype(np.uint64)
+    both |= hashes.astype(np.uint64) << np.uint64(32)
+    del hashes
+    both = both[np.repeat(own, sizes)]
+    both.sort()
+    words = both.view(np.uint32)
+    owner, high = (words[0::2], words[1::2]) if sys.byteorder == "little" else (words[1::2], words[0::2])
+    same = high[1:] == high[:-1]
+    shared = np.zeros(len(both), dtype=bool)
     shared[1:] |= same
     shared[:-1] |= same
-    count = np.bincount(owner[order[shared]], minlength=len(ends))
+    count = np.bincount(owner[shared], minlength=len(prints))
     some = np.flatnonzero(count)
-    return pd.DataFrame({"print": owners[0][some], "shared": count[some]})
-
+    return pd.DataFrame({"print": prints[some], "shared": count[some]})
 
-def _only(docs: DataFrame, ids: DataFrame, n_ids: int) -> DataFrame:
-    """The rows of ``docs`` whose id is among ``ids``: by a broadcast bit filter of bounded size first, if the ids fit one."""
-    if n_ids <= FILTER_IDS:
-        size = 1 << max(10, (16 * max(n_ids, 1) - 1).bit_length())
-        bits = np.zeros(size // 8, dtype=np.uint8)
-        for r in ids.select(F.xxhash64("id").alias("h")).groupBy(F.pmod("h", F.lit(size)).alias("bit")).count().select("bit").toLocalIterator():
-            bits[r["bit"] >> 3] |= 1 << (r["bit"] & 7)
-        shared = docs.sparkSession.sparkContext.broadcast(bits)
 
-        @F.pandas_udf("boolean")
-        def maybe(bit: pd.Series) -> pd.Series:
-            at = bit.to_numpy()
-            return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0)
-
-        docs = docs.filter(maybe(F.pmod(F.xxhash64("id"), F.lit(size))))
-    return docs.join(ids, "id", "left_semi")
+def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each (id, key) of ``wanted``; a bit set of fixed size spares most other rows the shuffle."""
+    row = F.xxhash64("id", "key")
+    bits = bit_set(wanted.select(row.alias("row")), "row")
+    some = docs.withColumn("row", row).filter(maybe_in(bits, "row")).drop("row")
+    return some.join(wanted.select("id", "key"), ["id", "key"], "left_semi").dropDuplicates(["id", "key"])
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n, shingles, minima) of each document."""
-    id_type = docs.schema["id"].dataType.simpleString()
+    """(id, n, shingles, minima) of each text, with its set's fingerprint as id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, 1)):
-            sets = shingle_sets(batch.column(1), k)
+        for batch in (part for whole in batches for part in slices(whole, 0)):
+            sets = shingle_sets(batch.column(0), k)
             minima = [[int(mix(s ^ seed).min().astype(np.int64)) for seed in _SEEDS[-ORDERS:]] if len(s) else [] for s in sets]
+            columns = [[_fingerprint(s) for s in sets], [len(s) for s in sets]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(minima, pa.list_(pa.int64()))],
+                [*(pa.array(c, pa.int64()) for c in columns), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(minima, pa.list_(pa.int64()))],
                 names=["id", "n", "shingles", "minima"],
             )
 
-    return docs.select("id", "text").mapInArrow(run, f"id {id_type}, n long, shingles array<long>, minima array<long>")
+    return docs.select("text").mapInArrow(run, "id long, n long, shingles array<long>, minima array<long>")
 
 
 def _prefixes(regions: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
@@ -314,34 +315,56 @@ def links(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return homes, found.union(joined_pairs).union(verified).distinct()
 
 
+def _classes(docs: DataFrame, k: int, percent: int, one_by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """Each row of ``docs`` (id, text, key) as (id, key, n, print), and the class (print, label) of every set that has a row with an id.
+
+    With ``one_by_id`` the sets of rows that share an id are one class.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(16, -(-size * BYTES_A_BYTE // RANGE_BYTES))
+    surveyed = materialize(_survey(docs, k, int(ranges)), "shingles")
+    each = surveyed.filter("part < 0").select("id", "key", "n", "print")
+    with_id = each.filter("n > 0 and id is not null")
+    sets = materialize(with_id.groupBy("print", "n").agg(F.min(F.struct("id", "key")).alias("first")), "distinct-sets")
+    shared = surveyed.filter("part >= 0").select("part", "owners", "hashes").groupBy("part").applyInPandas(_shared_in_range, "print long, shared long").groupBy("print").agg(F.sum("shared").alias("shared"))
+    able = materialize(sets.join(shared, "print").filter(f"100 * shared >= {percent} * n").select("first.id", "first.key"), "able")
+    homes, edges = links(materialize(_sets(_only(docs, able), k), "sets"), percent)
+    nodes = sets.select("print").join(homes.withColumnRenamed("id", "print"), "print", "left").select("print", F.coalesce("region", "print").alias("node"))
+    if one_by_id:
+        spread = with_id.groupBy("id").agg(F.min("print").alias("one"), F.max("print").alias("other")).filter("one <> other")
+        same_id = with_id.join(spread, "id").select(F.col("one").alias("x"), F.col("print").alias("y")).distinct()
+        ends = [nodes.select(F.col("print").alias(c), F.col("node").alias(e)) for c, e in (("x", "a"), ("y", "b"))]
+        edges = edges.union(same_id.join(ends[0], "x").join(ends[1], "y").select("a", "b"))
+    labels = components(edges)
+    return each, nodes.join(labels, "node", "left").select("print", F.coalesce("label", "node").alias("label"))
+
+
+def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("key"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    ranges = max(16, slim.rdd.getNumPartitions())
-    surveyed = materialize(_survey(slim, k, ranges), "shingles")
-    each = surveyed.filter("part < 0").select("id", "n", "print")
-    sets = materialize(each.filter("n > 0 and id is not null").groupBy("print", "n").agg(F.min("id").alias("id")), "distinct-sets")
-    by_range = surveyed.filter("part >= 0").select("part", "owners", "hashes").repartition(ranges, "part")
-    shared = by_range.groupBy("part").applyInPandas(_shared_in_range, "print long, shared long").groupBy("print").agg(F.sum("shared").alias("shared"))
-    able = materialize(sets.join(shared, "print").filter(f"100 * shared >= {percent} * n").select("id"), "able")
-    chosen = _only(slim.filter("id is not null"), able, able.count()).dropDuplicates(["id"])
-    homes, edges = links(materialize(_sets(chosen, k), "sets"), percent)
-    labelled = homes.join(components(edges).withColumnRenamed("node", "region"), "region", "left").select("id", F.coalesce("label", "region").alias("label"))
-    first = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
-    labelled = labelled.join(first, "label").select("id", "component_id")
-    classes = sets.join(labelled, "id", "left").select("print", "n", "component_id", F.col("id").alias("first_id"))
-    with_class = each.join(classes, ["print", "n"], "left")
-    return with_class.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "first_id", "id")).alias("component_id"))
+    each, classes = _classes(_slim(docs, id_col, text_col), k, percent, one_by_id=True)
+    labelled = each.join(classes, "print", "left")
+    first = labelled.filter("label is not null").groupBy("label").agg(F.min("id").alias("component_id"))
+    with_class = labelled.join(first, "label", "left")
+    return with_class.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class of near duplicates."""
-    classes = near_duplicates(docs, k, percent, id_col, text_col).filter("doc_id = component_id").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(*(F.col(f"`{c}`").cast("string") for c in docs.columns)))
-    known = docs.filter(F.col(id_col).isNotNull())
-    repeated = known.groupBy(id_col).agg(F.count("*").alias("_rows")).filter("_rows > 1").select(id_col)
-    once = known.join(repeated, id_col, "left_anti")
-    several = known.join(repeated, id_col, "left_semi").withColumn("_first", first).filter("_first = 1").drop("_first")
-    named = classes.withColumnRenamed("doc_id", id_col)
-    rest = docs.filter(F.col(id_col).isNull())
-    return once.unionByName(several).join(named, id_col, "left_semi").select(*docs.columns).unionByName(rest)
+    each, classes = _classes(_slim(docs, id_col, text_col), k, percent, one_by_id=False)
+    known = each.filter("id is not null").join(classes, "print", "left")
+    place = F.struct("id", "key")
+    # a set without words is linked with nothing
+    chosen = known.filter("label is not null").groupBy("label").agg(F.min(place).alias("place")).select("place.*").union(known.filter("label is null").select("id", "key").distinct())
+    chosen = materialize(chosen, "kept-rows")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    packed = docs.select(row, F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"))
+    with_id = packed.filter("id is not null").join(chosen, ["id", "key"], "left_semi")
+    repeated = packed.filter("id is not null").groupBy("id", "key").count().filter("count > 1").select("id", "key")
+    first = F.row_number().over(Window.partitionBy("id", "key").orderBy(*(F.col("row")[c].cast("string") for c in docs.columns)))
+    several = with_id.join(repeated, ["id", "key"], "left_semi").withColumn("turn", first).filter("turn = 1").select("row")
+    kept = with_id.join(repeated, ["id", "key"], "left_anti").select("row").union(several).union(packed.filter("id is null").select("row"))
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
