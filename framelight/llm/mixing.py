@@ -3,11 +3,11 @@
 Sizes are words. Sources share the total size by weight; a target stops at
 ``limit`` times its source's size and the excess goes to the others by weight.
 A document is emitted floor(rate) times plus once more with probability equal
-to the fraction, by a draw seeded with its id, so reruns agree.
+to the fraction, by a draw seeded with its id and text, so reruns agree.
 
 Defined results: null text has size 0; null is a source of its own, last in
-order; a null id draws as the text "null"; rows with one id draw alike; sources
-of size 0 have target and rate 0 (their documents hold no words); an empty table
+order; a null id draws as the text "null" and its own text; rows equal in id and
+text are numbered and draw each by itself; sources of size 0 have target and rate 0 (their documents hold no words); an empty table
 gives an empty result. Extra columns are kept by :func:`emit`.
 """
 
@@ -16,6 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelight.llm.bits import bit_set, maybe_in
+from framelight.llm.storage import materialize
+
 #: A word is a run of anything but these bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -55,30 +58,58 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit:
     )
 
 
-def draw(id_col: Column) -> Column:
-    """A number in [0, 1) from the first 32 bits of the id's MD5."""
-    digest = F.md5(F.coalesce(id_col.cast("string"), F.lit("null")).cast("binary"))
+def draw(id_col: Column, text: Column, turn: Column) -> Column:
+    """A number in [0, 1) from the first 32 bits of the MD5 of id, text and turn."""
+    body = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    digest = F.md5(F.concat_ws("/", F.coalesce(id_col.cast("string"), F.lit("null")), body, turn.cast("string")).cast("binary"))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def copies(rate: Column, id_col: Column) -> Column:
-    return (F.floor(rate) + (draw(id_col) < rate - F.floor(rate)).cast("long")).cast("long")
+def with_turns(rows: DataFrame) -> DataFrame:
+    """``rows`` with column turn, which numbers from 1 those that share their (id, text).
+
+    Nearly all rows are alone and aren't moved. The others are written once with
+    the partition they lie in; numbers run within a partition, and counts of the
+    partitions before are added, so a large group of copies is spread over tasks.
+    """
+    keyed = rows.withColumn("key", F.xxhash64(F.col("id").cast("string"), F.lit(0), "text"))
+    repeated = keyed.groupBy("key").count().filter("count > 1").select("key")
+    keyed = keyed.withColumn("maybe", maybe_in(bit_set(repeated, "key"), "key"))
+    again = materialize(keyed.filter("maybe").withColumn("part", F.spark_partition_id()), "repeated-rows")
+    sizes = again.groupBy("key", "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("key").orderBy("part")) - F.col("n")
+    numbered = again.withColumn("at", F.row_number().over(Window.partitionBy("key", "part").orderBy("key")))
+    numbered = numbered.join(sizes.select("key", "part", before.alias("before")), ["key", "part"]).withColumn("turn", F.col("at") + F.col("before"))
+    columns = [*rows.columns, "turn"]
+    return keyed.filter("not maybe").withColumn("turn", F.lit(1).cast("long")).select(*columns).union(numbered.select(*columns))
+
+
+def copies() -> Column:
+    """Copies of a row (id, text, turn, rate)."""
+    whole = F.floor("rate")
+    return (whole + (draw(F.col("id"), F.col("text"), F.col("turn")) < F.col("rate") - whole).cast("long")).cast("long")
+
+
+def _with_rates(rows: DataFrame) -> DataFrame:
+    """Rows (source, text, ...) with size, source_size, target and rate."""
+    size = word_count(F.col("text")).alias("size")
+    # one row a source: written first, so its true size decides whether it is broadcast
+    rates = materialize(source_targets(rows.select("source", size)).withColumnRenamed("source", "rated"), "rates")
+    return rows.select("*", size).join(rates, F.col("source").eqNullSafe(F.col("rated"))).drop("rated")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """doc_id, size, source_size, target, taken, n_copies for every row."""
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    targets = source_targets(sized).withColumnRenamed("source", "_source")
-    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("_source")))
-    n = copies(F.col("rate"), F.col("doc_id"))
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * n).alias("taken"), n.alias("n_copies"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
+    counted = _with_rates(with_turns(rows)).withColumn("n_copies", copies())
+    return counted.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"), "n_copies")
 
 
 def emit(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken, with all their columns."""
-    sized = docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    rates = source_targets(sized).select(F.col("source").alias("_mix_source"), F.col("rate").alias("_mix_rate"))
-    joined = docs.join(rates, F.col(source_col).eqNullSafe(F.col("_mix_source")))
-    n = copies(F.col("_mix_rate"), F.col(id_col)).cast("int")
-    repeated = joined.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), n)))
-    return repeated.select(*(F.col(f"`{c}`") for c in docs.columns))
+    # whole rows go as one column, so their names can't clash with those in use here
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(row, F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
+    taken = _with_rates(with_turns(rows)).select("row", copies().cast("int").alias("n"))
+    repeated = taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("n"))).alias("copy"))
+    return repeated.select(*(F.col("row")[c].alias(c) for c in docs.columns))

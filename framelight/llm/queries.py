@@ -96,7 +96,8 @@ FROM k GROUP BY doc_id
 """,
     "op6_mixing": r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    coalesce(doc_id::VARCHAR, 'null') || '/' || md5(coalesce(text, '')) || '/' || row_number() OVER (PARTITION BY doc_id, text) AS seed FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 w AS (SELECT *, ([1.0, 2.0, 3.0])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT + 1]::DOUBLE AS weight,
   (3 * source_size)::DOUBLE AS full_size, (sum(source_size) OVER ())::DOUBLE AS total FROM s),
@@ -105,7 +106,7 @@ l AS (SELECT *, (total - sum(full_size) OVER o + full_size) / (sum(weight) OVER
 t AS (SELECT source, source_size, least(full_size, coalesce(weight * (SELECT arg_min(level_here, full_size / weight) FROM l WHERE level_here <= full_size / weight), full_size)) AS target FROM l),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t),
 c AS (SELECT doc_id, size, source_size, target,
-  (floor(rate) + CASE WHEN ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT / 4294967296.0 < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS n_copies
+  (floor(rate) + CASE WHEN ('0x' || substr(md5(seed), 1, 8))::BIGINT / 4294967296.0 < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS n_copies
   FROM sized JOIN r ON sized.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, size, source_size, target, size * n_copies AS taken, n_copies FROM c
 """,
