@@ -90,14 +90,14 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def training_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int, longest: int) -> DataFrame:
+def training_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int, longest: int | None) -> DataFrame:
     """(label, text) of at most ``per_label`` rows of every label, chosen by a hash of the id.
 
     Rows are thinned by rate before they are ranked, so no label gathers many.
     Rates count only rows that can be chosen, a repeated id once, so a label
     with such rows is never thinned away.
     """
-    fits = F.col(text_col).isNotNull() & (F.length(text_col) <= longest)
+    fits = F.col(text_col).isNotNull() if longest is None else F.length(text_col) <= longest
     named = F.col(label_col).isNotNull() & F.col(id_col).isNotNull()
     draw = F.xxhash64(F.col(id_col).cast("string"), F.lit(17))
     usable = docs.filter(~held_out(F.col(id_col)) & named & fits).select(F.col(label_col).cast("string").alias("_label"), F.col(text_col).alias("_text"), draw.alias("_draw"))
