@@ -14,8 +14,9 @@ Defined results: vectors that are null, empty, zero, hold a null or non-finite
 component, or differ from the commonest length take no part, neither as queries
 nor candidates; rows with null ids take no part; a repeated row is a candidate
 for each other row with another id only, and one candidate however often it
-occurs; an id with several vectors counts by the nearest; with fewer than ``k`` candidates in
-the probed parts a query gets those found; an empty table gives an empty result.
+occurs; an id with several vectors counts by the nearest; a query that finds fewer
+than ``k`` candidates in its parts visits all parts, so it gets fewer only if the
+table has fewer; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -163,19 +164,33 @@ def search(table: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id
         return routed
 
     placed = materialize(distinct.withColumn("part", router(0.0)("vector")[0]), "ann-rows")
-    asked = materialize(valid.filter("is_query").select(F.col("vec_id").alias("query_id"), "vector").withColumn("part", F.explode(router(cover)("vector"))), "ann-queries")
+    queries = valid.filter("is_query").select(F.col("vec_id").alias("query_id"), "vector")
     n_rows = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}
+    near = materialize(_met(materialize(queries.withColumn("part", F.explode(router(cover)("vector"))), "ann-queries"), placed, n_rows, k), "ann-found")
+    # parts that hold too few candidates: those queries visit every part
+    found = near.groupBy("query_id").agg(F.countDistinct("vec_id").alias("found"))
+    short = materialize(queries.join(found, "query_id", "left").filter(F.coalesce("found", F.lit(0)) < k).drop("found"), "ann-short")
+    if not short.isEmpty():
+        every = F.array(*(F.lit(p) for p in n_rows)).cast("array<int>")
+        near = near.union(_met(short.withColumn("part", F.explode(every)), placed, n_rows, k))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _met(asked: DataFrame, placed: DataFrame, n_rows: dict[int, int], k: int) -> DataFrame:
+    """The nearest of each query (query_id, vector, part) in each block of rows of its parts."""
     n_asked = {r["part"]: r["count"] for r in asked.groupBy("part").count().collect()}
-    row_blocks = F.element_at(F.array(*[F.lit(-(-n_rows.get(p, 1) // BLOCK_ROWS)) for p in range(parts)]), F.col("part") + 1)
-    query_blocks = F.element_at(F.array(*[F.lit(-(-n_asked.get(p, 1) // BLOCK_QUERIES)) for p in range(parts)]), F.col("part") + 1)
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+
+    def blocks(n: dict[int, int], most: int) -> Column:
+        return F.element_at(F.create_map(*(F.lit(x) for p in {0, *n_rows, *n_asked} for x in (p, -(-n.get(p, 1) // most)))), F.col("part"))
+
+    row_blocks, query_blocks = blocks(n_rows, BLOCK_ROWS), blocks(n_asked, BLOCK_QUERIES)
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     own_row, own_query = F.pmod(F.xxhash64("vec_id"), row_blocks).cast("int"), F.pmod(F.xxhash64("query_id"), query_blocks).cast("int")
-    rows = placed.withColumn("row_block", own_row).withColumn("query_block", every(query_blocks))
-    queries = asked.withColumn("query_block", own_query).withColumn("row_block", every(row_blocks))
+    rows = placed.withColumn("row_block", own_row).withColumn("query_block", each(query_blocks))
+    queries = asked.withColumn("query_block", own_query).withColumn("row_block", each(row_blocks))
     key = ["part", "row_block", "query_block"]
-    near = queries.groupBy(*key).cogroup(rows.groupBy(*key)).applyInPandas(lambda q, r: block_nearest(q, r, k), "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return queries.groupBy(*key).cogroup(rows.groupBy(*key)).applyInPandas(lambda q, r: block_nearest(q, r, k), "query_id long, vec_id long, score double")
 
 
 def block_nearest(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
