@@ -116,4 +116,5 @@ def count_documents(docs: DataFrame, ranks_path: str, end_id: int, id_col: str =
     """doc_id and n_tokens of every row, by way of flat token files."""
     manifest = write_token_files(docs, ranks_path, end_id, id_col, text_col)
     counted = count_tokens(manifest.filter("ordinal < 0").select("file", "n_ids"), end_id)
-    return manifest.filter("ordinal >= 0").select("file", "ordinal", "doc_id").join(counted, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    # both sides grow with the documents, so neither is broadcast
+    return manifest.filter("ordinal >= 0").select("file", "ordinal", "doc_id").join(counted.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens")
