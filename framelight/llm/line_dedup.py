@@ -40,13 +40,17 @@ LONG = 56
 _OTHER_WHITE = "\t\x0b\x0c\r"
 
 
-def _tokens(line: Column) -> Column:
-    """The distinct token hashes of a line."""
-    blank = F.lit(False)
+def _spaced(text: Column) -> Column:
+    """The text with blanks for all other white space but line breaks."""
+    other = F.lit(False)
     for c in _OTHER_WHITE:
-        blank = blank | line.contains(c)
-    spaced = F.when(blank, F.translate(line, _OTHER_WHITE, " " * len(_OTHER_WHITE))).otherwise(line)
-    hashes = F.transform(F.split(F.lower(spaced), " "), lambda w: F.xxhash64(w))
+        other = other | text.contains(c)
+    return F.when(other, F.translate(text, _OTHER_WHITE, " " * len(_OTHER_WHITE))).otherwise(text)
+
+
+def _tokens(line: Column) -> Column:
+    """The distinct token hashes of a line whose words stand between blanks."""
+    hashes = F.transform(F.split(F.lower(line), " "), lambda w: F.xxhash64(w))
     return F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit("")))
 
 
@@ -69,7 +73,7 @@ def _half(tokens: Column, n: Column) -> Column:
 
 def _lines(keyed: DataFrame) -> DataFrame:
     """(id, key, line_no, print, n, tokens) of every line with a word."""
-    lines = keyed.select("id", "key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = keyed.select("id", "key", F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("line_no", "line"))
     # exploding an array of one keeps the tokens from being worked out again for every use
     lines = lines.select("id", "key", "line_no", F.explode(F.array(_tokens(F.col("line")))).alias("tokens"))
     return lines.select("id", "key", "line_no", _print(F.col("tokens")).alias("print"), F.size("tokens").alias("n"), "tokens").filter("n > 0")
@@ -167,8 +171,12 @@ def removed_lines(keyed: DataFrame, percent: int) -> DataFrame:
     some = bit_set(repeated, "print")
     described = lines.withColumns(derived)
     once = described.filter(~maybe_in(some, "print")).select("print", "n", place.alias("first"), place.alias("last"), *derived)
-    firsts = [F.first(c).alias(c) for c in derived]
-    folded = described.filter(maybe_in(some, "print")).groupBy("print", "n").agg(F.min(place).alias("first"), F.max(place).alias("last"), *firsts)
+    # of the others only the first line of each set is described
+    repeats = materialize(lines.filter(maybe_in(some, "print")).groupBy("print", "n").agg(F.min(place).alias("first"), F.max(place).alias("last")), "line-repeats")
+    spots = bit_set(repeats.select(F.xxhash64("print", "first.key", "first.line_no").alias("spot")), "spot")
+    found = lines.withColumn("spot", F.xxhash64("print", "key", "line_no")).filter(maybe_in(spots, "spot"))
+    leading = found.join(repeats.select("print", "first", "last"), "print").filter(place == F.col("first")).dropDuplicates(["print"])
+    folded = leading.withColumns(derived).select("print", "n", "first", "last", *derived)
     sets = materialize(once.unionByName(folded), "line-firsts")
     several = sets.filter("first <> last").select("print", "first")
     again = lines.filter(maybe_in(some, "print")).select("print", place.alias("place")).join(several, "print").filter("place <> first").select("place.key", "place.line_no")
