@@ -5,13 +5,14 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelight.llm import ann, bpe, jaccard_join, langid, line_dedup, mixing, quality, sharding, token_counts, toxicity
 
-#: Where the tokenizer files lie; they are never copied.
-TOKENIZERS = os.environ.get("FRAMELIGHT_TOKENIZERS", "/opt/tokenizers")
+#: Where the driver finds the tokenizer files; they are never copied.
+TOKENIZERS = os.environ.get("FRAMELIGHT_TOKENIZERS") or os.path.dirname(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -58,10 +58,11 @@ def write_token_files(docs: DataFrame, ranks_path: str, end_id: int, id_col: str
     """
     folder = new_path(docs.sparkSession, "tokens")
     id_type = docs.schema[id_col].dataType.simpleString()
+    with open(ranks_path, "rb") as f:  # on the driver: executors needn't have the file
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, shared.value.splitlines())}
         encoder = tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         store, base = _open(folder)
         store.create_dir(base, recursive=True)
