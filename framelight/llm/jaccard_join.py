@@ -62,7 +62,7 @@ MASKED = 512
 MASK_WORDS = 8
 EARLIER = 32
 #: Bytes of shingle hashes that one hash range holds at most, and how many such bytes a byte of text gives at most, by rule of thumb.
-RANGE_BYTES = 24 << 20
+RANGE_BYTES = 12 << 20
 BYTES_A_BYTE = 0.7
 _SEEDS = mix(np.arange(1, 65, dtype=np.uint64))
 
