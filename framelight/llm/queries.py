@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelight.llm import ann, bpe, jaccard_join, langid, line_dedup, mixing, quality, sharding, token_counts, toxicity
+from framelight.llm import ann, bpe, filter_audit, jaccard_join, langid, line_dedup, mixing, prefix_trie, quality, sharding, token_counts, toxicity
 
 #: Where the driver finds the tokenizer files; they are never copied.
 TOKENIZERS = os.environ.get("FRAMELIGHT_TOKENIZERS") or os.path.dirname(public_tokenizers.path("word_bpe_49k.json"))
@@ -62,7 +62,15 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, f"{TOKENIZERS}/word_bpe_49k.json").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_line_dedup, op4_sharding, op5_quality, op6_mixing, op7_token_counts, op8_nearest, op9_toxicity, op10_bpe)}
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_line_dedup, op4_sharding, op5_quality, op6_mixing, op7_token_counts, op8_nearest, op9_toxicity, op10_bpe, op12_prefix_trie, op13_filter_audit)}
 
 ORACLES: dict[str, str] = {
     "op2_jaccard_join": r"""
@@ -110,5 +118,37 @@ c AS (SELECT doc_id, size, source_size, target,
   (floor(rate) + CASE WHEN ('0x' || substr(md5(seed), 1, 8))::BIGINT / 4294967296.0 < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS n_copies
   FROM sized JOIN r ON sized.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, size, source_size, target, size * n_copies AS taken, n_copies FROM c
+""",
+    "op12_prefix_trie": r"""
+WITH o AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, t, xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+  lambda crc, byte: list_reduce([xor(crc, byte)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, k: xor(x >> 1, 3988292384 * (x & 1))))) % 6 AS h FROM o),
+r AS (SELECT h.conv_id, coalesce(b.t[1:h], []) || h.t[h + 1:] AS t FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 100),
+m AS (SELECT conv_id, len(t) AS size, d AS depth, t[1:d] AS path FROM r, LATERAL (SELECT unnest(range(0, len(t) + 1)) AS d)),
+n AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(size) = depth AS leaf, (count(*) - 1) * coalesce(length(any_value(path)[depth].text), 0) AS saved,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends_sha256 FROM m GROUP BY path, depth),
+s AS (SELECT path[1:d] AS path, d AS depth, count(*) FILTER (depth = d + 1) AS n_children, count(*) FILTER (leaf) AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+  FROM n, LATERAL (SELECT unnest(range(0, n.depth + 1)) AS d) GROUP BY ALL)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, s.n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+FROM n JOIN s ON s.depth = n.depth AND s.path = n.path LEFT JOIN n p ON p.depth = n.depth - 1 AND p.path = n.path[1:n.depth - 1] AND n.depth > 0
+""",
+    "op13_filter_audit": r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT + 4 * (100 * len(regexp_extract_all(text, '[A-Z]')) > 3 * length(text))::INT
+  + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY text), false)::INT AS fails FROM t LEFT JOIN l ON l.doc_id = t.doc_id),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM f GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step, (1 << (ascii(filter_order[step]) - 65))::INT AS bit,
+  list_sum(list_transform(range(1, step), lambda k: 1 << (ascii(filter_order[k]) - 65)))::INT AS found FROM o, (SELECT unnest(range(1, 6)) AS step)),
+p AS (SELECT filter_order, step, bit, coalesce(found, 0) AS before FROM s),
+r AS (SELECT part, filter_order, step, bit,
+  coalesce(sum(n) FILTER (fails & (before | bit) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails & before = 0 AND fails & bit <> 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (fails & before <> 0 AND fails & bit <> 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails = bit), 0)::BIGINT AS unique_fails,
+  coalesce(sum(n_good) FILTER (fails & before = 0 AND fails & bit <> 0), 0)::BIGINT AS good_lost, coalesce(sum(n_toxic) FILTER (fails & before = 0 AND fails & bit <> 0), 0)::BIGINT AS toxic_lost
+  FROM c, p GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r
 """,
 }
