@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelight.llm import ann, bpe, filter_audit, jaccard_join, langid, line_dedup, mixing, prefix_trie, quality, sharding, token_counts, toxicity
+from framelight.llm import ann, bpe, context_mixing, filter_audit, jaccard_join, langid, line_dedup, mixing, prefix_trie, quality, sharding, token_counts, toxicity
 
 #: Where the driver finds the tokenizer files; they are never copied.
 TOKENIZERS = os.environ.get("FRAMELIGHT_TOKENIZERS") or os.path.dirname(public_tokenizers.path("word_bpe_49k.json"))
@@ -62,6 +62,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, f"{TOKENIZERS}/word_bpe_49k.json").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op11_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.assess(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -70,7 +74,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_line_dedup, op4_sharding, op5_quality, op6_mixing, op7_token_counts, op8_nearest, op9_toxicity, op10_bpe, op12_prefix_trie, op13_filter_audit)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_line_dedup, op4_sharding, op5_quality, op6_mixing, op7_token_counts, op8_nearest, op9_toxicity, op10_bpe, op11_context_mixing, op12_prefix_trie, op13_filter_audit)}
 
 ORACLES: dict[str, str] = {
     "op2_jaccard_join": r"""
