@@ -346,8 +346,9 @@ def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     each, classes = _classes(_slim(docs, id_col, text_col), k, percent, one_by_id=True)
-    labelled = each.join(classes, "print", "left")
-    first = labelled.filter("label is not null").groupBy("label").agg(F.min("id").alias("component_id"))
+    labelled = materialize(each.join(classes, "print", "left"), "labelled")
+    # written, so that the rows of a large class may be dealt over several tasks of the join
+    first = materialize(labelled.filter("label is not null").groupBy("label").agg(F.min("id").alias("component_id"), F.count("*").alias("rows")).filter("rows > 1").drop("rows"), "class-ids")
     with_class = labelled.join(first, "label", "left")
     return with_class.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
