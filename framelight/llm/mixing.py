@@ -7,7 +7,8 @@ to the fraction, by a draw seeded with its id and text, so reruns agree.
 
 Defined results: null text has size 0; null is a source of its own, last in
 order; a null id draws as the text "null" and its own text; rows equal in id and
-text are numbered and draw each by itself; sources of size 0 have target and rate 0 (their documents hold no words); an empty table
+text are numbered by source and what else they hold, and draw each by itself, so
+results don't depend on how rows lie; sources of size 0 have target and rate 0 (their documents hold no words); an empty table
 gives an empty result. Extra columns are kept by :func:`emit`.
 """
 
@@ -66,21 +67,27 @@ def draw(id_col: Column, text: Column, turn: Column) -> Column:
 
 
 def with_turns(rows: DataFrame) -> DataFrame:
-    """``rows`` with column turn, which numbers from 1 those that share their (id, text).
+    """``rows`` with column turn, which numbers from 1 those that share their (id, text), by source and then by ``order`` if there is one.
 
-    Nearly all rows are alone and aren't moved. The others are written once with
-    the partition they lie in; numbers run within a partition, and counts of the
-    partitions before are added, so a large group of copies is spread over tasks.
+    Nearly all rows are alone and aren't moved. The others are numbered over
+    sorted ranges, so a large group of copies is spread over tasks; which of two
+    rows equal in all of this comes first can't be told from the result.
     """
+    columns = [c for c in rows.columns if c != "order"]
+    order = [c for c in ("key", "source", "order", "tie") if c in (*rows.columns, "key", "tie")]
     keyed = rows.withColumn("key", F.xxhash64(F.col("id").cast("string"), F.lit(0), "text"))
     repeated = keyed.groupBy("key").count().filter("count > 1").select("key")
     keyed = keyed.withColumn("maybe", maybe_in(bit_set(repeated, "key"), "key"))
-    again = materialize(keyed.filter("maybe").withColumn("part", F.spark_partition_id()), "repeated-rows")
-    sizes = again.groupBy("key", "part").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("key").orderBy("part")) - F.col("n")
-    numbered = again.withColumn("at", F.row_number().over(Window.partitionBy("key", "part").orderBy("key")))
-    numbered = numbered.join(sizes.select("key", "part", before.alias("before")), ["key", "part"]).withColumn("turn", F.col("at") + F.col("before"))
-    columns = [*rows.columns, "turn"]
+    again = materialize(keyed.filter("maybe").drop("maybe"), "repeated-rows")
+    placed = again.withColumn("tie", F.monotonically_increasing_id()).orderBy(*order)
+    placed = materialize(placed.select(*columns, "key", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "repeated-in-order")
+    # a row a partition: its first place in all
+    parts = placed.groupBy("part").agg(F.count("*").alias("n"))
+    parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    numbered = placed.join(F.broadcast(parts), "part").withColumn("place", F.col("before") + F.col("at"))
+    starts = materialize(numbered.groupBy("key").agg(F.min("place").alias("start")), "repeated-starts")
+    numbered = numbered.join(starts, "key").withColumn("turn", F.col("place") - F.col("start") + 1)
+    columns = [*columns, "turn"]
     return keyed.filter("not maybe").withColumn("turn", F.lit(1).cast("long")).select(*columns).union(numbered.select(*columns))
 
 
@@ -109,7 +116,7 @@ def emit(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
     """The mix itself: the rows of ``docs``, each as often as it is taken, with all their columns."""
     # whole rows go as one column, so their names can't clash with those in use here
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    rows = docs.select(row, F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
+    rows = docs.select(row, F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), F.xxhash64(F.to_json(row)).alias("order"))
     taken = _with_rates(with_turns(rows)).select("row", copies().cast("int").alias("n"))
     repeated = taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("n"))).alias("copy"))
     return repeated.select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -110,7 +110,7 @@ FROM k GROUP BY doc_id
     "op6_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    coalesce(doc_id::VARCHAR, 'null') || '/' || md5(coalesce(text, '')) || '/' || row_number() OVER (PARTITION BY doc_id, text) AS seed FROM documents),
+    coalesce(doc_id::VARCHAR, 'null') || '/' || md5(coalesce(text, '')) || '/' || row_number() OVER (PARTITION BY doc_id, text ORDER BY source NULLS FIRST) AS seed FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 w AS (SELECT *, ([1.0, 2.0, 3.0])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT + 1]::DOUBLE AS weight,
   (3 * source_size)::DOUBLE AS full_size, (sum(source_size) OVER ())::DOUBLE AS total FROM s),
