@@ -12,8 +12,9 @@ block and recovery needs only the file.
 Defined results: ids after a file's last separator form a document of their
 own; two separators in a row enclose an empty document; an empty file holds
 none. When token files are made from a table, null text counts as empty, a
-separator string inside a text is encoded as ordinary text, and every row,
-repeated or not, is a document.
+separator string inside a text is encoded as ordinary text, ids of any type come
+back as they were, null ones too, and every row, repeated or not, is a document;
+columns beyond id and text are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import tiktoken
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -61,25 +63,27 @@ def write_token_files(docs: DataFrame, ranks_path: str, end_id: int, id_col: str
     with open(ranks_path, "rb") as f:  # on the driver: executors needn't have the file
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, shared.value.splitlines())}
         encoder = tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         store, base = _open(folder)
         store.create_dir(base, recursive=True)
-        name, ordinal, total = f"{uuid.uuid4().hex}.ids", 0, 0
+        name, ordinal, total, id_kind = f"{uuid.uuid4().hex}.ids", 0, 0, None
+        rows = lambda ordinals, ids, n: pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"] * len(ids)), ordinals, ids, n], names=["file", "ordinal", "doc_id", "n_ids"])
         with store.open_output_stream(f"{base}/{name}") as out:
-            for rows in batches:
-                for text in rows["_text"]:
-                    ids = np.array([*encoder.encode_ordinary(text or ""), end_id], dtype=dtype)
+            for batch in batches:
+                for text in batch.column(1):
+                    ids = np.array([*encoder.encode_ordinary(text.as_py() or ""), end_id], dtype=dtype)
                     out.write(ids.tobytes())
                     total += len(ids)
-                n = len(rows)
-                yield pd.DataFrame({"file": f"{folder}/{name}", "ordinal": np.arange(ordinal, ordinal + n), "doc_id": rows["_id"].to_numpy(), "n_ids": np.full(n, -1)})
+                n, id_kind = batch.num_rows, batch.column(0).type
+                yield rows(pa.array(np.arange(ordinal, ordinal + n)), batch.column(0), pa.array(np.full(n, -1)))  # ids as they came
                 ordinal += n
-        yield pd.DataFrame({"file": [f"{folder}/{name}"], "ordinal": [-1], "doc_id": pd.Series([None], dtype=object), "n_ids": [total]})
+        if id_kind is not None:
+            yield rows(pa.array([-1]), pa.nulls(1, id_kind), pa.array([total]))
 
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return materialize(slim.mapInPandas(write, f"file string, ordinal long, doc_id {id_type}, n_ids long"), "manifest")
+    return materialize(slim.mapInArrow(write, f"file string, ordinal long, doc_id {id_type}, n_ids long"), "manifest")
 
 
 def count_tokens(files: DataFrame, end_id: int, dtype: str = "<u2", block: int = BLOCK) -> DataFrame:
