@@ -16,7 +16,9 @@ nor candidates; rows with null ids take no part; a repeated row is a candidate
 for each other row with another id only, and one candidate however often it
 occurs; an id with several vectors counts by the nearest; a query that finds fewer
 than ``k`` candidates in its parts visits all parts, so it gets fewer only if the
-table has fewer; an empty table gives an empty result.
+table has fewer; equal scores go by the smaller id; components of any finite size
+count in full; columns beyond id and vector are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -46,10 +48,15 @@ def usable(vector: Column) -> Column:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    scaled = x / np.abs(x).max(1, keepdims=True)
+    scaled = _near_one(x)
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
+def _near_one(x: np.ndarray) -> np.ndarray:
+    """Rows over a power of two each, so that squares neither overflow nor vanish and no digit changes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def neighbour_graph(unit: np.ndarray, k: int) -> np.ndarray:
     """Each row's ``k`` nearest other rows, by blocks of rows."""
     out = []
@@ -210,6 +217,7 @@ def block_nearest(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataF
     best = rough if len(starts) == len(v_id) else np.maximum.reduceat(rough[:, by_id], starts, axis=1)
     last = np.partition(best, max(best.shape[1] - k, 0), axis=1)[:, max(best.shape[1] - k, 0)]
     at_q, at_v = np.nonzero((rough >= last[:, None] - 1e-9) & (rough > -np.inf))
+    q, v = _near_one(q), _near_one(v)
     a, b = q[at_q], v[at_v]
     exact = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
     out = pd.DataFrame({"query_id": q_id[at_q], "vec_id": v_id[at_v], "score": exact}).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
