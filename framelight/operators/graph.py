@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelight.config import Config
-from framelight.functions.arrays import cosine
+from framelight.operators import tiles
 
 DAMPING = 0.85
 #: Added before display rounding, so that values halfway between two decimals go up whatever their last bits.
@@ -36,25 +37,24 @@ def enrich(nodes: DataFrame, found: DataFrame, strict: bool = False) -> DataFram
     return nodes.join(found.select("*", *triples), ["video_id", "frame_idx"], "left")
 
 
-def coherence(a: str, b: str, low: str | Column, high: str | Column) -> Column:
-    """One minus the score difference over the video's score range; 1 on a flat video."""
-    width = F.col(high) - F.col(low) if isinstance(high, str) else high - low
-    return F.when(width == 0, 1.0).otherwise(1 - F.abs(F.col(a) - F.col(b)) / width)
+def motion_coherence(nodes: DataFrame, size: int = tiles.TILE) -> DataFrame:
+    """video_id, src, dst, coherence of all pairs of a video's nodes, src < dst."""
+    return tiles.pairs(nodes, ["action_score"], tiles.coherences, "coherence", size)
 
 
-def score_ranges(nodes: DataFrame) -> DataFrame:
-    return nodes.groupBy("video_id").agg(F.min("action_score").alias("low"), F.max("action_score").alias("high"))
+def edge_weights(nodes: DataFrame, config: Config = Config(), size: int = tiles.TILE) -> DataFrame:
+    """video_id, src, dst, weight of all pairs of a video's nodes, src < dst.
 
+    Two nodes with embeddings mix cosine and coherence, others have their
+    coherence; embeddings of different lengths have cosine 0; a null score gives
+    a null weight.
+    """
+
+    def weigh(a: pa.Table, b: pa.Table) -> np.ndarray:
+        alike, steady = tiles.cosines(a, b), tiles.coherences(a, b)
+        return np.where(np.isnan(alike), steady, config.alpha * alike + config.beta * steady)
 
-def edge_weights(nodes: DataFrame, config: Config = Config()) -> DataFrame:
-    """video_id, src, dst, weight of all pairs of a video's nodes, src < dst."""
-    ranged = nodes.join(score_ranges(nodes), "video_id")
-    a = ranged.select("video_id", F.col("frame_idx").alias("src"), F.col("action_score").alias("sa"), F.col("embedding").alias("ea"), "low", "high")
-    b = nodes.select("video_id", F.col("frame_idx").alias("dst"), F.col("action_score").alias("sb"), F.col("embedding").alias("eb"))
-    pairs = a.join(b, "video_id").filter("src < dst").withColumn("coherence", coherence("sa", "sb", "low", "high"))
-    both = F.col("ea").isNotNull() & F.col("eb").isNotNull()
-    weight = F.when(both, config.alpha * cosine("ea", "eb") + config.beta * F.col("coherence")).otherwise(F.col("coherence"))
-    return pairs.select("video_id", "src", "dst", weight.alias("weight"))
+    return tiles.pairs(nodes, ["action_score", "embedding"], weigh, "weight", size)
 
 
 class CompleteGraph:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,13 +37,22 @@ def motion_magnitude(frames: DataFrame, vectors: DataFrame) -> DataFrame:
     return frames.join(mean, "frame_key", "left").select("frame_key", F.coalesce("mean", F.lit(0.0)).alias("motion_magnitude"))
 
 
-def motion_grid(vectors: DataFrame, width: int, height: int) -> DataFrame:
-    """frame_key, gx, gy, u, v: the mean vector of every cell of 16 pixels; 0 where a cell has none."""
-    across, down = max(1, width // CELL), max(1, height // CELL)
+def _grid_size(width: int, height: int) -> tuple[int, int]:
+    return max(1, width // CELL), max(1, height // CELL)
+
+
+def _cell_lists(vectors: DataFrame, width: int, height: int) -> DataFrame:
+    """frame_key and its cells that hold vectors, as structs of place c, u, v: only these are shuffled."""
+    across, down = _grid_size(width, height)
     at = lambda c, n: F.greatest(F.lit(0), F.least(F.floor(F.col(c) / CELL), F.lit(n - 1))).cast("int")
     means = vectors.groupBy("frame_key", at("dst_x", across).alias("gx"), at("dst_y", down).alias("gy")).agg(F.avg("motion_x").alias("u"), F.avg("motion_y").alias("v"))
-    # one row for each frame with its cells, then the dense grid, so only cells with vectors are shuffled
-    cells = means.groupBy("frame_key").agg(F.map_from_entries(F.collect_list(F.struct((F.col("gy") * across + F.col("gx")).alias("c"), F.struct("u", "v")))).alias("cells"))
+    return means.groupBy("frame_key").agg(F.collect_list(F.struct((F.col("gy") * across + F.col("gx")).alias("c"), "u", "v")).alias("cells"))
+
+
+def motion_grid(vectors: DataFrame, width: int, height: int) -> DataFrame:
+    """frame_key, gx, gy, u, v: the mean vector of every cell of 16 pixels; 0 where a cell has none."""
+    across, down = _grid_size(width, height)
+    cells = _cell_lists(vectors, width, height).select("frame_key", F.map_from_entries(F.transform("cells", lambda x: F.struct(x["c"], F.struct(x["u"].alias("u"), x["v"].alias("v"))))).alias("cells"))
     dense = cells.select("frame_key", "cells", F.explode(F.sequence(F.lit(0), F.lit(across * down - 1))).alias("c"))
     value = lambda f: F.coalesce(F.col("cells")[F.col("c")][f], F.lit(0.0)).alias(f)
     return dense.select("frame_key", (F.col("c") % across).alias("gx"), F.floor(F.col("c") / across).cast("int").alias("gy"), value("u"), value("v"))
@@ -62,24 +75,57 @@ def motion_fields(vectors: DataFrame, width: int, height: int) -> DataFrame:
     return first.select("*", *(grad(f"m_{a}", f"g{b}").alias(f"m_{a}{b}") for a in "xy" for b in "xy"))
 
 
+GEOMETRY = ["divergence", "curl", "jacobian_frobenius", "hessian_max_eigenvalue", "motion_entropy"]
+
+
+def grid_geometry(u: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
+    """The measures of ``GEOMETRY`` for a stack of grids (frame, gy, gx)."""
+    m = np.sqrt(u * u + v * v)
+
+    def slopes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if min(x.shape[1:]) <= 1:
+            return np.zeros_like(x), np.zeros_like(x)
+        along_y, along_x = np.gradient(x, axis=(1, 2))
+        return along_x, along_y
+
+    mean = lambda x: x.mean(axis=(1, 2))
+    (u_x, u_y), (v_x, v_y), (m_x, m_y) = slopes(u), slopes(v), slopes(m)
+    (m_xx, m_xy), (m_yx, m_yy) = slopes(m_x), slopes(m_y)
+    root = np.sqrt(np.maximum(0.0, (m_xx - m_yy) ** 2 + 4 * m_yx * m_xy))
+    top = m.max(axis=(1, 2))
+    moving = top > 1e-5
+    bins = np.minimum(np.floor(m / np.where(moving, top, 1)[:, None, None] * 10), 9).astype(np.int64).reshape(len(m), -1)
+    share = np.stack([(bins == b).mean(axis=1) for b in range(10)], axis=1)
+    bits = -np.where(share > 0, share * np.log2(np.where(share > 0, share, 1)), 0).sum(axis=1)
+    return [mean(u_x + v_y), mean(np.abs(v_x - u_y)), mean(np.sqrt(u_x**2 + u_y**2 + v_x**2 + v_y**2)), mean((np.abs(m_xx + m_yy) + root) / 2), np.where(moving, bits, 0.0)]
+
+
 def motion_geometry(frames: DataFrame, vectors: DataFrame, width: int, height: int) -> DataFrame:
-    """frame_key, divergence, curl, jacobian_frobenius, hessian_max_eigenvalue, motion_entropy; zeros without vectors or size."""
-    names = ["divergence", "curl", "jacobian_frobenius", "hessian_max_eigenvalue", "motion_entropy"]
+    """frame_key, divergence, curl, jacobian_frobenius, hessian_max_eigenvalue, motion_entropy; zeros without vectors or size.
+
+    A frame's grid is one small array, so its derivatives need no windows: stacks
+    of grids of bounded size are measured in Arrow batches.
+    """
     if width <= 0 or height <= 0:
-        return frames.select("frame_key", *(F.lit(0.0).alias(n) for n in names))
-    fields = motion_fields(vectors, width, height)
-    root = F.sqrt(F.greatest(F.lit(0.0), (F.col("m_xx") - F.col("m_yy")) ** 2 + 4 * F.col("m_yx") * F.col("m_xy")))
-    means = fields.groupBy("frame_key").agg(
-        F.avg(F.col("u_x") + F.col("v_y")).alias("divergence"),
-        F.avg(F.abs(F.col("v_x") - F.col("u_y"))).alias("curl"),
-        F.avg(F.sqrt(F.col("u_x") ** 2 + F.col("u_y") ** 2 + F.col("v_x") ** 2 + F.col("v_y") ** 2)).alias("jacobian_frobenius"),
-        F.avg((F.abs(F.col("m_xx") + F.col("m_yy")) + root) / 2).alias("hessian_max_eigenvalue"),
-    )
-    peak = F.max("m").over(Window.partitionBy("frame_key"))
-    binned = fields.withColumn("top", peak).filter("top > 1e-5").groupBy("frame_key", F.least(F.floor(F.col("m") / F.col("top") * 10), F.lit(9)).alias("bin")).agg(F.count("*").alias("n"))
-    spread = entropy_bits(binned, ["frame_key"]).withColumnRenamed("entropy", "motion_entropy")
-    joined = frames.join(means, "frame_key", "left").join(spread, "frame_key", "left")
-    return joined.select("frame_key", *(F.coalesce(n, F.lit(0.0)).alias(n) for n in names))
+        return frames.select("frame_key", *(F.lit(0.0).alias(n) for n in GEOMETRY))
+    across, down = _grid_size(width, height)
+    most = max(1, (1 << 20) // (across * down))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, most):
+                batch = whole.slice(low, most)
+                lists = batch.column(1)
+                frame = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+                c, u, v = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+                grids = np.zeros((2, len(lists), down * across))
+                grids[0, frame, c], grids[1, frame, c] = u, v
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, grid_geometry(*grids.reshape(2, len(lists), down, across)))], names=["frame_key", *GEOMETRY])
+
+    kind = vectors.schema["frame_key"].dataType.simpleString()
+    measured = _cell_lists(vectors, width, height).mapInArrow(measure, ", ".join([f"frame_key {kind}", *(f"{n} double" for n in GEOMETRY)]))
+    joined = frames.join(measured, "frame_key", "left")
+    return joined.select("frame_key", *(F.coalesce(n, F.lit(0.0)).alias(n) for n in GEOMETRY))
 
 
 def frame_type(pict_type: Column, key_frame: Column) -> Column:

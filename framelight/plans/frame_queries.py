@@ -315,10 +315,7 @@ def e4_enrich_bulk(spark, sf):
 
 @query(f"WITH RECURSIVE {sql.NODES} SELECT a.video_id, a.frame_idx AS src, b.frame_idx AS dst, round(CASE WHEN high = low THEN 1.0 ELSE 1 - abs(a.action_score - b.action_score) / (high - low) END, 6) + 0.0 AS coherence FROM nodes a JOIN nodes b ON a.video_id = b.video_id AND a.frame_idx < b.frame_idx JOIN ranges r ON r.video_id = a.video_id")
 def e5_motion_coherence(spark, sf):
-    rows = suppressed(spark, sf).select("video_id", "frame_idx", "action_score")
-    a = rows.join(graph.score_ranges(rows), "video_id").withColumnsRenamed({"frame_idx": "src", "action_score": "sa"})
-    pairs = a.join(rows.withColumnsRenamed({"frame_idx": "dst", "action_score": "sb"}), "video_id").filter("src < dst")
-    return rounded(pairs.select("video_id", "src", "dst", graph.coherence("sa", "sb", "low", "high").alias("coherence")), "coherence")
+    return rounded(graph.motion_coherence(suppressed(spark, sf)), "coherence")
 
 
 @query(f"WITH {sql.EMBEDDED} SELECT video_id, frame_idx, round(list_cosine_similarity(embedding, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) + 0.0 AS cosine FROM embedded")

@@ -287,3 +287,46 @@ def test_one_failing_row_spares_its_batch(spark):
 
     rows = retrieval.embed(spark.createDataFrame([("a",), ("bad",), ("b",)], "t string").coalesce(1), "t", model, size=2)
     assert {r["t"]: r["embedding"] for r in rows.collect()} == {"a": [0.6, 0.8], "bad": [0.0, 0.0], "b": [0.6, 0.8]}
+
+
+def random_nodes(spark, n, seed=5, videos=(1, 2)):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for video in videos:
+        for frame in sorted(rng.choice(n * 3, n, replace=False).tolist()):
+            e = None if rng.random() < 0.1 else [float(x) for x in rng.normal(size=4 if rng.random() < 0.9 else 3)]
+            rows.append((video, frame, float(rng.random()), [0.0] * 4 if rng.random() < 0.05 else e))
+    return rows, spark.createDataFrame(rows, "video_id long, frame_idx int, action_score double, embedding array<double>")
+
+
+@pytest.mark.parametrize("size", [1, 7, 256])
+def test_tiles_give_every_pair_once(spark, size):
+    from itertools import combinations
+
+    rows, nodes = random_nodes(spark, 60)
+    expected = {}
+    for video in (1, 2):
+        mine = [r for r in rows if r[0] == video]
+        low, high = min(r[2] for r in mine), max(r[2] for r in mine)
+        for a, b in combinations(mine, 2):
+            steady = 1 - abs(a[2] - b[2]) / (high - low)
+            weight = steady
+            if a[3] is not None and b[3] is not None:
+                x, y = np.array(a[3]), np.array(b[3])
+                lengths = np.linalg.norm(x) * np.linalg.norm(y)
+                weight = 0.4 * (float(x @ y / lengths) if len(x) == len(y) and lengths else 0.0) + 0.6 * steady
+            expected[video, a[1], b[1]] = weight
+    found = graph.edge_weights(nodes, Config(alpha=0.4, beta=0.6), size).collect()
+    assert len(found) == len(expected)
+    assert {(r["video_id"], r["src"], r["dst"]): r["weight"] for r in found} == pytest.approx(expected, abs=1e-12)
+
+
+def test_tiles_are_small_and_spread(spark):
+    from framelight.operators import tiles
+
+    _, nodes = random_nodes(spark, 900, videos=(1,))
+    sizes = [r["count"] for r in tiles.tiled(nodes, 64).groupBy("video_id", "tile").count().collect()]
+    assert max(sizes) <= 2 * 64 - 1 and sum(sizes) == 900 and len(sizes) >= 900 // 127
+    assert graph.edge_weights(nodes.filter("false")).count() == 0
+    some = spark.createDataFrame([(1, 5, None, None), (1, 9, 0.5, None), (1, 11, 0.7, None)], nodes.schema)
+    assert {(r["src"], r["dst"]): r["coherence"] for r in graph.motion_coherence(some).collect()} == {(5, 9): None, (5, 11): None, (9, 11): 0.0}
