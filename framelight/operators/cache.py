@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelight.config import Config
-from framelight.functions.arrays import clip01, cosine
-from framelight.operators.retrieval import CAPTION_FAILED
+from framelight.operators.retrieval import CAPTION_FAILED, similarities
 
 # Budgets of the five sets, the least number of facts, and the words that route a triple.
 DEFAULT_BUDGETS = {"system": 50, "facts": 100, "history": 150, "tools": 100, "scratch": 80}
@@ -109,12 +108,18 @@ def evictions(events: DataFrame, config: Config = Config(), capacity: int | None
     return _replayed(events, capacity or config.l1_capacity, config, True, "video_id long, arrival long, frame_idx int, victim int, keep_score double")
 
 
-def query_cache(entries: DataFrame, query: DataFrame, k: int, config: Config = Config()) -> DataFrame:
-    """The ``k`` best entries of each cache after their similarity to the query is set."""
-    met = entries.crossJoin(F.broadcast(query.limit(1))).withColumn("query_similarity", clip01(F.when(F.col("embedding").isNull(), 0.0).otherwise(cosine("embedding", "query_embedding"))))
+def query_cache(entries: DataFrame, queries: DataFrame, k: int, config: Config = Config()) -> DataFrame:
+    """The ``k`` best entries of each cache for each query, after their similarity to it is set.
+
+    ``queries`` has ``query_embedding`` and columns that tell queries apart, which
+    come back; without such columns equal vectors are one query.
+    """
+    named = queries if queries.columns != ["query_embedding"] else queries.withColumn("_query", F.xxhash64("query_embedding"))
+    keys = [c for c in named.columns if c != "query_embedding"]
+    met = entries.drop("query_similarity").join(similarities(entries, named).withColumnRenamed("similarity", "query_similarity"), ["video_id", "frame_idx"])
     scored = met.withColumn("keep_score", keep_score(F.col("counter"), config))
-    rank = F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("keep_score"), "position"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    rank = F.row_number().over(Window.partitionBy(*keys, "video_id").orderBy(F.desc("keep_score"), "position"))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).drop("_query")
 
 
 def update_pagerank(entries: DataFrame, scores: DataFrame) -> DataFrame:
@@ -208,19 +213,19 @@ def trim_fifo(rows: DataFrame, budget: int, label: str | None, default: str = ""
     return clean.withColumn("_tokens", F.sum((count or token_count)(line)).over(newest)).filter(F.col("_tokens") <= budget).drop("_tokens")
 
 
-def add_history(rows: DataFrame, budget: int = DEFAULT_BUDGETS["history"]) -> DataFrame:
-    """Turns (set_id, seq, role, text) that the history keeps."""
-    return trim_fifo(rows, budget, "role", "user")
+def add_history(rows: DataFrame, budget: int = DEFAULT_BUDGETS["history"], count: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Turns (set_id, seq, role, text) that the history keeps; ``count`` counts a line's tokens (default: words)."""
+    return trim_fifo(rows, budget, "role", "user", count)
 
 
-def add_tools(rows: DataFrame, budget: int = DEFAULT_BUDGETS["tools"]) -> DataFrame:
+def add_tools(rows: DataFrame, budget: int = DEFAULT_BUDGETS["tools"], count: Callable[[Column], Column] | None = None) -> DataFrame:
     """Results (set_id, seq, tool_name, text) that the tool set keeps."""
-    return trim_fifo(rows, budget, "tool_name", "tool")
+    return trim_fifo(rows, budget, "tool_name", "tool", count)
 
 
-def add_scratch(rows: DataFrame, budget: int = DEFAULT_BUDGETS["scratch"]) -> DataFrame:
+def add_scratch(rows: DataFrame, budget: int = DEFAULT_BUDGETS["scratch"], count: Callable[[Column], Column] | None = None) -> DataFrame:
     """Unverified texts (set_id, seq, text) that the scratch set keeps."""
-    return trim_fifo(rows, budget, None)
+    return trim_fifo(rows, budget, None, count=count)
 
 
 def flush_scratch(kept: DataFrame) -> DataFrame:

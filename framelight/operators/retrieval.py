@@ -4,29 +4,94 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framelight.config import Config
-from framelight.functions.arrays import cosine, dot
+from framelight.functions.arrays import dot
+from framelight.operators import tiles
 
 #: Stands for a caption that no model could make.
 CAPTION_FAILED = "[CAPTION_FAILED]"
-
-
-def hybrid_retrieve(nodes: DataFrame, query: DataFrame, k: int, config: Config = Config()) -> DataFrame:
-    """The ``k`` best frames of each video for one query vector (a one-row DataFrame ``query_embedding``)."""
-    met = nodes.crossJoin(F.broadcast(query.limit(1)))
-    parts = met.select(
-        "video_id", "frame_idx",
-        (config.alpha * F.when(F.col("embedding").isNull() | F.col("query_embedding").isNull(), 0.0).otherwise(cosine("embedding", "query_embedding"))).alias("semantic"),
-        (config.beta * F.coalesce("action_score", F.lit(0.0))).alias("action"),
-        (config.gamma * F.coalesce("persistence_value", F.lit(0.0))).alias("persistence"),
-    )
-    scored = parts.withColumn("score", F.col("semantic") + F.col("action") + F.col("persistence"))
-    rank = F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("score"), "frame_idx"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+#: Frames of a video, and queries, that meet in one task.
+TILE = 2048
+BLOCK = 256
+
+
+def _query_keys(queries: DataFrame) -> list[str]:
+    return [c for c in queries.columns if c != "query_embedding"]
+
+
+def against(nodes: DataFrame, queries: DataFrame, columns: list[str], found: Callable[[pa.Table, np.ndarray], tuple[np.ndarray, np.ndarray, list[np.ndarray]]], names: list[str]) -> DataFrame:
+    """Every node tile against every block of queries: the queries' keys, video_id, frame_idx and ``names``.
+
+    Queries are a table of ``query_embedding`` and any key columns; equal rows
+    are one query. Nodes meet them in tiles of at most ``TILE`` frames of a video
+    and blocks of about ``BLOCK`` queries, each a matrix of cosines. ``found``
+    gets a tile and that matrix (query, node) and returns the places of what it
+    keeps and their values, so what leaves a task is as small as it decides.
+    """
+    keys = _query_keys(queries)
+    asked = queries.distinct().withColumn("_hash", F.xxhash64(*queries.columns))
+    # one row: how many blocks there are
+    number = asked.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).cast("int").alias("_blocks"))
+    asked = asked.crossJoin(F.broadcast(number)).withColumn("_block", F.pmod("_hash", F.col("_blocks")).cast("int")).drop("_blocks", "_hash")
+    slim = nodes.select("video_id", "frame_idx", "embedding", *columns).withColumn("_stretch", F.floor(F.col("frame_idx") / TILE))
+    dealt = slim.crossJoin(F.broadcast(number)).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+    places = dealt.select(F.col("video_id").alias("_video"), F.col("_stretch").alias("_from"), F.col("_block").alias("_part")).distinct()
+    met = places.join(asked, places["_part"] == asked["_block"]).drop("_block")
+    kinds = {f.name: f.dataType for f in (*queries.schema, *nodes.schema)}
+    schema = T.StructType([*(T.StructField(c, kinds[c]) for c in (*keys, "video_id", "frame_idx")), *(T.StructField(n, T.DoubleType()) for n in names)])
+
+    def both(rows: pa.Table, block: pa.Table) -> pa.Table:
+        block = block.rename_columns(["embedding" if c == "query_embedding" else c for c in block.column_names])
+        if rows.num_rows and block.num_rows:
+            q, n, values = found(rows, np.nan_to_num(tiles.cosines(block, rows)))
+        else:
+            q, n, values = np.zeros(0, np.int64), np.zeros(0, np.int64), [np.zeros(0)] * len(names)
+        columns = [*(block.column(c).take(pa.array(q)) for c in keys), *(rows.column(c).take(pa.array(n)) for c in ("video_id", "frame_idx")), *(pa.array(v, from_pandas=True) for v in values)]
+        return pa.table(columns, names=schema.names)
+
+    return dealt.groupBy("video_id", "_stretch", "_block").cogroup(met.groupBy("_video", "_from", "_part")).applyInArrow(lambda n, q: both(n, q), schema)
+
+
+def hybrid_retrieve(nodes: DataFrame, queries: DataFrame, k: int, config: Config = Config()) -> DataFrame:
+    """The ``k`` best frames of each video for each query, with the three parts of their scores.
+
+    ``queries`` has ``query_embedding`` and columns that tell queries apart, which
+    come back; without such columns equal vectors are one query. A tile sends on
+    its ``k`` best for each query, and these are ranked. Without an embedding on
+    either side the semantic part is 0; of equal scores the earlier frame leads.
+    """
+    keys = _query_keys(queries)
+    named = queries if keys else queries.withColumn("_query", F.xxhash64("query_embedding"))
+    given = nodes.select("video_id", "frame_idx", "embedding", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("action_score", "persistence_value")))
+
+    def best(tile: pa.Table, cosine: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        semantic = config.alpha * cosine
+        action, persistence = (w * tile.column(c).to_numpy() for w, c in ((config.beta, "action_score"), (config.gamma, "persistence_value")))
+        score = semantic + action + persistence
+        by = np.lexsort((np.broadcast_to(tile.column("frame_idx").to_numpy(), score.shape), -score), axis=1)[:, :k]
+        q, n = np.repeat(np.arange(len(score)), by.shape[1]), by.ravel()
+        return q, n, [semantic[q, n], action[n], persistence[n], score[q, n]]
+
+    kept = against(given, named, ["action_score", "persistence_value"], best, ["semantic", "action", "persistence", "score"])
+    rank = F.row_number().over(Window.partitionBy(*_query_keys(named), "video_id").orderBy(F.desc("score"), "frame_idx"))
+    return kept.withColumn("rank", rank).filter(F.col("rank") <= k).drop("_query")
+
+
+def similarities(nodes: DataFrame, queries: DataFrame) -> DataFrame:
+    """The queries' keys, video_id, frame_idx, similarity (cosine within 0..1) of every node with every query."""
+
+    def every(tile: pa.Table, cosine: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        q, n = (x.ravel() for x in np.indices(cosine.shape))
+        return q, n, [np.clip(cosine, 0, 1).ravel()]
+
+    return against(nodes, queries, [], every, ["similarity"])
 
 
 def fallback_rank(frames: DataFrame, k: int) -> DataFrame:

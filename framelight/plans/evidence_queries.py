@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from framelight.config import Config
 from framelight.operators import cache, metrics, retrieval, verify
 from framelight.plans import ctes as sql
-from framelight.plans.frame_queries import nodes, query_vector, rounded, suppressed, tiered
+from framelight.plans.frame_queries import nodes, query_vector, query_vectors, rounded, suppressed, tiered
 from framelight.plans.registry import query
 from framelight.sources import tables
 
@@ -85,6 +85,12 @@ def g4_l1_query(spark, sf):
     return rounded(found.select("video_id", "frame_idx", "rank", "keep_score", "query_similarity"), "keep_score", "query_similarity")
 
 
+@query(f"WITH RECURSIVE {REPLAY}, {EMBEDDED}, v AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS query_embedding FROM embeddings WHERE vec_id % 50 = 0), q AS (SELECT e.*, query_id, least(greatest(list_cosine_similarity(embedding, query_embedding), 0.0), 1.0) AS similarity FROM entries e JOIN embedded USING (video_id, frame_idx), v), k AS (SELECT *, fixed + 0.2 * similarity + 0.05 * greatest(0.0, 1 - (counter - admitted_at)::DOUBLE / greatest(counter, 1)) AS keep FROM q), o AS (SELECT *, (row_number() OVER (PARTITION BY query_id, video_id ORDER BY keep DESC, position))::INT AS rank FROM k) SELECT query_id, video_id, frame_idx, rank, round(keep + 1e-9, 6) + 0.0 AS keep_score FROM o WHERE rank <= 5")
+def g4_l1_query_many(spark, sf):
+    found = cache.query_cache(cache_rows(spark, sf), query_vectors(spark, sf), 5).withColumn("keep_score", F.col("keep_score") + 1e-9)
+    return rounded(found.select("query_id", "video_id", "frame_idx", "rank", "keep_score"), "keep_score")
+
+
 @query(f"WITH RECURSIVE {REPLAY} SELECT e.video_id, e.frame_idx, round(n.entropy / 2, 6) + 0.0 AS pagerank FROM entries e JOIN nmsed n USING (video_id, frame_idx)")
 def g5_l1_update_pagerank(spark, sf):
     scores = tables.frames(spark, sf).select("video_id", "frame_idx", (F.col("entropy") / 2).alias("pagerank_score"))
@@ -208,11 +214,6 @@ def g18_triple_text(spark, sf):
     return texts(spark, sf).select("triple_id", "text")
 
 
-@query("SELECT * FROM (VALUES ('system', 50::BIGINT), ('facts', 200), ('history', 150), ('tools', 100), ('scratch', 80)) t(set_name, budget)")
-def g19_budget_resolve(spark, sf):
-    return spark.createDataFrame(list(cache.resolve_budgets({"facts": 200}).items()), "set_name string, budget long")
-
-
 @query(r"SELECT doc_id, len(regexp_extract_all(text, '\S+'))::BIGINT AS tokens FROM documents")
 def g20_token_count(spark, sf):
     return tables.table(spark, sf, "documents").select("doc_id", cache.token_count(F.col("text")).alias("tokens"))
@@ -351,7 +352,11 @@ def h9_topical_overlap(spark, sf):
     return turn_pairs(spark, sf).select("run_id", "pos", "fact_pos", verify.topical_overlap().alias("relevant"))
 
 
-VOTED = f"{LABELLED}, votes AS (SELECT run_id, pos, count(*) FILTER (WHERE label = 'entailment') AS yes, count(*) FILTER (WHERE label = 'contradiction') AS no FROM labelled WHERE relevant GROUP BY ALL), voted AS (SELECT conv_id AS run_id, turn AS pos, text, CASE WHEN no > yes THEN 'rejected' WHEN yes > 0 THEN 'verified' ELSE 'unverifiable' END AS verdict FROM conversations LEFT JOIN votes ON run_id = conv_id AND pos = turn WHERE role = 'assistant')"
+#: After both guards.
+GUARDED = f"CASE WHEN label = 'entailment' AND ({negated_in('claim')} AND NOT {negated_in('fact')} AND entail_prob <= 0.5 OR len({PLACES}) > 0 AND len(list_filter({PLACES}, lambda p: contains(lower(fact), p))) = 0) THEN 'neutral' ELSE label END"
+VOTES = f"guarded AS (SELECT * EXCLUDE (label), {GUARDED} AS label FROM {{0}}), votes AS (SELECT run_id, pos, count(*) FILTER (WHERE label = 'entailment') AS yes, count(*) FILTER (WHERE label = 'contradiction') AS no FROM guarded WHERE relevant GROUP BY ALL), voted AS (SELECT conv_id AS run_id, turn AS pos, text, CASE WHEN no > yes THEN 'rejected' WHEN yes > 0 THEN 'verified' ELSE 'unverifiable' END AS verdict FROM conversations LEFT JOIN votes ON run_id = conv_id AND pos = turn WHERE role = 'assistant')"
+VOTED = f"{LABELLED}, {VOTES.replace('{0}', 'labelled')}"
+VOTED_EAGERLY = f"{EAGER}, {VOTES.replace('{0}', 'eager')}"
 
 
 @query(f"WITH {VOTED} SELECT run_id, pos, verdict FROM voted")
@@ -359,6 +364,23 @@ def h10_verdict_vote(spark, sf):
     return verify.full_nli(tables.turns(spark, sf, "assistant"), facts(spark, sf)).select("run_id", "pos", "verdict")
 
 
+def eager_label(pairs):
+    """The model of :func:`eager_pairs` as a plug-in."""
+    return verify.nli_label(pairs).withColumn("label", F.when(F.col("entail_prob") >= 0.2, "entailment").otherwise("neutral"))
+
+
+@query(f"WITH {VOTED_EAGERLY} SELECT run_id, pos, verdict FROM voted")
+def h10_verdict_vote_plug_in(spark, sf):
+    """The vote with another model, on whose labels both guards fire."""
+    models = verify.Models(label=eager_label)
+    return verify.full_nli(tables.turns(spark, sf, "assistant"), facts(spark, sf), models).select("run_id", "pos", "verdict")
+
+
+@query(f"WITH {LABELLED} SELECT run_id, pos, fact_pos FROM labelled WHERE relevant")
+def h5_relevant_pairs(spark, sf):
+    return verify.relevant_pairs(tables.turns(spark, sf, "assistant"), facts(spark, sf)).select("run_id", "pos", "fact_pos")
+
+
 @query("SELECT conv_id AS run_id, turn AS pos, 'unverifiable' AS verdict FROM conversations WHERE role = 'assistant'")
 def h11_verdict_empty(spark, sf):
     return verify.full_nli(tables.turns(spark, sf, "assistant"), facts(spark, sf).filter("false")).select("run_id", "pos", "verdict")
@@ -433,11 +455,6 @@ def i2_validation_report(spark, sf):
     return rounded(metrics.validation_report(gated(spark, sf), h18_caption_frame(spark, sf)), "caption_success_rate")
 
 
-@query("SELECT * FROM (VALUES ('baseline', false, false), ('ablation_1', true, false), ('ablation_2', false, true), ('full', true, true)) t(condition, gating, nli)")
-def i3_ablation_conditions(spark, sf):
-    return metrics.ablation_conditions(spark)
-
-
 def gated_by_nli(spark, sf):
     turns, evidence = tables.turns(spark, sf, "assistant"), facts(spark, sf)
     both = verify.full_nli(turns, evidence).withColumn("nli", F.lit(True)).unionByName(verify.ner_overlap(turns, evidence).withColumn("nli", F.lit(False)))

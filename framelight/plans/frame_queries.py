@@ -43,6 +43,11 @@ def query_vector(spark: SparkSession, sf: str) -> DataFrame:
     return tables.table(spark, sf, "embeddings").filter("vec_id = 0").select(F.col("embedding").cast("array<double>").alias("query_embedding"))
 
 
+def query_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Many query vectors: every fiftieth row of the embeddings."""
+    return tables.table(spark, sf, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("query_embedding"))
+
+
 def frame_keys(spark: SparkSession, sf: str) -> DataFrame:
     return tables.table(spark, sf, "orders").select(F.col("o_orderkey").alias("frame_key"))
 
@@ -392,6 +397,15 @@ def f1_hybrid_retrieve(spark, sf):
     return rounded(found.select("video_id", "frame_idx", "rank", "score"), "score")
 
 
+@query(f"""WITH RECURSIVE {sql.NODES}, v AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS query_embedding FROM embeddings WHERE vec_id % 50 = 0),
+parts AS (SELECT query_id, video_id, frame_idx, 0.4::DOUBLE * list_cosine_similarity(embedding, query_embedding) + 0.3::DOUBLE * action_score + 0.3::DOUBLE * persistence_value AS score FROM nodes, v),
+retrieved AS (SELECT *, (row_number() OVER (PARTITION BY query_id, video_id ORDER BY score DESC, frame_idx))::INT AS rank FROM parts)
+SELECT query_id, video_id, frame_idx, rank, {r6('score')} FROM retrieved WHERE rank <= 5""")
+def f1_hybrid_retrieve_many(spark, sf):
+    found = retrieval.hybrid_retrieve(nodes(spark, sf), query_vectors(spark, sf), Config().l2_retrieve_top_k)
+    return rounded(found.select("query_id", "video_id", "frame_idx", "rank", "score"), "score")
+
+
 @query(f"WITH RECURSIVE {_RETRIEVED} SELECT video_id, frame_idx, {r6('semantic', 'action', 'persistence')} FROM retrieved WHERE rank <= 5")
 def f2_score_contributions(spark, sf):
     found = retrieval.hybrid_retrieve(nodes(spark, sf), query_vector(spark, sf), 5)

@@ -1,5 +1,6 @@
 """Hand-computed cases of the cache and of verification."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,3 +210,80 @@ def test_claim_lists(text, expected):
 def test_places(spark):
     rows = spark.createDataFrame([("He lives in Paris near Rome", "paris is big", "entailment"), ("Seen at Oslo", "a town", "entailment"), ("Nothing here", "x", "entailment")], "claim string, fact string, label string")
     assert [r[0] for r in rows.select(verify.geo_guard(verify.places(F.col("claim")))).collect()] == ["entailment", "neutral", "entailment"]
+
+
+def test_ablation_conditions_are_the_four_switch_settings(spark):
+    from framelight.operators import metrics
+
+    assert [tuple(r) for r in metrics.ablation_conditions(spark).collect()] == [("baseline", False, False), ("ablation_1", True, False), ("ablation_2", False, True), ("full", True, True)]
+
+
+def rows_of(spark, texts):
+    return spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "run_id long, pos long, text string")
+
+
+def test_places_decide_votes(spark):
+    claims = rows_of(spark, ["The tower stands in Paris today", "The tower stands near Lyon today", "The tower stands today"])
+    facts = rows_of(spark, ["the tower stands in paris today"])
+    found = {r["pos"]: r["verdict"] for r in verify.full_nli(claims, facts).collect()}
+    assert found == {0: "verified", 1: "unverifiable", 2: "verified"}
+    nowhere = verify.Models(places=lambda text: F.array().cast("array<string>"))
+    assert {r["verdict"] for r in verify.full_nli(claims.filter("pos = 1"), facts, nowhere).collect()} == {"verified"}
+
+
+def test_models_reach_every_mode(spark):
+    claims, facts = rows_of(spark, ["alpha beta gamma delta", "omega words are other"]), rows_of(spark, ["alpha thing"])
+    seen = verify.Models(entities=lambda t: F.filter(F.split(t, " "), lambda w: w == "alpha"), lemmas=lambda t: F.array().cast("array<string>"), label=lambda pairs: pairs.withColumns({"label": F.lit("contradiction"), "entail_prob": F.lit(0.9)}))
+    assert {r["pos"]: r["verdict"] for r in verify.full_nli(claims, facts, seen).collect()} == {0: "rejected", 1: "unverifiable"}
+    assert {r["pos"]: r["verdict"] for r in verify.ner_overlap(claims, facts, seen).collect()} == {0: "verified", 1: "unverifiable"}
+    assert {r["pos"]: r["verdict"] for r in verify.filtered_nli(claims, facts, models=seen).collect()} == {0: "rejected", 1: "unverifiable"}
+    scores = spark.createDataFrame([(1, 0.0)], "run_id long, action_score double")
+    assert {r["pos"]: r["verdict"] for r in verify.verify(claims, facts, scores, models=seen).collect()} == {0: "verified", 1: "unverifiable"}
+
+
+def test_relevant_pairs_are_those_that_share_a_term_once(spark):
+    claims, facts = rows_of(spark, ["red fox jumps", "Blue Fox", "nothing", "", None]), rows_of(spark, ["red fox jumps over", "blue sky", None, "red fox jumps over"])
+    found = sorted((r["pos"], r["fact_pos"]) for r in verify.relevant_pairs(claims, facts).collect())
+    assert found == [(0, 0), (0, 3), (1, 0), (1, 1), (1, 3)]
+    every = verify.nli_pairs(claims, facts).filter(verify.topical_overlap()).select("pos", "fact_pos").collect()
+    assert found == sorted(map(tuple, every))
+
+
+def test_lists_that_are_nearly_json(spark):
+    read = verify.parse_claim_text
+    assert read("['a, ]b', \"it's\",]") == ["a, ]b", "it's"]
+    assert read('CLAIMS: ["keep, } this", "two", ]') == ["keep, } this", "two"]
+    assert read("['it\\'s', {'s': 'x', 'v': 'is', 'o': 'y',},]") == ["it's", "x is y"]
+
+
+def test_histories_take_a_token_counter(spark):
+    from framelight.operators import cache
+
+    rows = spark.createDataFrame([(1, k, "user", "one two") for k in range(5)], "set_id long, seq long, role string, text string")
+    assert cache.add_history(rows, 6).count() == 2 and cache.add_history(rows, 6, lambda line: F.lit(1)).count() == 5
+
+
+def test_each_query_has_its_own_ranks(spark):
+    from framelight.operators import retrieval
+
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(5000, 3))
+    nodes = spark.createDataFrame([(i % 2, i, None if i % 9 == 0 else [float(x) for x in v], float(i % 7) / 7, None if i % 5 else 0.5) for i, v in enumerate(vectors)], "video_id long, frame_idx int, embedding array<double>, action_score double, persistence_value double")
+    asked = rng.normal(size=(700, 3))
+    queries = spark.createDataFrame([(k, [float(x) for x in q]) for k, q in enumerate(asked)] + [(700, None)], "query_id long, query_embedding array<double>")
+    found = {}
+    for r in retrieval.hybrid_retrieve(nodes, queries, 3).collect():
+        found.setdefault((r["query_id"], r["video_id"]), []).append((r["rank"], r["frame_idx"]))
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    unit[::9] = 0
+    c = Config()
+    rest = c.beta * (np.arange(5000) % 7 / 7) + c.gamma * np.where(np.arange(5000) % 5 == 0, 0.5, 0)
+    assert len(found) == 2 * 701
+    for k in (0, 13, 699, 700):
+        q = asked[k] / np.linalg.norm(asked[k]) if k < 700 else np.zeros(3)
+        score = c.alpha * unit @ q + rest
+        for video in (0, 1):
+            mine = [i for i in np.lexsort((np.arange(5000), -np.round(score, 12))) if i % 2 == video][:3]
+            assert [f for _, f in sorted(found[k, video])] == mine
+    two = queries.filter("query_id < 2").drop("query_id")
+    assert retrieval.hybrid_retrieve(nodes, two, 3).count() == 12
