@@ -213,6 +213,21 @@ def _prefixes(regions: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame
     return regions.select("id", "region", "n", "shingles", "alone").mapInArrow(run, columns)
 
 
+def _masks(regions: DataFrame) -> DataFrame:
+    """(id, mask) of all sets: parities of their shingles by class, null for large sets."""
+
+    def run(batches):
+        for batch in batches:
+            masks = []
+            for s in batch.column(1):
+                own = np.array(s.values.to_numpy(zero_copy_only=False), dtype=np.int64)
+                odd = np.bincount(own & (64 * MASK_WORDS - 1), minlength=64 * MASK_WORDS).astype(np.uint8) & 1
+                masks.append(np.packbits(odd).view(np.int64).tolist() if len(own) <= MASKED else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(masks, pa.list_(pa.int64()))], names=["id", "mask"])
+
+    return regions.select("id", "shingles").mapInArrow(run, f"id {regions.schema['id'].dataType.simpleString()}, mask array<long>")
+
+
 def _overlap(a: str, b: str) -> Column:
     return F.size(F.array_intersect(a, b)).cast("long")
 
@@ -291,12 +306,21 @@ def links(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     for side in "ab":
         named = labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
         open_pairs = open_pairs.join(named, side, "left").withColumn(f"label_{side}", F.coalesce(f"label_{side}", side))
-    open_pairs = open_pairs.filter("label_a <> label_b").select("a", "b", "extent_a", "extent_b", F.col("apart").alias("pivots_apart"))
-    members = regions.select("region", "id", "apart")
+    open_pairs = open_pairs.filter("label_a <> label_b").select("a", "b", "n_a", "n_b", "extent_a", "extent_b", F.col("apart").alias("pivots_apart"))
+    masks = materialize(_masks(regions), "masks")
+    members = materialize(regions.select("region", "id", "apart", F.col("n").alias("n_own")).join(masks, "id"), "members")
+    for side in "ab":
+        open_pairs = open_pairs.join(masks.select(F.col("id").alias(side), F.col("mask").alias(f"mask_{side}")), side, "left")
+    open_pairs = materialize(open_pairs, "open-pairs")
 
     def window(mine: str, other: str) -> DataFrame:
         """Members of one side's region with their distance to the other side's pivot, where it leaves a link possible."""
-        met = open_pairs.join(members, open_pairs[mine] == members["region"]).drop("region").withColumnRenamed("apart", "to_own")
+        within = radius + F.col(f"extent_{other}") + 1e-9
+        # the other pivot is at least as far as the pivots lie apart less the way to the own one, and as far as
+        # the classes that hold an odd number of shingles on one side alone say: who can't be near isn't measured
+        odd = F.expr(" + ".join(f"bit_count(mask[{w}] ^ mask_{other}[{w}])" for w in range(MASK_WORDS)))
+        near = (F.col("pivots_apart") - F.col("apart") <= within) & F.coalesce(2 * odd <= within * (F.col("n_own") + F.col(f"n_{other}") + odd), F.lit(True))
+        met = open_pairs.join(members, (open_pairs[mine] == members["region"]) & near).withColumnRenamed("apart", "to_own")
         met = met.select(F.col(mine).alias("mine"), F.col(other).alias("other"), F.col(f"extent_{other}").alias("extent"), F.col("id").alias("a"), F.col(other).alias("b"), "to_own", "pivots_apart")
         columns = ["mine", "other", "extent", "a", "b", "to_own", "to_other", "is_link"]
         pivot = met.filter("a = mine").withColumns({"to_other": F.col("pivots_apart"), "is_link": F.lit(False)}).select(*columns)
