@@ -112,8 +112,16 @@ def _highest_first(at: np.ndarray, height: np.ndarray) -> np.ndarray:
 
 def peak_distance(peaks: DataFrame, distance: int) -> DataFrame:
     """Peaks left when, from the highest down, those nearer than ``distance`` to one kept are dropped; of equals the later goes first."""
-    stays = over_videos(peaks, ["frame_idx", "height"], [_field("stays", T.BooleanType())], lambda at, height: [spaced(at, _highest_first(at, height), distance)])
-    return stays.filter("stays").drop("stays")
+    return spaced_peaks(peaks, distance)
+
+
+def spaced_peaks(peaks: DataFrame, gap: int, later_first: bool = True) -> DataFrame:
+    """Peaks (frame_idx, height) left when, from the highest down, those nearer than ``gap`` to one kept are dropped."""
+
+    def keep(at: np.ndarray, height: np.ndarray) -> list[np.ndarray]:
+        return [spaced(at, np.lexsort((-at if later_first else at, -height)), gap)]
+
+    return over_videos(peaks, ["frame_idx", "height"], [_field("stays", T.BooleanType())], keep).filter("stays").drop("stays")
 
 
 def peak_prominence(peaks: DataFrame, scored: DataFrame) -> DataFrame:

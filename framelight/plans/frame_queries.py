@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelight.config import Config
-from framelight.operators import graph, retrieval, scores, signals, tiers
+from framelight.operators import cut_videos, graph, retrieval, scores, signals, tiers
 from framelight.plans import ctes as sql
 from framelight.plans.registry import query
 from framelight.sources import tables
@@ -260,6 +260,23 @@ def d8_nms(spark, sf):
     return suppressed(spark, sf).filter("is_peak").select("video_id", "frame_idx")
 
 
+#: Small enough to cut the videos of the test data.
+CUT = 16
+
+
+@query(f"WITH RECURSIVE {sql.PROMINENT} SELECT video_id, frame_idx, {r6('height', 'prominence')} FROM prominent")
+def d5_prominence_cut(spark, sf):
+    acted = scores.action_score(tables.frames(spark, sf))
+    kept = cut_videos.peak_distance(cut_videos.find_peaks(acted, CUT), Config().peak_distance, CUT)
+    return rounded(cut_videos.peak_prominence(kept, acted, CUT), "height", "prominence")
+
+
+@query(f"WITH RECURSIVE {sql.NMS} SELECT video_id, frame_idx, {r6('action_score', 'persistence_value')}, is_peak FROM nmsed")
+def d8_nms_cut(spark, sf):
+    found = cut_videos.nms(cut_videos.score_frames(tables.frames(spark, sf), size=CUT), Config().nms_window, CUT)
+    return rounded(found.select("video_id", "frame_idx", "action_score", "persistence_value", "is_peak"), "action_score", "persistence_value")
+
+
 @query(f"""WITH RECURSIVE {sql.NMS}, t AS (SELECT video_id, frame_idx, 'frames' AS kind, (row_number() OVER (PARTITION BY video_id ORDER BY action_score DESC, frame_idx))::INT AS rank FROM nmsed),
 p AS (SELECT video_id, frame_idx, 'peaks' AS kind, (row_number() OVER (PARTITION BY video_id ORDER BY action_score DESC, frame_idx))::INT AS rank FROM nmsed WHERE is_peak)
 SELECT * FROM t WHERE rank <= 10 UNION ALL SELECT * FROM p WHERE rank <= 3""")

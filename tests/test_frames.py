@@ -330,3 +330,45 @@ def test_tiles_are_small_and_spread(spark):
     assert graph.edge_weights(nodes.filter("false")).count() == 0
     some = spark.createDataFrame([(1, 5, None, None), (1, 9, 0.5, None), (1, 11, 0.7, None)], nodes.schema)
     assert {(r["src"], r["dst"]): r["coherence"] for r in graph.motion_coherence(some).collect()} == {(5, 9): None, (5, 11): None, (9, 11): 0.0}
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_cut_videos_equal_the_walk_over_whole_ones(spark, seed):
+    """Videos of 64 ranges with plateaus over cuts, gaps in frame numbers, rises, falls and long chains of peaks."""
+    from framelight.operators import cut_videos
+
+    rng, rows = np.random.default_rng(seed), []
+    for video, x in enumerate([
+        rng.random(1024), np.round(rng.random(1024), 1), np.repeat(np.round(rng.random(40), 1), rng.integers(1, 60, 40))[:1024], np.sin(np.arange(1024) / 40), np.arange(1024) / 1024, -np.arange(1024) / 1024,
+        np.where(np.arange(1024) % 2, np.arange(1024), 0) / 1024, np.zeros(1024), rng.random(3), rng.random(1),
+    ]):
+        frames = np.arange(len(x)) if video % 2 == 0 else np.sort(rng.choice(2 * len(x), len(x), replace=False))
+        rows += [(video, int(f), float(v)) for f, v in zip(frames, x, strict=True)]
+    acted = spark.createDataFrame(rows, "video_id long, frame_idx int, action_score double")
+    same = lambda a, b, *c: sorted(map(tuple, a.select(*c).collect())) == sorted(map(tuple, b.select(*c).collect()))
+    peaks, cut = scores.find_peaks(acted), cut_videos.find_peaks(acted, 16)
+    assert same(peaks, cut, "video_id", "frame_idx", "height")
+    for gap in (1, 5, 40):
+        kept, cut_kept = scores.peak_distance(peaks, gap), cut_videos.peak_distance(cut, gap, 16)
+        assert same(kept, cut_kept, "video_id", "frame_idx", "height")
+    whole = acted.select("video_id", "frame_idx")
+    kept = scores.peak_distance(peaks, 5).join(whole, ["video_id", "frame_idx"], "left_semi")
+    assert same(scores.peak_prominence(kept, acted), cut_videos.peak_prominence(kept, acted, 16), "video_id", "frame_idx", "height", "prominence")
+    marked = acted.withColumn("is_peak", F.col("frame_idx") % 3 != 0)
+    for window in (0, 3, 10):
+        assert same(scores.nms(marked, window), cut_videos.nms(marked, window, 16), "video_id", "frame_idx", "is_peak")
+
+
+def test_cut_suppression_settles_most_ranges_alone():
+    from framelight.operators import cut_videos
+
+    rng = np.random.default_rng(3)
+    places = np.sort(rng.choice(3000, 1500, replace=False))
+    height = rng.random(1500)
+    order = np.lexsort((-places, -height))
+    stays = scores.spaced(places, order, 5)
+    inside = (places >= 1000) & (places < 2000)
+    near = (places >= 900) & (places < 2100)
+    sub = np.lexsort((-places[near], -height[near]))
+    sure = cut_videos.certain(places[near], sub, 5, 900, 2100)[inside[near]]
+    assert (sure >= 0).all() and (sure.astype(bool) == stays[inside]).all()
