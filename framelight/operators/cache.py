@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -203,6 +205,72 @@ def trim_facts(facts: DataFrame, budget: int = DEFAULT_BUDGETS["facts"], count:
     return ranked.filter((F.col("_tokens") <= budget) | (F.col("_rank") <= MIN_FACTS)).drop("_rank", "_tokens")
 
 
+class _Facts:
+    """One set's facts in order of entry, and a heap of their scores.
+
+    An update leaves the fact's old heap entry behind; such entries are passed
+    over when they come up, and the heap is built anew once they outnumber the facts.
+    """
+
+    def __init__(self, budget: int, least: int):
+        self.budget, self.least, self.used, self.entered = budget, least, 0, 0
+        self.facts: dict[str, tuple[float, int, int, int]] = {}  # text to score, turn of entry, seq of entry, tokens
+        self.heap: list[tuple[float, int, str]] = []
+
+    def add(self, text: str, score: float, seq: int, tokens: int) -> None:
+        known = self.facts.get(text)
+        if known is None:
+            self.used += tokens
+            self.entered += 1
+            known = (score, self.entered, seq, tokens)
+        self.facts[text] = (score, *known[1:])
+        heapq.heappush(self.heap, (score, known[1], text))
+        while self.used > self.budget and len(self.facts) > self.least:
+            score, turn, text = heapq.heappop(self.heap)
+            if (found := self.facts.get(text)) and found[:2] == (score, turn):
+                self.used -= found[3]
+                del self.facts[text]
+        if len(self.heap) > 2 * len(self.facts) + 16:
+            self.heap = [(f[0], f[1], t) for t, f in self.facts.items()]
+            heapq.heapify(self.heap)
+
+
+def replay_facts(rows: DataFrame, budget: int = DEFAULT_BUDGETS["facts"], least: int = MIN_FACTS, count: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(set_id, text, score, seq, position): the facts a set holds after all of ``rows`` (set_id, seq, text, score) came in turn.
+
+    A text that is there takes the new score and keeps its place; after each row
+    the lowest scores go, the earliest of equals first, until the set fits its
+    budget or has ``least`` facts. ``seq`` tells when a fact came in. Rows of one
+    seq go by text and score; a null text or score is left out. One pass over
+    sorted rows, with one set's facts in memory.
+    """
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("set_id", "seq")}
+    clean = rows.filter("text is not null and score is not null").select("set_id", "seq", "text", F.col("score").cast("double").alias("score"))
+    given = clean.withColumn("tokens", (count or token_count)(F.col("text")).cast("long"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, facts, types = None, None, None
+
+        def held() -> pa.RecordBatch:
+            found = [(own, t, f[0], f[2], k) for k, (t, f) in enumerate(facts.facts.items())]
+            columns = zip(*found, strict=True) if found else [[]] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (types[0], pa.string(), pa.float64(), types[1], pa.int64()), strict=True)], names=["set_id", "text", "score", "seq", "position"])
+
+        for batch in batches:
+            types = [batch.schema.field(c).type for c in ("set_id", "seq")]
+            for set_id, seq, text, score, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if facts is None or set_id != own:
+                    if facts is not None:
+                        yield held()
+                    own, facts = set_id, _Facts(budget, least)
+                facts.add(text, score, seq, tokens)
+        if facts is not None:
+            yield held()
+
+    ordered = given.repartition("set_id").sortWithinPartitions("set_id", "seq", "text", "score")
+    return ordered.mapInArrow(run, f"set_id {kinds['set_id']}, text string, score double, seq {kinds['seq']}, position long")
+
+
 def trim_fifo(rows: DataFrame, budget: int, label: str | None, default: str = "", count: Callable[[Column], Column] | None = None) -> DataFrame:
     """The newest entries (set_id, seq, label, text) whose lines together fit the budget; without a label the text is the line."""
     clean = rows.withColumn("text", F.trim("text")).filter("text <> ''")

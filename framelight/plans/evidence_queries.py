@@ -147,8 +147,27 @@ def g10_add_fact(spark, sf):
     return rounded(cache.upsert_facts(fact_rows(spark, sf)), "score")
 
 
-@query(f"WITH {TRIMMED} SELECT set_id, text, round(score, 6) AS score, seq FROM trimmed")
+#: The facts of every set after every row, as a list in order of entry.
+FACT_REPLAY = f"""{TEXT}, steps AS (SELECT triple_id % 20 AS set_id, triple_id AS seq, text, score, {WORDS} AS tokens, row_number() OVER (PARTITION BY triple_id % 20 ORDER BY triple_id) AS rn FROM texts),
+held AS (
+  SELECT DISTINCT set_id, 0::BIGINT AS rn, []::STRUCT(text VARCHAR, score DOUBLE, seq BIGINT, tokens BIGINT)[] AS facts FROM steps
+  UNION ALL
+  SELECT set_id, rn, list_filter(facts, lambda f, i: NOT list_contains(list_transform(list_filter(low, lambda x, k: used - coalesce(list_sum(list_transform(low[1:k - 1], lambda y: y.t)), 0) > 100 AND len(facts) - k + 1 > 2), lambda x: x.i), i))
+  FROM (SELECT *, list_sum(list_transform(facts, lambda f: f.tokens)) AS used, list_sort(list_transform(facts, lambda f, i: struct_pack(s := f.score, i := i, t := f.tokens))) AS low
+    FROM (SELECT s.set_id, s.rn, CASE WHEN list_contains(list_transform(h.facts, lambda f: f.text), s.text)
+      THEN list_transform(h.facts, lambda f: CASE WHEN f.text = s.text THEN struct_pack(text := f.text, score := s.score, seq := f.seq, tokens := f.tokens) ELSE f END)
+      ELSE list_append(h.facts, struct_pack(text := s.text, score := s.score, seq := s.seq, tokens := s.tokens::BIGINT)) END AS facts FROM held h JOIN steps s ON s.set_id = h.set_id AND s.rn = h.rn + 1))),
+final AS (SELECT set_id, unnest(facts) AS f, unnest(range(len(facts))) AS position FROM (SELECT * FROM held QUALIFY rn = max(rn) OVER (PARTITION BY set_id)))"""
+
+
+@query(f"WITH RECURSIVE {FACT_REPLAY} SELECT set_id, f.text AS text, round(f.score, 6) AS score, f.seq AS seq, position FROM final")
 def g11_trim_facts(spark, sf):
+    """Facts as they come in, trimmed after each; many come again with a lower score."""
+    return rounded(cache.replay_facts(fact_rows(spark, sf)), "score")
+
+
+@query(f"WITH {TRIMMED} SELECT set_id, text, round(score, 6) AS score, seq FROM trimmed")
+def g11_trim_facts_once(spark, sf):
     return rounded(cache.trim_facts(cache.upsert_facts(fact_rows(spark, sf))), "score")
 
 

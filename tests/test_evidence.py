@@ -287,3 +287,24 @@ def test_each_query_has_its_own_ranks(spark):
             assert [f for _, f in sorted(found[k, video])] == mine
     two = queries.filter("query_id < 2").drop("query_id")
     assert retrieval.hybrid_retrieve(nodes, two, 3).count() == 12
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_facts_are_trimmed_after_each_as_a_plain_loop_does(spark, seed):
+    rng, rows = np.random.default_rng(seed), []
+    for k in range(600):
+        words = int(rng.integers(0, 5))
+        rows.append((int(rng.integers(0, 3)), k // 2, " ".join(["w"] * words) + f" t{int(rng.integers(0, 25))}" if rng.random() > 0.02 else None, float(rng.integers(0, 6)) if rng.random() > 0.02 else None))
+    expected = []
+    for own in range(3):
+        facts = {}
+        for _, seq, text, score in sorted((r for r in rows if r[0] == own and r[2] is not None and r[3] is not None), key=lambda r: (r[1], r[2], r[3])):
+            facts[text] = (score, facts[text][1] if text in facts else seq)
+            while sum(len(t.split()) for t in facts) > 20 and len(facts) > 2:
+                del facts[min(facts, key=lambda t: facts[t][0])]
+        expected += [(own, t, *f, k) for k, (t, f) in enumerate(facts.items())]
+    table = spark.createDataFrame(rows, "set_id long, seq long, text string, score double").repartition(4)
+    assert sorted(map(tuple, cache.replay_facts(table, 20).collect())) == sorted(expected)
+    assert cache.replay_facts(table.filter("false")).count() == 0
+    counted = cache.replay_facts(table, 3, count=lambda text: F.lit(1)).groupBy("set_id").count().collect()
+    assert {r["count"] for r in counted} == {3}
