@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framelight.config import Config
-from framelight.functions.arrays import clip01, quantile
+from framelight.functions import ranks
+from framelight.functions.arrays import clip01
 from framelight.functions.ordered import over_videos
 
 #: Videos with at least so many frames are normalised between percentiles 2 and 98.
@@ -20,20 +21,19 @@ def _field(name: str, kind: T.DataType) -> T.StructField:
 
 
 def robust_normalize(frames: DataFrame, columns: list[str]) -> DataFrame:
-    """``frames`` with ``n_<column>`` in 0..1, by video; a flat signal becomes 0."""
-    lists = frames.groupBy("video_id").agg(F.count("*").alias("_n"), *(F.sort_array(F.collect_list(F.coalesce(F.col(c), F.lit(0.0)))).alias(f"_{c}") for c in columns))
-    robust = F.col("_n") >= ROBUST_FROM
-    bounds = lists.select(
-        "video_id",
-        *(F.when(robust, quantile(F.col(f"_{c}"), 0.02)).otherwise(F.array_min(f"_{c}")).alias(f"lo_{c}") for c in columns),
-        *(F.when(robust, quantile(F.col(f"_{c}"), 0.98)).otherwise(F.array_max(f"_{c}")).alias(f"hi_{c}") for c in columns),
-    )
+    """``frames`` with ``n_<column>`` in 0..1, by video; a flat signal becomes 0, rows without a video are a video of their own."""
+    stacked = frames.select("video_id", F.explode(F.array(*(F.struct(F.lit(i).alias("signal"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("value")) for i, c in enumerate(columns)))).alias("s")).select("video_id", "s.*")
+    found = ranks.quantiles(stacked, ["video_id", "signal"], "value", {"least": 0.0, "low": 0.02, "high": 0.98, "most": 1.0})
+    robust = F.col("n") >= ROBUST_FROM
+    low, high = F.when(robust, F.col("low")).otherwise(F.col("least")), F.when(robust, F.col("high")).otherwise(F.col("most"))
+    of = lambda i, bound: F.max(F.when(F.col("signal") == i, bound))
+    bounds = found.groupBy(F.col("video_id").alias("_video")).agg(*(of(i, bound).alias(f"{name}_{c}") for i, c in enumerate(columns) for name, bound in (("lo", low), ("hi", high))))
 
     def scaled(c: str) -> Column:
         width = F.col(f"hi_{c}") - F.col(f"lo_{c}")
         return F.when(width < 1e-8, 0.0).otherwise(clip01((F.coalesce(F.col(c), F.lit(0.0)) - F.col(f"lo_{c}")) / width))
 
-    return frames.join(bounds, "video_id").select(*frames.columns, *(scaled(c).alias(f"n_{c}") for c in columns))
+    return frames.join(bounds, F.col("video_id").eqNullSafe(F.col("_video"))).select(*frames.columns, *(scaled(c).alias(f"n_{c}") for c in columns))
 
 
 def action_score(frames: DataFrame, config: Config = Config()) -> DataFrame:

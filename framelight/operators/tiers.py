@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelight.config import Config
-from framelight.functions.arrays import quantile
+from framelight.functions import ranks
 
 #: Percentiles and floors of the salient and candidate thresholds, and the fixed fallback of each.
 SALIENT = (0.95, 0.002, 0.35)
@@ -25,15 +25,21 @@ def scene_thresholds(scened: DataFrame) -> DataFrame:
 
     A scene without inner frames takes the video's; a video without any takes fixed values.
     """
-    inner = F.when(~F.col("scene_start"), F.col("residual_energy"))
-    scene = scened.groupBy("video_id", "scene_id").agg(F.sort_array(F.collect_list(inner)).alias("own"))
-    video = scened.groupBy("video_id").agg(F.sort_array(F.collect_list(F.when(~F.col("key_frame"), F.col("residual_energy")))).alias("all"))
-
-    def threshold(p: float, floor: float, fixed: float) -> Column:
-        return F.when(F.size("own") > 0, F.greatest(F.lit(floor), quantile(F.col("own"), p))).when(F.size("all") > 0, F.greatest(F.lit(floor), quantile(F.col("all"), p))).otherwise(F.lit(fixed))
-
-    source = F.when(F.size("own") > 0, "scene").when(F.size("all") > 0, "video").otherwise("fixed")
-    return scene.join(video, "video_id").select("video_id", "scene_id", threshold(*SALIENT).alias("salient_thresh"), threshold(*CANDIDATE).alias("candidate_thresh"), source.alias("source"))
+    shares = {"salient": SALIENT[0], "candidate": CANDIDATE[0]}
+    # a row for each energy of a scene's inner frames, and one for each of the video's, whose scene is null
+    of_scene = F.when(~F.col("scene_start"), F.struct(F.col("scene_id").alias("scene"), F.col("residual_energy").alias("energy")))
+    of_video = F.when(~F.col("key_frame"), F.struct(F.lit(None).cast("int").alias("scene"), F.col("residual_energy").alias("energy")))
+    energies = scened.select("video_id", F.explode(F.array_compact(F.array(of_scene, of_video))).alias("e")).select("video_id", "e.*")
+    found = ranks.quantiles(energies, ["video_id", "scene"], "energy", shares)
+    scene, video = (found.filter(f"scene is {kind}").select(F.col("video_id").alias(f"video_{s}"), F.col("scene").alias(f"scene_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in shares)) for kind, s in (("not null", "own"), ("null", "all")))
+    scenes = scened.select("video_id", "scene_id").distinct()
+    joined = scenes.join(scene, F.col("video_id").eqNullSafe(F.col("video_own")) & (F.col("scene_id") == F.col("scene_own")), "left").join(video, F.col("video_id").eqNullSafe(F.col("video_all")), "left")
+
+    def threshold(name: str, floor: float, fixed: float) -> Column:
+        return F.when(F.col(f"{name}_own").isNotNull(), F.greatest(F.lit(floor), f"{name}_own")).when(F.col(f"{name}_all").isNotNull(), F.greatest(F.lit(floor), f"{name}_all")).otherwise(F.lit(fixed))
+
+    source = F.when(F.col("salient_own").isNotNull(), "scene").when(F.col("salient_all").isNotNull(), "video").otherwise("fixed")
+    return joined.select("video_id", "scene_id", threshold("salient", *SALIENT[1:]).alias("salient_thresh"), threshold("candidate", *CANDIDATE[1:]).alias("candidate_thresh"), source.alias("source"))
 
 
 def reported_thresholds(thresholds: DataFrame) -> DataFrame:
