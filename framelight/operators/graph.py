@@ -57,6 +57,22 @@ def edge_weights(nodes: DataFrame, config: Config = Config(), size: int = tiles.
     return tiles.pairs(nodes, ["action_score", "embedding"], weigh, "weight", size)
 
 
+def unit_columns(vectors: list, has: np.ndarray) -> np.ndarray:
+    """Unit rows of the vectors where ``has`` says so; each length has columns of its own, so vectors of different lengths have product 0."""
+    lengths = np.array([len(v) for v in vectors], dtype=np.int64)
+    kinds = np.unique(lengths)
+    unit, first = np.zeros((len(has), max(int(kinds.sum()), 1))), 0
+    places = np.flatnonzero(has)
+    for d in kinds.tolist():
+        own = np.flatnonzero(lengths == d)
+        if d:
+            e = np.array([vectors[k] for k in own.tolist()], dtype=float)
+            size = np.linalg.norm(e, axis=1, keepdims=True)
+            unit[places[own], first : first + d] = np.divide(e, size, out=np.zeros_like(e), where=size > 0)
+        first += d
+    return unit
+
+
 class CompleteGraph:
     """The weights of a video's complete graph, applied to vectors without being written out.
 
@@ -117,11 +133,7 @@ def pagerank(nodes: DataFrame, config: Config = Config(), rounds: int = 100, tol
         rows = rows.sort_values("frame_idx")
         score = rows["action_score"].fillna(0).to_numpy(dtype=float)
         has = rows["embedding"].notna().to_numpy()
-        unit = np.zeros((len(rows), len(rows["embedding"][has].iloc[0]) if has.any() else 1))
-        if has.any():
-            e = np.stack(rows["embedding"][has].to_numpy()).astype(float)
-            size = np.linalg.norm(e, axis=1, keepdims=True)
-            unit[has] = np.divide(e, size, out=np.zeros_like(e), where=size > 0)
+        unit = unit_columns(list(rows["embedding"][has]), has)
         found = CompleteGraph(score, unit, has, config.alpha, config.beta)
         return pd.DataFrame({"video_id": rows["video_id"], "frame_idx": rows["frame_idx"], "pagerank_score": power_iteration(found, score, rounds, tolerance)})
 

@@ -41,8 +41,8 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frame_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """video_id, frame_idx and embedding of every frame."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    n = vectors.count()
-    keyed = frames(spark, sf_dir).select("video_id", "frame_idx", F.pmod("event_id", F.lit(n)).alias("vec_id"))
+    number = F.broadcast(vectors.agg(F.count("*").alias("n")))  # one row
+    keyed = frames(spark, sf_dir).crossJoin(number).select("video_id", "frame_idx", F.pmod("event_id", "n").alias("vec_id"))
     return keyed.join(vectors, "vec_id").select("video_id", "frame_idx", "embedding")
 
 

@@ -372,3 +372,20 @@ def test_cut_suppression_settles_most_ranges_alone():
     sub = np.lexsort((-places[near], -height[near]))
     sure = cut_videos.certain(places[near], sub, 5, 900, 2100)[inside[near]]
     assert (sure >= 0).all() and (sure.astype(bool) == stays[inside]).all()
+
+
+def test_pagerank_of_vectors_of_different_lengths(spark):
+    _, nodes = random_nodes(spark, 40, videos=(1,))
+    rows = nodes.orderBy("frame_idx").collect()
+    edges = {(r["src"], r["dst"]): r["weight"] for r in graph.edge_weights(nodes).collect()}
+    n = len(rows)
+    w = np.zeros((n, n))
+    for i, a in enumerate(rows):
+        for j in range(i + 1, n):
+            w[i, j] = w[j, i] = edges[a["frame_idx"], rows[j]["frame_idx"]]
+    seed = np.array([r["action_score"] for r in rows])
+    step, x = w / w.sum(1, keepdims=True), np.full(n, 1 / n)
+    for _ in range(60):
+        x = 0.85 * (x @ step) + 0.15 * seed / seed.sum()
+    found = {r["frame_idx"]: r["pagerank_score"] for r in graph.pagerank(nodes, tolerance=None).collect()}
+    assert [found[r["frame_idx"]] for r in rows] == pytest.approx(x, abs=1e-9)
