@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 from collections.abc import Callable, Iterator
 
@@ -110,6 +111,70 @@ def evictions(events: DataFrame, config: Config = Config(), capacity: int | None
     return _replayed(events, capacity or config.l1_capacity, config, True, "video_id long, arrival long, frame_idx int, victim int, keep_score double")
 
 
+def best_possible(events: DataFrame, capacity: int) -> DataFrame:
+    """(video_id, hits, misses) of the cache that knows what comes: a full one evicts the frame whose next arrival is furthest.
+
+    No cache of this capacity that takes every arrival in has more hits. The next
+    arrival of each frame is known before the replay, which holds one cache.
+    """
+    again = F.lead("arrival").over(Window.partitionBy("video_id", "frame_idx").orderBy("arrival"))
+    given = events.select("video_id", "arrival", "frame_idx", again.alias("next"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        video, held, hits, misses, any_row = None, {}, 0, 0, False
+        row = lambda: pd.DataFrame({"video_id": [video], "hits": [hits], "misses": [misses]})
+        for rows in batches:
+            for own, frame, following in zip(rows["video_id"], rows["frame_idx"], rows["next"], strict=True):
+                if any_row and own != video:
+                    yield row()
+                if not any_row or own != video:
+                    video, held, hits, misses, any_row = own, {}, 0, 0, True
+                if frame in held:
+                    hits += 1
+                else:
+                    misses += 1
+                    if len(held) >= capacity:
+                        del held[max(held, key=held.get)]
+                held[frame] = float("inf") if pd.isna(following) else following
+        if any_row:
+            yield row()
+
+    return given.repartition("video_id").sortWithinPartitions("video_id", "arrival").mapInPandas(run, "video_id long, hits long, misses long")
+
+
+def cache_report(events: DataFrame, variants: dict[str, Config], capacity: int, targets: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """A row a variant of the weights over the same arrivals and queries.
+
+    hit_rate: arrivals that met their frame; best_hit_rate: those of
+    :func:`best_possible`; regret: evictions of frames that arrive again, as a
+    share of all; target_hit_rate: queries of ``targets`` (query_id, video_id,
+    frame_idx, query_embedding) whose frame is held in the end; precision_at_1:
+    those whose frame ranks first; frames_scanned: frames looked at for a query,
+    those held and, where the target isn't, all of its video.
+    """
+    best = best_possible(events, capacity).agg(F.sum("hits").alias("hits"), F.sum("misses").alias("misses")).select((F.col("hits") / (F.col("hits") + F.col("misses"))).alias("best_hit_rate"))
+    last = events.groupBy("video_id", F.col("frame_idx").alias("victim")).agg(F.max("arrival").alias("last"))
+    sizes = events.groupBy("video_id").agg(F.countDistinct("frame_idx").alias("frames"))
+    asked = targets.join(sizes, "video_id")
+    reports = []
+    for name, config in variants.items():
+        entries = admit(events, config, capacity)
+        counts = entries.groupBy("video_id").agg(F.max("hits").alias("hits"), F.max("misses").alias("misses"), F.count("*").alias("held"))
+        rate = counts.agg((F.sum("hits") / F.sum(F.col("hits") + F.col("misses"))).alias("hit_rate"))
+        regret = evictions(events, config, capacity).join(last, ["video_id", "victim"]).agg(F.coalesce(F.avg((F.col("last") > F.col("arrival")).cast("double")), F.lit(0.0)).alias("regret"))
+        # each query asks one video: its own entries are ranked for it
+        named = targets.select("query_id", "query_embedding").distinct()
+        ranked = query_cache(entries.join(embeddings, ["video_id", "frame_idx"], "left"), named, 1, config).select("query_id", "video_id", F.col("frame_idx").alias("first"))
+        present = entries.select("video_id", "frame_idx", F.lit(True).alias("present"))
+        met = asked.join(counts.select("video_id", "held"), "video_id").join(present, ["video_id", "frame_idx"], "left").join(ranked, ["query_id", "video_id"], "left")
+        found, right = F.coalesce("present", F.lit(False)), F.coalesce(F.col("first") == F.col("frame_idx"), F.lit(False))
+        scanned = F.col("held") + F.when(found, 0).otherwise(F.col("frames"))
+        quality = met.agg(F.avg(found.cast("double")).alias("target_hit_rate"), F.avg(right.cast("double")).alias("precision_at_1"), F.avg(scanned).alias("frames_scanned"))
+        # one row each
+        reports.append(rate.crossJoin(best).crossJoin(regret).crossJoin(quality).withColumn("variant", F.lit(name)))
+    return functools.reduce(DataFrame.unionByName, reports)
+
+
 def query_cache(entries: DataFrame, queries: DataFrame, k: int, config: Config = Config()) -> DataFrame:
     """The ``k`` best entries of each cache for each query, after their similarity to it is set.
 

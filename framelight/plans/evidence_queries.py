@@ -256,6 +256,24 @@ def g22_cache_ablation(spark, sf):
     return parts[0].union(parts[1]).union(parts[2])
 
 
+def revisits(spark: SparkSession, sf: str) -> DataFrame:
+    """Arrivals in which every third frame comes again much later."""
+    first = arrivals(spark, sf).filter("arrival % 2 = 0")
+    return first.unionByName(first.filter("frame_idx % 3 = 0").withColumn("arrival", F.col("arrival") + 61))
+
+
+@query()
+def g22_cache_report(spark, sf):
+    """Three weightings on one trace against the best possible cache; each video is asked for the frame of its middle."""
+    zero = {f"l1_w_{w}": 0.0 for w in ("action", "query", "persist", "pagerank", "entropy", "hessian", "recency")}
+    variants = {"lru": Config(**zero | {"l1_w_recency": 1.0}), "action_only": Config(**zero | {"l1_w_action": 0.6, "l1_w_query": 0.25, "l1_w_persist": 0.15}), "full": Config()}
+    trace, vectors = revisits(spark, sf).persist(), tables.frame_embeddings(spark, sf)  # one trace for all variants
+    middle = tables.frames(spark, sf).groupBy("video_id").agg(F.floor(F.max("frame_idx") / 2).cast("int").alias("frame_idx"))
+    targets = middle.join(vectors.withColumnRenamed("embedding", "query_embedding"), ["video_id", "frame_idx"]).withColumn("query_id", F.col("video_id"))
+    found = cache.cache_report(trace, variants, CAPACITY, targets, vectors)
+    return rounded(found, "hit_rate", "best_hit_rate", "regret", "target_hit_rate", "precision_at_1", "frames_scanned")
+
+
 # H: verification
 
 

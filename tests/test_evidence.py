@@ -308,3 +308,48 @@ def test_facts_are_trimmed_after_each_as_a_plain_loop_does(spark, seed):
     assert cache.replay_facts(table.filter("false")).count() == 0
     counted = cache.replay_facts(table, 3, count=lambda text: F.lit(1)).groupBy("set_id").count().collect()
     assert {r["count"] for r in counted} == {3}
+
+
+def trace(spark, frames, video=1):
+    data = [(video, i, f, float(f % 5) / 5, 0.0, 0.0, 0.0, 0.0, 0.0) for i, f in enumerate(frames)]
+    return spark.createDataFrame(data, "video_id long, arrival long, frame_idx int, action_score double, query_similarity double, persistence_value double, pagerank double, motion_entropy double, hessian double")
+
+
+def most_hits(frames, capacity):
+    """By trying every eviction."""
+    states = {frozenset(): 0}
+    for f in frames:
+        after = {}
+        for held, hits in states.items():
+            options = [(held, hits + 1)] if f in held else [((held - {v}) | {f}, hits) for v in held] if len(held) >= capacity else [(held | {f}, hits)]
+            for h, n in options:
+                after[h] = max(after.get(h, 0), n)
+        states = after
+    return max(states.values(), default=0)
+
+
+def test_no_cache_beats_the_one_that_knows_what_comes(spark):
+    rng, frames = np.random.default_rng(8), {}
+    whole = None
+    for video in range(12):
+        frames[video] = rng.integers(0, 7, 25).tolist()
+        own = trace(spark, frames[video], video)
+        whole = own if whole is None else whole.union(own)
+    whole = whole.repartition(3).cache()
+    found = {r["video_id"]: (r["hits"], r["misses"]) for r in cache.best_possible(whole, 3).collect()}
+    assert found == {v: (n := most_hits(f, 3), 25 - n) for v, f in frames.items()}
+    usual = {r["video_id"]: r["hits"] for r in cache.counters(cache.admit(whole, Config(), 3), 3).collect()}
+    assert all(usual[v] <= found[v][0] for v in usual)
+
+
+def test_cache_report_by_hand(spark):
+    """Capacity 2, newest stay: 0 1 2(evicts 0) 0(evicts 1) 2(hit) 3(evicts one): 1 hit of 6; frame 0's first eviction is regretted."""
+    zero = {f"l1_w_{w}": 0.0 for w in ("action", "query", "persist", "pagerank", "entropy", "hessian", "recency")}
+    events_ = trace(spark, [0, 1, 2, 0, 2, 3])
+    vectors = spark.createDataFrame([(1, f, [float(f == k) for k in range(4)]) for f in range(4)], "video_id long, frame_idx int, embedding array<double>")
+    targets = spark.createDataFrame([(1, 1, 3, [0.0, 0.0, 0.0, 1.0]), (2, 1, 1, [0.0, 1.0, 0.0, 0.0])], "query_id long, video_id long, frame_idx int, query_embedding array<double>")
+    config = Config(**zero | {"l1_w_recency": 0.5, "l1_w_query": 0.5})
+    r = cache.cache_report(events_, {"newest": config}, 2, targets, vectors).first()
+    assert r["variant"] == "newest" and r["hit_rate"] == pytest.approx(1 / 6) and r["best_hit_rate"] == pytest.approx(2 / 6)
+    assert r["regret"] == pytest.approx(1 / 3)
+    assert (r["target_hit_rate"], r["precision_at_1"], r["frames_scanned"]) == (0.5, 0.5, (2 + 2 + 4) / 2)
