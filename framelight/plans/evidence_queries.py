@@ -102,7 +102,12 @@ def g6_l1_counters(spark, sf):
     return cache.counters(cached(spark, sf), CAPACITY)
 
 
-@query()
+#: A frame's block as C's format has it; values lie off the ties that the two formatters round apart.
+BLOCK = "printf('Frame %d' || chr(10) || 'Timestamp: %.1fs' || chr(10, 10) || 'Caption:' || chr(10) || '%s' || chr(10, 10) || 'Action Score:' || chr(10) || '%.2f' || chr(10, 10) || 'Persistence:' || chr(10) || '%.2f', frame_idx, timestamp_sec, caption, action_score, persistence_value) || CASE WHEN is_peak THEN chr(10, 10) || 'Selection Reason:' || chr(10) || 'Top peak after NMS.' ELSE '' END".replace("chr(10, 10)", "chr(10) || chr(10)")
+
+
+@query(f"""WITH RECURSIVE {REPLAY}, shown AS (SELECT e.video_id, e.frame_idx, e.position, n.timestamp_sec, n.action_score, n.persistence_value, n.is_peak, CASE n.event_type WHEN 'view' THEN 'a view' WHEN 'click' THEN 'a rabbit' ELSE '[CAPTION_FAILED]' END AS caption FROM entries e JOIN nmsed n USING (video_id, frame_idx))
+SELECT video_id, string_agg({BLOCK}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY position) AS context FROM shown GROUP BY video_id""")
 def g7_display_text(spark, sf):
     return cache.context_text(cache_rows(spark, sf))
 
@@ -446,7 +451,15 @@ def h15_final_answer(spark, sf):
     return verify.final_answer(verify.full_nli(tables.turns(spark, sf, "assistant"), facts(spark, sf)), answers(spark, sf))
 
 
-@query()
+VALUE = r"(?i)([a-z]+)?\s*(\d+\.?\d*\s*(?:%|million|billion|thousand|tonnes|kg|km|years?|days?)|\b\d+\b)"
+NAMES = "list_transform(regexp_extract_all(text, '[A-Z][A-Za-z0-9-]+'), lambda w: lower(w))"
+
+
+@query(rf"""WITH usable AS (SELECT conv_id * 1000 + turn AS id, text, list_filter({NAMES}, lambda w, i: list_position({NAMES}, w) = i) AS found FROM conversations WHERE text IS NOT NULL AND NOT contains(upper(text), 'INSUFFICIENT DATA')),
+valued AS (SELECT id, len(found) AS n, unnest(regexp_extract_all(text, '{VALUE}', 1)) AS w, unnest(regexp_extract_all(text, '{VALUE}', 2)) AS v, unnest(range(len(regexp_extract_all(text, '{VALUE}', 1)))) AS i FROM usable)
+SELECT id, unnest(range(len(found)))::INT AS at, unnest(found) AS subject, 'is' AS verb, 'entity' AS object FROM usable
+UNION ALL SELECT id, len(found)::INT, found[1], 'related to', found[2] FROM usable WHERE len(found) >= 2
+UNION ALL SELECT id, (n + 1 + i)::INT, w, 'has value', v FROM valued WHERE w <> ''""")
 def h16_entity_triples(spark, sf):
     return verify.entity_triples(tables.table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"))
 
