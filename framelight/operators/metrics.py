@@ -25,23 +25,32 @@ def run_ratios(tiered: DataFrame) -> DataFrame:
     return n.select("video_id", ratio(F.col("total") - F.col("kept"), F.col("total")).alias("skipped_ratio"), ratio(F.col("total"), F.col("kept")).alias("reduction"), "peaks")
 
 
-def validation_report(gated: DataFrame, captions: DataFrame) -> DataFrame:
-    """One row: verdict counts over all runs and the share of captions that succeeded."""
+def validation_report(gated: DataFrame, captions: DataFrame, caches: DataFrame | None = None) -> DataFrame:
+    """One row: verdict counts over all runs, the share of captions that succeeded, and, given the ``counters`` of caches, their sums and how many are full."""
     verdicts = gated.agg(F.sum("verified").alias("verified"), F.sum("rejected").alias("rejected"), F.sum("unverifiable").alias("unverifiable"))
     rate = captions.agg(ratio(F.count_if("success"), F.count("*")).alias("caption_success_rate"))
-    return verdicts.crossJoin(rate)
+    if caches is None:
+        return verdicts.crossJoin(rate)
+    sums = caches.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(f"cache_{c}") for c in ("hits", "misses", "size")), F.count_if("is_full").alias("full_caches"))
+    return verdicts.crossJoin(rate).crossJoin(sums)  # one row each
 
 
 def ablation_conditions(spark) -> DataFrame:
     return spark.createDataFrame(CONDITIONS, "condition string, gating boolean, nli boolean")
 
 
-def ablation_metrics(conditions: DataFrame, frames: DataFrame, gated: DataFrame) -> DataFrame:
-    """Frames kept, skip ratio and verdict counts by condition; ``gated`` holds verdict counts by nli flag."""
+def ablation_metrics(conditions: DataFrame, frames: DataFrame, gated: DataFrame, timings: DataFrame | None = None) -> DataFrame:
+    """Frames kept, skip ratio and verdict counts by condition; ``gated`` holds verdict counts by nli flag.
+
+    ``timings`` (condition, ms) of runs add their mean as latency_ms, null for a condition that wasn't timed.
+    """
     n = frames.agg(F.count("*").alias("total"), F.count_if(F.col("tier") != "SKIP").alias("passed"))
     kept = F.when(F.col("gating"), F.col("passed")).otherwise(F.col("total"))
     joined = conditions.crossJoin(n).join(gated, "nli", "left")
-    return joined.select("condition", kept.alias("frames_kept"), ratio(F.col("total") - kept, F.col("total")).alias("skip_ratio"), *(F.coalesce(v, F.lit(0)).alias(v) for v in ("verified", "rejected", "unverifiable")))
+    found = joined.select("condition", kept.alias("frames_kept"), ratio(F.col("total") - kept, F.col("total")).alias("skip_ratio"), *(F.coalesce(v, F.lit(0)).alias(v) for v in ("verified", "rejected", "unverifiable")))
+    if timings is None:
+        return found
+    return found.join(timings.groupBy("condition").agg(F.avg("ms").alias("latency_ms")), "condition", "left")
 
 
 def stage_profile(timings: DataFrame) -> DataFrame:

@@ -500,9 +500,10 @@ def gated(spark, sf):
     return verify.gate_result(verify.full_nli(tables.turns(spark, sf, "assistant"), facts(spark, sf)), runs)
 
 
-@query(f"WITH {VOTED} SELECT (count(*) FILTER (WHERE verdict = 'verified'))::BIGINT AS verified, (count(*) FILTER (WHERE verdict = 'rejected'))::BIGINT AS rejected, (count(*) FILTER (WHERE verdict = 'unverifiable'))::BIGINT AS unverifiable, (SELECT round(count(*) FILTER (WHERE event_type <> 'error')::DOUBLE / count(*), 6) FROM events) AS caption_success_rate FROM voted")
+@query(f"""WITH {VOTED}, {sql.FRAMES}, caches AS (SELECT video_id, count(*) AS n, count(*) FILTER (WHERE frame_idx % 7 = 0) AS hits FROM frames GROUP BY video_id) SELECT (count(*) FILTER (WHERE verdict = 'verified'))::BIGINT AS verified, (count(*) FILTER (WHERE verdict = 'rejected'))::BIGINT AS rejected, (count(*) FILTER (WHERE verdict = 'unverifiable'))::BIGINT AS unverifiable, (SELECT round(count(*) FILTER (WHERE event_type <> 'error')::DOUBLE / count(*), 6) FROM events) AS caption_success_rate,
+(SELECT sum(hits)::BIGINT FROM caches) AS cache_hits, (SELECT sum(n)::BIGINT FROM caches) AS cache_misses, (SELECT sum(least(n, {CAPACITY}))::BIGINT FROM caches) AS cache_size, (SELECT count(*) FROM caches WHERE n >= {CAPACITY}) AS full_caches FROM voted""")
 def i2_validation_report(spark, sf):
-    return rounded(metrics.validation_report(gated(spark, sf), h18_caption_frame(spark, sf)), "caption_success_rate")
+    return rounded(metrics.validation_report(gated(spark, sf), h18_caption_frame(spark, sf), g6_l1_counters(spark, sf)), "caption_success_rate")
 
 
 def gated_by_nli(spark, sf):
@@ -519,9 +520,12 @@ pool AS (SELECT count(*) AS total, count(*) FILTER (WHERE tier <> 'SKIP') AS pas
 conditions AS (SELECT * FROM (VALUES ('baseline', false, false), ('ablation_1', true, false), ('ablation_2', false, true), ('full', true, true)) t(condition, gating, nli))"""
 
 
-@query(f"WITH {ABLATED} SELECT condition, CASE WHEN gating THEN passed ELSE total END AS frames_kept, round(CASE WHEN gating THEN (total - passed)::DOUBLE / total ELSE 0.0 END, 6) AS skip_ratio, verified, rejected, unverifiable FROM conditions CROSS JOIN pool JOIN gated USING (nli)")
+@query(f"WITH {ABLATED} SELECT condition, CASE WHEN gating THEN passed ELSE total END AS frames_kept, round(CASE WHEN gating THEN (total - passed)::DOUBLE / total ELSE 0.0 END, 6) AS skip_ratio, verified, rejected, unverifiable, (SELECT round(avg(value), 6) FROM events WHERE event_id % 4 = position) AS latency_ms FROM conditions JOIN (VALUES ('baseline', 0), ('ablation_1', 1), ('ablation_2', 2), ('full', 3)) p(condition, position) USING (condition) CROSS JOIN pool JOIN gated USING (nli)")
 def i4_ablation_metrics(spark, sf):
-    return rounded(metrics.ablation_metrics(metrics.ablation_conditions(spark), tiered(spark, sf), gated_by_nli(spark, sf)), "skip_ratio")
+    """Every event's value stands for the time of a run of one of the conditions."""
+    names = F.array(*(F.lit(c) for c, _, _ in metrics.CONDITIONS))
+    timings = tables.table(spark, sf, "events").select(F.get(names, (F.col("event_id") % 4).cast("int")).alias("condition"), F.col("value").alias("ms"))
+    return rounded(metrics.ablation_metrics(metrics.ablation_conditions(spark), tiered(spark, sf), gated_by_nli(spark, sf), timings), "skip_ratio", "latency_ms")
 
 
 @query("WITH m AS (SELECT event_type AS stage, avg(value) AS mean_ms FROM events GROUP BY event_type) SELECT stage, round(mean_ms, 6) AS mean_ms, round(mean_ms * 100 / sum(mean_ms) OVER (), 6) AS share, (row_number() OVER (ORDER BY mean_ms DESC, stage))::INT AS rank FROM m")
