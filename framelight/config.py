@@ -24,6 +24,7 @@ STRATEGIES = ("peak_only", "top_k_action", "peak_neighbors", "hybrid")
 class Config:
     """All tunable values with their ranges; builders take one and never read files themselves."""
 
+    # Names and defaults of the settings.
     salient_thresh: float = 0.35
     candidate_thresh: float = 0.08
     peak_order: int = 3

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from framelight.config import Config
 from framelight.operators.retrieval import CAPTION_FAILED, similarities
 
-# Budgets of the five sets, the least number of facts, and the words that route a triple.
+# Budgets of the five sets, the least number of facts, the words that route a triple, and how a year and a number look.
 DEFAULT_BUDGETS = {"system": 50, "facts": 100, "history": 150, "tools": 100, "scratch": 80}
 MIN_FACTS = 2
 SPEECH_WORDS = ("said", "spoke", "asked", "replied", "told", "reported", "announced", "stated", "claimed")

@@ -87,6 +87,10 @@ def determinism_compare(first: DataFrame, second: DataFrame) -> DataFrame:
     return lost.crossJoin(new).withColumn("identical", (F.col("only_first") == 0) & (F.col("only_second") == 0))
 
 
+# How the fallback text that reports a failure begins, and its word.
+FALLBACK, FAILED = "Based on the video analysis, I processed", "failed"
+
+
 def generation_succeeded(answer: Column) -> Column:
     """0 if the answer is the fallback text that reports a failure, else 1."""
-    return F.when(answer.startswith("Based on the video analysis, I processed") & F.lower(answer).contains("failed"), 0.0).otherwise(1.0)
+    return F.when(answer.startswith(FALLBACK) & F.lower(answer).contains(FAILED), 0.0).otherwise(1.0)

@@ -1,4 +1,4 @@
-"""Structured Streaming variants: residuals with per-video state, and windowed run ratios.
+"""Structured Streaming variants: residuals and caches with per-video state, and windowed run ratios.
 
 An extension; batch queries stay the reference for results that need a whole
 video (percentiles, normalisation).
@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from framelight.config import Config
+from framelight.operators.cache import SIGNALS, _Replay
+
 RESIDUAL = "video_id long, event_id long, ts timestamp, residual_energy double"
 
 
@@ -36,6 +39,34 @@ def stream_residuals(events: DataFrame) -> DataFrame:
     return keyed.applyInPandasWithState(step, RESIDUAL, "last double", "append", GroupStateTimeout.NoTimeout)
 
 
+_ENTRY = ["frame_idx", *SIGNALS, "admitted_at"]
+_CACHE = f"hits long, misses long, counter long, entries array<struct<frame_idx: int, {', '.join(f'{c}: double' for c in SIGNALS)}, admitted_at: long>>"
+
+
+def stream_evictions(arrivals: DataFrame, capacity: int, config: Config = Config()) -> DataFrame:
+    """(video_id, arrival, frame_idx, victim, keep_score): evictions as arrivals (video_id, arrival, frame_idx and the signals) come in.
+
+    The state of a video is its counters and its entries in order, at most
+    ``capacity``. Within a micro-batch a video's rows are put in order of arrival;
+    the source must deliver micro-batches in order. As in the batch operator.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        cache = _Replay(capacity, config)
+        if state.exists:
+            cache.hits, cache.misses, cache.counter, entries = state.get
+            cache.entries = {e[0]: {"video_id": key[0], **dict(zip(_ENTRY, e, strict=True))} for e in entries}
+        out = []
+        for row in pd.concat(list(batches)).sort_values("arrival").to_dict("records"):
+            if gone := cache.arrive(row):
+                out.append((key[0], row["arrival"], row["frame_idx"], *gone))
+        state.update((cache.hits, cache.misses, cache.counter, [tuple(e[c] for c in _ENTRY) for e in cache.entries.values()]))
+        yield pd.DataFrame(out, columns=["video_id", "arrival", "frame_idx", "victim", "keep_score"])
+
+    keyed = arrivals.select("video_id", "arrival", "frame_idx", *SIGNALS).groupBy("video_id")
+    return keyed.applyInPandasWithState(step, "video_id long, arrival long, frame_idx int, victim int, keep_score double", _CACHE, "append", GroupStateTimeout.NoTimeout)
+
+
 def stream_ratios(tiered: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Share of skipped frames in tumbling windows of (ts, tier); rows later than ``late`` are dropped."""
     windowed = tiered.withWatermark("ts", late).groupBy(F.window("ts", width))

@@ -2,8 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from framelight.config import Config
+from framelight.operators import cache
+from framelight.plans.evidence_queries import arrivals
 from framelight.sources import tables
-from framelight.streaming.frames import stream_ratios, stream_residuals
+from framelight.streaming.frames import stream_evictions, stream_ratios, stream_residuals
 from tests.conftest import SF
 
 
@@ -28,3 +31,19 @@ def test_ratio_stream(spark, tmp_path):
     run = stream_ratios(stream).writeStream.format("memory").outputMode("complete").queryName("ratios").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     run.awaitTermination(300)
     assert spark.table("ratios").agg(F.sum("total")).first()[0] == rows.count()
+
+
+def test_eviction_stream_equals_the_batch_however_it_is_cut(spark, tmp_path):
+    rows = arrivals(spark, SF).select("video_id", F.col("arrival").cast("long").alias("arrival"), "frame_idx", *cache.SIGNALS).cache()
+    expected = sorted(map(tuple, cache.evictions(rows, Config(), 8).collect()))
+    assert expected
+    last = rows.agg(F.max("arrival")).first()[0] + 1
+    for cuts in ([0, last // 3, last // 2, last], [0, 9, last]):
+        folder = tmp_path / str(len(cuts))
+        for low, high in zip(cuts, cuts[1:]):
+            rows.filter(f"arrival >= {low} and arrival < {high}").coalesce(1).write.mode("append").parquet(str(folder / "in"))
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "in"))
+        name = f"evictions_{len(cuts)}"
+        run = stream_evictions(stream, 8).writeStream.format("memory").queryName(name).option("checkpointLocation", str(folder / "c")).trigger(availableNow=True).start()
+        run.awaitTermination(300)
+        assert sorted(map(tuple, spark.table(name).collect())) == expected
