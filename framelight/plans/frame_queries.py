@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelight.config import Config
-from framelight.operators import cut_videos, graph, retrieval, scores, signals, tiers
+from framelight.operators import cut_videos, graph, retrieval, scores, signals, split_rank, tiers
 from framelight.plans import ctes as sql
 from framelight.plans.registry import query
 from framelight.sources import tables
@@ -353,7 +353,8 @@ def e7_edge_weights(spark, sf):
     return rounded(graph.edge_weights(nodes(spark, sf)), "weight")
 
 
-@query(f"""WITH RECURSIVE {sql.EDGES.replace("edges AS (", "edges AS MATERIALIZED (").replace("nodes AS (", "nodes AS MATERIALIZED (")},
+#: Ranks of the nodes, by rounds over the written-out edges.
+RANKED = f"""WITH RECURSIVE {sql.EDGES.replace("edges AS (", "edges AS MATERIALIZED (").replace("nodes AS (", "nodes AS MATERIALIZED (")},
 sym AS MATERIALIZED (SELECT video_id, src AS i, dst AS j, weight FROM edges UNION ALL SELECT video_id, dst, src, weight FROM edges),
 trans AS MATERIALIZED (SELECT video_id, i, j, weight / sum(weight) OVER (PARTITION BY video_id, i) AS p FROM sym),
 seeds AS MATERIALIZED (SELECT video_id, frame_idx, action_score / sum(action_score) OVER (PARTITION BY video_id) AS s, count(*) OVER (PARTITION BY video_id) AS n FROM nodes),
@@ -362,11 +363,19 @@ pr AS (SELECT 0 AS it, video_id, frame_idx, 1.0::DOUBLE / n AS x FROM seeds
   JOIN seeds s ON s.video_id = t.video_id AND s.frame_idx = t.j WHERE pr.it < 30 GROUP BY t.video_id, t.j),
 steps AS (SELECT a.video_id, a.it, sum(abs(a.x - b.x)) AS moved, count(*) AS n FROM pr a JOIN pr b ON b.video_id = a.video_id AND b.frame_idx = a.frame_idx AND b.it = a.it - 1 GROUP BY a.video_id, a.it),
 stops AS (SELECT video_id, min(it) AS it FROM steps WHERE moved < n * 1e-6 GROUP BY video_id)
-SELECT video_id, frame_idx, round(x, 6) AS pagerank_score FROM pr JOIN stops USING (video_id, it)""")
+SELECT video_id, frame_idx, round(x, 6) AS pagerank_score FROM pr JOIN stops USING (video_id, it)"""
+
+
+@query(RANKED)
 def e8_pagerank(spark, sf):
     return rounded(graph.pagerank(nodes(spark, sf)), "pagerank_score")
 
 
+@query(RANKED)
+def e8_pagerank_cut(spark, sf):
+    return rounded(split_rank.pagerank(nodes(spark, sf), size=2 * CUT), "pagerank_score")
+
+
 def _ranked_nodes(spark, sf):
     return nodes(spark, sf).withColumn("pagerank_score", F.lit(0.0)).withColumn("tensor", F.array(F.lit(0.0), F.col("residual_energy")))
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framelight.config import Config, load_config
-from framelight.operators import graph, retrieval, scores, signals, tiers
+from framelight.operators import graph, retrieval, scores, signals, split_rank, tiers
 
 
 def frames(spark, values, config_values=None):
@@ -389,3 +389,27 @@ def test_pagerank_of_vectors_of_different_lengths(spark):
         x = 0.85 * (x @ step) + 0.15 * seed / seed.sum()
     found = {r["frame_idx"]: r["pagerank_score"] for r in graph.pagerank(nodes, tolerance=None).collect()}
     assert [found[r["frame_idx"]] for r in rows] == pytest.approx(x, abs=1e-9)
+
+
+@pytest.mark.parametrize("size", [2, 16])
+def test_pagerank_of_cut_videos(spark, size):
+    """Ranges of any size give the ranks of the whole: ties, repeated frames, nulls, unlike and zero vectors, one node, no scores."""
+    rng = np.random.default_rng(size)
+    rows = []
+    for video, n in ((1, 48), (2, 1), (3, 30), (4, 2), (5, 25)):
+        for i in range(n):
+            score = 0.0 if video == 4 else 0.5 if video == 5 else round(float(rng.random()), 1)
+            vector = [float(v) for v in rng.random(3 + i % 2)] if rng.random() < 0.7 else None
+            rows.append((video, i // 2 if video == 3 else i, None if i == 7 else score, [0.0] * 3 if i == 9 else [] if i == 11 else vector))
+    nodes = spark.createDataFrame(rows, "video_id long, frame_idx int, action_score double, embedding array<double>").repartition(5)
+    ranked = lambda found: sorted((r["video_id"], r["frame_idx"], r["pagerank_score"]) for r in found.collect())
+    whole, cut = ranked(graph.pagerank(nodes)), ranked(split_rank.pagerank(nodes, size=size))
+    assert [r[:2] for r in cut] == [r[:2] for r in whole] and len(cut) == len(rows)
+    assert [r[2] for r in cut] == pytest.approx([r[2] for r in whole], abs=1e-9)
+
+
+def test_pagerank_of_cut_videos_without_convergence(spark):
+    nodes = spark.createDataFrame([(1, i, s, None) for i, s in enumerate([0.9, 0.1, 0.5, 0.3])] + [(2, 0, 1.0, None)], "video_id long, frame_idx int, action_score double, embedding array<double>")
+    ranked = lambda found: [r["pagerank_score"] for r in found.orderBy("video_id", "frame_idx").collect()]
+    assert ranked(split_rank.pagerank(nodes, rounds=2, tolerance=1e-30, size=2)) == pytest.approx(ranked(graph.pagerank(nodes, rounds=2, tolerance=1e-30)))
+    assert split_rank.pagerank(nodes.limit(0)).count() == 0
