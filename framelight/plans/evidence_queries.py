@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelight.config import Config
-from framelight.operators import cache, metrics, retrieval, verify
+from framelight.operators import cache, mentions, metrics, retrieval, verify
 from framelight.plans import ctes as sql
 from framelight.plans.frame_queries import nodes, query_vector, query_vectors, rounded, suppressed, tiered
 from framelight.plans.registry import query
@@ -464,6 +464,51 @@ def h16_entity_triples(spark, sf):
     return verify.entity_triples(tables.table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"))
 
 
+#: How user turns open, as terms: one word an organisation, two words a place.
+OPENINGS = {"org": "^[A-Za-z0-9-]+", "gpe": "^[A-Za-z0-9-]+ [A-Za-z0-9-]+"}
+
+
+def openings(spark, sf):
+    asked = tables.turns(spark, sf, "user")
+    return asked.select(F.explode(F.array(*(F.struct(F.regexp_extract("text", p, 0).alias("term"), F.lit(label).alias("label")) for label, p in OPENINGS.items()))).alias("x")).select("x.*").distinct()
+
+
+#: Words with offsets, runs of one or two of them that are terms, and of these the leftmost longest in turn.
+MENTIONED = f"""asked AS (SELECT text FROM conversations WHERE role = 'user'),
+terms AS (SELECT term, min(label) AS label FROM ({" UNION ALL ".join(f"SELECT lower(regexp_extract(text, '{p}')) AS term, '{label}' AS label FROM asked" for label, p in OPENINGS.items())}) WHERE term <> '' GROUP BY term),
+pieces AS (SELECT conv_id AS run_id, turn AS pos, unnest(regexp_extract_all(text, '[^A-Za-z0-9-]*[A-Za-z0-9-]+')) AS piece, unnest(range(len(regexp_extract_all(text, '[^A-Za-z0-9-]*[A-Za-z0-9-]+')))) AS i FROM conversations),
+words AS (SELECT *, regexp_extract(piece, '[A-Za-z0-9-]+$') AS word, sum(length(piece)) OVER (PARTITION BY run_id, pos ORDER BY i) AS fin FROM pieces),
+following AS (SELECT *, lead(piece) OVER w AS next, lead(word) OVER w AS next_word FROM words WINDOW w AS (PARTITION BY run_id, pos ORDER BY i)),
+runs AS (SELECT run_id, pos, fin - length(word) AS beg, fin, word AS mention FROM following UNION ALL SELECT run_id, pos, fin - length(word), fin + length(next), word || next FROM following WHERE next = ' ' || next_word),
+hits AS MATERIALIZED (SELECT r.*, label FROM runs r JOIN terms ON lower(mention) = term),
+picked AS (SELECT * FROM (SELECT DISTINCT ON (run_id, pos) * FROM hits ORDER BY run_id, pos, beg, fin DESC)
+  UNION ALL SELECT * FROM (SELECT DISTINCT ON (h.run_id, h.pos) h.* FROM picked p JOIN hits h ON h.run_id = p.run_id AND h.pos = p.pos AND h.beg >= p.fin ORDER BY h.run_id, h.pos, h.beg, h.fin DESC))"""
+
+
+@query(f"""WITH RECURSIVE {MENTIONED} SELECT run_id, pos, beg::INT AS start, fin::INT AS "end", mention, label FROM picked""")
+def h13_typed_mentions(spark, sf):
+    texts = tables.table(spark, sf, "conversations").select(F.col("conv_id").alias("run_id"), F.col("turn").alias("pos"), "text")
+    return mentions.find_mentions(texts, openings(spark, sf), ["run_id", "pos"])
+
+
+@query(f"""WITH RECURSIVE {MENTIONED}, named AS (SELECT run_id, pos, list(DISTINCT lower(mention)) AS places FROM picked WHERE label = 'gpe' GROUP BY run_id, pos), {EAGER}
+SELECT e.run_id, e.pos, e.fact_pos, CASE WHEN label = 'entailment' AND len(places) > 0 AND len(list_filter(places, lambda p: contains(lower(fact), p))) = 0 THEN 'neutral' ELSE label END AS label FROM eager e LEFT JOIN named USING (run_id, pos)""")
+def h8_typed_guard(spark, sf):
+    """The guard of places where labels tell what a place is."""
+    claims = tables.turns(spark, sf, "assistant")
+    named = mentions.find_mentions(claims, openings(spark, sf), ["run_id", "pos"])
+    return mentions.guard_places(eager_pairs(spark, sf), named).select("run_id", "pos", "fact_pos", "label")
+
+
+@query(f"""WITH RECURSIVE {MENTIONED}, placed AS (SELECT *, row_number() OVER w AS rn, lead(mention) OVER w AS other FROM picked SEMI JOIN (SELECT conv_id AS run_id, turn AS pos FROM conversations WHERE NOT contains(upper(text), 'INSUFFICIENT DATA')) USING (run_id, pos) WINDOW w AS (PARTITION BY run_id, pos ORDER BY beg))
+SELECT run_id, pos, beg::INT AS at, mention AS subject, 'is' AS verb, label AS object FROM placed
+UNION ALL SELECT run_id, pos, beg::INT, mention, 'related to', other FROM placed WHERE rn = 1 AND other IS NOT NULL""")
+def h16_typed_triples(spark, sf):
+    """The turns hold no numbers, so the SQL has no values; those are tested against all pairs."""
+    texts = tables.table(spark, sf, "conversations").select(F.col("conv_id").alias("run_id"), F.col("turn").alias("pos"), "text")
+    return mentions.typed_triples(texts, openings(spark, sf), ["run_id", "pos"])
+
+
 @query("SELECT conv_id, turn, 'Question: ' || role || chr(10) || 'Evidence:' || chr(10) || text AS response FROM conversations")
 def h17_generate(spark, sf):
     requests = tables.table(spark, sf, "conversations").select("conv_id", "turn", F.col("role").alias("prompt"), F.col("text").alias("context"))
