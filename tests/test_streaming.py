@@ -1,12 +1,14 @@
 """Streams agree with batch over several ordered micro-batches."""
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from framelight.config import Config
-from framelight.operators import cache
+from framelight.operators import cache, scores
 from framelight.plans.evidence_queries import arrivals
 from framelight.sources import tables
-from framelight.streaming.frames import stream_evictions, stream_ratios, stream_residuals
+from framelight.streaming.frames import stream_evictions, stream_features, stream_ratios, stream_residuals
 from tests.conftest import SF
 
 
@@ -47,3 +49,24 @@ def test_eviction_stream_equals_the_batch_however_it_is_cut(spark, tmp_path):
         run = stream_evictions(stream, 8).writeStream.format("memory").queryName(name).option("checkpointLocation", str(folder / "c")).trigger(availableNow=True).start()
         run.awaitTermination(300)
         assert sorted(map(tuple, spark.table(name).collect())) == expected
+
+
+def test_feature_stream_puts_late_frames_in_order(spark, tmp_path):
+    """Frames up to half an hour out of order, in two ways of cutting the stream, give the batch means; a frame that is later is dropped."""
+    times = tables.table(spark, SF, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    rows = tables.frames(spark, SF).join(times, "event_id").select("video_id", "frame_idx", "ts", "residual_energy", F.when(F.col("frame_idx") % 5 > 0, F.col("motion_magnitude")).alias("motion_magnitude"), "entropy").cache()
+    expected = {tuple(r[:3]): [v if v is None else round(v, 9) for v in r[3:]] for r in scores.rolling_features(rows, 7).collect()}
+    jumbled = rows.orderBy(F.unix_micros("ts") + F.pmod(F.xxhash64("video_id", "frame_idx"), F.lit(1800)) * 1000000).collect()
+    end = max(r["ts"] for r in jumbled)
+    day = datetime.timedelta(days=1)
+    tail = [(-1, 0, end + day, 0.0, 0.0, 0.0)], [(-1, 1, end + 2 * day, 0.0, 0.0, 0.0), (jumbled[0]["video_id"], 999, end - day, 9.0, 9.0, 9.0)], [(-1, 2, end + 3 * day, 0.0, 0.0, 0.0)]
+    for parts in (2, 5):
+        folder = tmp_path / str(parts)
+        for rows_of_part in (*(jumbled[k * len(jumbled) // parts : (k + 1) * len(jumbled) // parts] for k in range(parts)), *tail):
+            spark.createDataFrame(rows_of_part, rows.schema).coalesce(1).write.mode("append").parquet(str(folder / "in"))
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "in"))
+        name = f"features_{parts}"
+        run = stream_features(stream, "1 hour", 7).writeStream.format("memory").queryName(name).option("checkpointLocation", str(folder / "c")).trigger(availableNow=True).start()
+        run.awaitTermination(300)
+        got = {tuple(r[:3]): [v if v is None else round(v, 9) for v in r[3:]] for r in spark.table(name).filter("video_id >= 0").collect()}
+        assert got == expected
