@@ -30,21 +30,33 @@ VALUE = r"(?i)\d+\.?\d*\s*(?:%|million|billion|thousand|tonnes|kg|km|years?|days
 WORD = re.compile(r"[A-Za-z0-9-]+")
 
 
-def _runs_of_words(longest: int):
-    @F.pandas_udf("array<struct<start: int, end: int, mention: string>>")
-    def find(texts: pd.Series) -> pd.Series:
-        def one(text: str | None) -> list[dict]:
-            spans = [m.span() for m in WORD.finditer(text or "")]
-            found = []
-            for i, (start, end) in enumerate(spans):
-                for j in range(i, min(i + longest, len(spans))):
-                    if j > i and text[end : spans[j][0]] != " ":
-                        break
-                    end = spans[j][1]
-                    found.append({"start": start, "end": end, "mention": text[start:end]})
-            return found
+#: Runs of words that leave a task in one batch.
+BATCH = 50_000
 
-        return texts.map(one)
+
+def _runs_of_words(keys: Sequence[str], longest: int):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+            rows, starts, ends, said = zip(*found, strict=True)
+            own = [batch.column(k).take(pa.array(rows, pa.int64())) for k in keys]
+            return pa.RecordBatch.from_arrays([*own, pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(said, pa.string())], names=[*keys, "start", "end", "mention"])
+
+        for batch in batches:
+            found: list[tuple] = []
+            for row, text in enumerate(batch.column("text")):
+                text = text.as_py()
+                spans = [m.span() for m in WORD.finditer(text)]
+                for i, (start, end) in enumerate(spans):
+                    for j in range(i, min(i + longest, len(spans))):
+                        if j > i and text[end : spans[j][0]] != " ":
+                            break
+                        end = spans[j][1]
+                        found.append((row, start, end, text[start:end]))
+                    if len(found) >= BATCH:
+                        yield packed(batch, found)
+                        found = []
+            if found:
+                yield packed(batch, found)
 
     return find
 
@@ -69,7 +81,8 @@ def find_mentions(texts: DataFrame, gazetteer: DataFrame, keys: Sequence[str] =
     key = F.lower(F.trim(F.regexp_replace("term", r"\s+", " ")))
     terms = gazetteer.select(key.alias("key"), "label").filter("key <> ''").groupBy("key").agg(F.min("label").alias("label"))
     longest = terms.agg(F.max(F.size(F.split("key", " ")))).first()[0] or 1  # one number
-    runs = texts.filter("text <> ''").select(*keys, F.explode(_runs_of_words(longest)("text")).alias("run")).select(*keys, "run.*")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select(*keys).schema)
+    runs = texts.filter("text <> ''").select(*keys, "text").mapInArrow(_runs_of_words(keys, longest), f"{kinds}, start int, end int, mention string")
     hits = runs.withColumn("key", F.lower("mention")).join(terms, "key").select(*keys, "start", "end", "mention", "label")
     in_order = hits.repartition(*keys).sortWithinPartitions(*keys, "start", F.desc("end"))
     return in_order.mapInArrow(_leftmost(keys), hits.schema)
