@@ -49,8 +49,8 @@ def _spaced(text: Column) -> Column:
 
 
 def _tokens(line: Column) -> Column:
-    """The distinct token hashes of a line whose words stand between blanks."""
-    hashes = F.transform(F.split(F.lower(line), " "), lambda w: F.xxhash64(w))
+    """The distinct token hashes of a line in lower case whose words stand between blanks."""
+    hashes = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
     return F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit("")))
 
 
@@ -72,11 +72,11 @@ def _half(tokens: Column, n: Column) -> Column:
 
 
 def _lines(keyed: DataFrame) -> DataFrame:
-    """(id, key, line_no, print, n, tokens) of every line with a word."""
-    lines = keyed.select("id", "key", F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("line_no", "line"))
-    # exploding an array of one keeps the tokens from being worked out again for every use
-    lines = lines.select("id", "key", "line_no", F.explode(F.array(_tokens(F.col("line")))).alias("tokens"))
-    return lines.select("id", "key", "line_no", _print(F.col("tokens")).alias("print"), F.size("tokens").alias("n"), "tokens").filter("n > 0")
+    """(id, key, line_no, print, n, tokens) of every line; a filter on n here would work the tokens out twice."""
+    lines = keyed.select("id", "key", F.posexplode(F.split(F.lower(_spaced(F.col("text"))), "\n")).alias("line_no", "line"))
+    # tokens stand in a projection of their own, which is compiled but for its lambda; within explode nothing would be
+    lines = lines.select("id", "key", "line_no", _tokens(F.col("line")).alias("tokens"))
+    return lines.select("id", "key", "line_no", _print(F.col("tokens")).alias("print"), F.size("tokens").alias("n"), "tokens")
 
 
 def _rarity(lines: DataFrame) -> Column:
@@ -105,9 +105,10 @@ def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     whole = lines.filter(maybe_in(bit_set(needed, "print"), "print")).join(needed, "print", "left_semi").groupBy("print").agg(F.first("tokens").alias("tokens"))
     whole = materialize(whole, "line-sets")
     sides = [whole.select(F.col("print").alias(s), F.col("tokens").alias(f"tokens_{s}")) for s in "ab"]
+    # common >= percent of the union, with the intersection named once, as a filter works out each mention of it
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    union = F.size("tokens_a") + F.size("tokens_b") - common
-    return pairs.join(sides[0], "a").join(sides[1], "b").filter(common * 100 >= union * percent).select("a", "b")
+    both = F.size("tokens_a") + F.size("tokens_b")
+    return pairs.join(sides[0], "a").join(sides[1], "b").filter(common * (100 + percent) >= both * percent).select("a", "b")
 
 
 def similar_to_leaders(sets: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
@@ -158,11 +159,13 @@ def similar_sets(sets: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
 
 def removed_lines(keyed: DataFrame, percent: int) -> DataFrame:
     """(key, line_no) of every line that repeats an earlier one; ``keyed`` holds (id, key, text)."""
-    lines = materialize(_lines(keyed), "lines", dictionary_mb=8)
+    lines = materialize(_lines(keyed), "lines", dictionary_mb=0).filter("n > 0")
     counts = _rarity(lines)
-    # count and hash in one number, never null: its order is that of rarity, and equal tokens have equal numbers
-    step = lambda t: F.coalesce(F.get(counts, t.bitwiseAND(F.lit(CLASSES - 1))), F.lit(0)).cast("long")
-    rank = lambda t: F.call_function("shiftleft", step(t), F.lit(32)).bitwiseOR(t.bitwiseAND(F.lit(0xFFFFFFFF)))
+    # count and hash in one number: its order is that of rarity, and equal tokens have equal numbers
+    step = lambda t: F.get(counts, t.bitwiseAND(F.lit(CLASSES - 1))).cast("long")
+    packed = lambda t: F.call_function("shiftleft", step(t), F.lit(32)).bitwiseOR(t.bitwiseAND(F.lit(0xFFFFFFFF)))
+    # never null by type too (what was read could be), so that they're sorted as plain numbers
+    rank = lambda t: F.coalesce(packed(t), F.lit(0).cast("long"))
     length = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
     place = F.struct("id", "key", "line_no")
     derived = {"prefix": F.slice(F.sort_array(F.transform("tokens", rank)), 1, length), "mask": _mask(F.col("tokens")), "half": _half(F.col("tokens"), F.col("n")), "low": F.array_min("tokens"), "high": F.array_max("tokens")}
@@ -177,14 +180,15 @@ def removed_lines(keyed: DataFrame, percent: int) -> DataFrame:
     found = lines.withColumn("spot", F.xxhash64("print", "key", "line_no")).filter(maybe_in(spots, "spot"))
     leading = found.join(repeats.select("print", "first", "last"), "print").filter(place == F.col("first")).dropDuplicates(["print"])
     folded = leading.withColumns(derived).select("print", "n", "first", "last", *derived)
-    sets = materialize(once.unionByName(folded), "line-firsts")
+    sets = materialize(once.unionByName(folded), "line-firsts", dictionary_mb=0)
     several = sets.filter("first <> last").select("print", "first")
     again = lines.filter(maybe_in(some, "print")).select("print", place.alias("place")).join(several, "print").filter("place <> first").select("place.key", "place.line_no")
     settled = materialize(similar_to_leaders(sets, lines, percent), "settled")
     by_leader = sets.select("print", "first").join(settled, "print", "left_semi").select("first.key", "first.line_no")
     flagged = sets.join(settled.withColumn("_settled", F.lit(True)), "print", "left").withColumn("open", F.col("_settled").isNull())
     similar = materialize(similar_sets(flagged, lines, percent), "similar-lines")
-    places = [sets.select(F.col("print").alias(s), F.col("first").alias(f"first_{s}")) for s in "ab"]
+    paired = bit_set(similar.select(F.explode(F.array("a", "b")).alias("print")), "print")
+    places = [sets.filter(maybe_in(paired, "print")).select(F.col("print").alias(s), F.col("first").alias(f"first_{s}")) for s in "ab"]
     ordered = similar.join(places[0], "a").join(places[1], "b")
     later = ordered.select(F.greatest("first_a", "first_b").alias("place")).distinct().select("place.key", "place.line_no").union(by_leader)
     return again.union(later).distinct()
@@ -204,15 +208,15 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     packed = packed.withColumn("touched", F.coalesce(maybe_in(bit_set(removed, "key"), "key"), F.lit(False)))
     text = F.col("row")[text_col]
     lines = F.split(text, "\n")
-    joined = packed.filter("touched").join(removed, "key", "left")
+    # rows that the bit set lets through in vain lose no line here, so that texts are joined once
+    joined = packed.filter("touched").join(removed, "key", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     # exploding an array of one keeps the lines from being split again for every use
-    split = joined.filter("removed is not null").select("row", "removed", F.explode(F.array(lines)).alias("lines"))
+    split = joined.select("row", "removed", F.explode(F.array(lines)).alias("lines"))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed"))
     cut = split.select("row", F.size("lines").alias("n_lines"), F.size("removed").alias("n_removed"), F.explode(F.array(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))).alias("text"))
     if drop_emptied:
-        cut = cut.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    whole = joined.filter("removed is null").select("row").union(packed.filter("not touched").select("row"))
-    whole = whole.select("row", F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.lit(0).alias("n_removed"), text.alias("text"))
+        cut = cut.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]") | (F.col("n_removed") == 0))
+    whole = packed.filter("not touched").select("row", F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.lit(0).alias("n_removed"), text.alias("text"))
     added = ["n_lines", "n_removed"] if counts else []
     columns = [F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c not in added]
     return cut.union(whole).select(*columns, *(F.when(F.col("row")[text_col].isNull(), 0).otherwise(F.col(c)).cast("long").alias(c) for c in added))

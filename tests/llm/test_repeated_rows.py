@@ -25,6 +25,25 @@ def test_line_dedup_repeated_rows_equal_brute_force(spark):
     assert sorted((r["doc_id"], r["text"]) for r in out) == sorted((i, want[i]) for i, _ in table)
 
 
+def test_line_dedup_joins_texts_once(spark):
+    # texts that lose lines and those that the bit set lets through in vain went through a join each
+    table = spark.createDataFrame([(1, "one two three\nfour five"), (2, "Three two one\nsix"), (3, None)], "doc_id long, text string")
+    out = line_dedup.dedup_lines(table, counts=True)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert sorted(map(tuple, out.collect())) == [(1, "one two three\nfour five", 2, 0), (2, "six", 2, 1), (3, None, 0, 0)]
+
+
+def test_line_dedup_sorts_and_compares_cheaply(spark, monkeypatch):
+    # ranks that could be null by type were sorted as objects; every mention of the intersection worked it out anew
+    plans, write = {}, line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, name, **how: plans.setdefault(name, df) is None or write(df, name, **how))
+    rows = [(i, " ".join(f"w{j}" for j in range(i, i + 20))) for i in range(6)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == brute_lines(rows)
+    assert not plans["line-firsts"].schema["prefix"].dataType.containsNull
+    assert plans["similar-lines"]._jdf.queryExecution().optimizedPlan().toString().count("array_intersect") == 1
+
+
 def test_nearest_repeated_rows(spark):
     same = [(1, [1.0, 2.0])] * 9 + [(i, [1.0, 2.0]) for i in range(2, 7)]
     table = spark.createDataFrame([(0, [1.0, 2.1]), *same], "vec_id long, embedding array<double>")
