@@ -159,7 +159,7 @@ def similar_sets(sets: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
 
 def removed_lines(keyed: DataFrame, percent: int) -> DataFrame:
     """(key, line_no) of every line that repeats an earlier one; ``keyed`` holds (id, key, text)."""
-    lines = materialize(_lines(keyed), "lines", dictionary_mb=0).filter("n > 0")
+    lines = materialize(_lines(keyed), "lines", dictionary_mb=8).filter("n > 0")
     counts = _rarity(lines)
     # count and hash in one number: its order is that of rarity, and equal tokens have equal numbers
     step = lambda t: F.get(counts, t.bitwiseAND(F.lit(CLASSES - 1))).cast("long")
