@@ -44,8 +44,8 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in place of texts."""
-    encoded = bpe.encode(docs, f"{TOKENIZERS}/word_bpe_49k.json")
-    return encoded.withColumn("n_tokens", F.size("ids").cast("long")).drop("text")
+    encoded = bpe.encode(docs, f"{TOKENIZERS}/word_bpe_49k.json", keep_text=False)
+    return encoded.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -32,9 +32,11 @@ from pyspark.sql import types as T
 
 from framelight.llm.text import append_columns
 
-#: Distinct words that a task remembers before it starts anew.
-WORD_CACHE = 400_000
+#: Distinct words that a task remembers from one group to the next; with more it starts anew.
+WORD_CACHE = 250_000
 _NONE = np.int32(2**31 - 1)
+#: Positions whose pairs are looked up at once.
+_AT_ONCE = 1 << 17
 
 # The normaliser's white space and the word pattern of the format.
 _SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -99,7 +101,8 @@ def apply_merges(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.
     last = np.zeros(n, dtype=bool)
     last[ends - 1] = True
     symbol = np.where(last, vocab.last_ids[data], vocab.first_ids[data])
-    following = np.where(last, -1, np.arange(1, n + 1)).astype(np.int32)
+    following = np.arange(1, n + 1, dtype=np.int32)
+    following[last] = -1
     preceding = np.arange(-1, n - 1, dtype=np.int32)
     preceding[ends[:-1]] = -1
     alive = np.ones(n, dtype=bool)
@@ -111,7 +114,8 @@ def apply_merges(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.
         slot = np.minimum(np.searchsorted(vocab.pair_keys, keys), len(vocab.pair_keys) - 1)
         return np.where((after >= 0) & (vocab.pair_keys[slot] == keys), vocab.pair_ranks[slot], _NONE)
 
-    rank = ranks_at(np.arange(n))
+    every = np.arange(n, dtype=np.int32)
+    rank = np.concatenate([ranks_at(every[low : low + _AT_ONCE]) for low in range(0, max(n, 1), _AT_ONCE)])
     index: dict[int, list[np.ndarray]] = {}
     active: list[int] = []
 
@@ -131,7 +135,7 @@ def apply_merges(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.
                 index[r] = [part]
                 heapq.heappush(active, r)
 
-    enter(np.arange(n), rank)
+    enter(every, rank)
     while active:
         r = heapq.heappop(active)
         lists = index.pop(r)
@@ -163,14 +167,32 @@ def apply_merges(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.
     return symbol[alive], np.add.reduceat(alive, ends - lengths, dtype=np.int64) if len(words) else lengths
 
 
+class _Numbers(dict):
+    """Words numbered in the order in which they were first asked for; ``fresh`` lists those not yet encoded."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.fresh.append(word)
+        self[word] = n = len(self)
+        return n
+
+
 class Encoder:
-    """Encodes texts; remembers the words it has met."""
+    """Encodes texts; remembers the words it has met by number, and their ids in flat arrays."""
 
     def __init__(self, path: str):
         self.vocab = load(path)
         self._white, self._pattern = regex.compile(_WHITE + "+"), regex.compile(_WORDS)
         self._special = regex.compile("(" + "|".join(map(regex.escape, self.vocab.special)) + ")") if self.vocab.special else None
-        self._known: dict[str, tuple[int, ...]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self._numbers = _Numbers()
+        self._ids = np.zeros(0, dtype=np.int32)
+        self._starts = np.zeros(1, dtype=np.int32)  # by number where the word's ids begin, one more than words
 
     def split(self, text: str) -> list[str]:
         """The words of a text; special tokens stand as words of their own."""
@@ -185,30 +207,64 @@ class Encoder:
                 out += self._pattern.findall(part)
         return out
 
-    def learn(self, words: set[str]) -> None:
+    def _learn(self) -> None:
         """Encode the words not met before."""
-        if len(self._known) + len(words) > WORD_CACHE:
-            self._known.clear()
-        new = [w for w in words if w not in self._known]
-        plain = [w for w in new if w not in self.vocab.special]
-        self._known |= {w: (self.vocab.special[w],) for w in new if w in self.vocab.special}
-        if plain:
-            ids, counts = apply_merges([w.encode() for w in plain], self.vocab)
-            ids, stops = ids.tolist(), np.cumsum(counts).tolist()
-            start = 0
-            for w, stop in zip(plain, stops, strict=True):
-                self._known[w] = tuple(ids[start:stop])
-                start = stop
-
-    def encode_words(self, texts: list[str]) -> tuple[list[list[str]], dict[str, tuple[int, ...]]]:
-        """The words of each text, and the ids of every word."""
-        split = [self.split(t) for t in texts]
-        self.learn(set().union(*split))
-        return split, self._known
+        fresh, self._numbers.fresh = self._numbers.fresh, []
+        special = [self.vocab.special.get(w, -1) for w in fresh]
+        plain = np.array(special, dtype=np.int32) < 0
+        counts = np.ones(len(fresh), dtype=np.int64)
+        ids, counts[plain] = apply_merges([w.encode() for w, s in zip(fresh, special, strict=True) if s < 0], self.vocab)
+        out = np.empty(counts.sum(), dtype=np.int32)
+        from_merges = np.repeat(plain, counts)
+        out[from_merges], out[~from_merges] = ids, [s for s in special if s >= 0]
+        self._starts = np.concatenate([self._starts, (len(self._ids) + np.cumsum(counts)).astype(np.int32)])
+        self._ids = np.concatenate([self._ids, out])
+
+    def number_words(self, texts: list[str]) -> list[np.ndarray]:
+        """The words of each text by number, all of them encoded; numbers hold until the next call.
+
+        A text's words are strings only while it is being split, so a group's memory
+        goes with its distinct words.
+        """
+        if len(self._numbers) > WORD_CACHE:
+            self._forget()
+        number, out = self._numbers.__getitem__, []
+        for t in texts:
+            words = self.split(t)
+            out.append(np.fromiter(map(number, words), np.int32, len(words)))
+        if self._numbers.fresh:
+            self._learn()
+        return out
+
+    def ids_of(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of words one after another."""
+        starts = self._starts[numbers]
+        counts = self._starts[numbers + 1] - starts
+        ends = np.cumsum(counts)
+        return self._ids[np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def count_ids(self, numbers: np.ndarray) -> int:
+        return int((self._starts[numbers + 1] - self._starts[numbers]).sum())
+
+    def spellings(self, numbered: list[np.ndarray]) -> tuple[dict[int, str], dict[int, str]]:
+        """The ids of every word that occurs in decimals, and its decoded text, by number."""
+        here = np.unique(np.concatenate(numbered))
+        ids, stops = self.ids_of(here).tolist(), np.cumsum(self._starts[here + 1] - self._starts[here]).tolist()
+        written, decoded, start = {}, {}, 0
+        for w, stop in zip(here.tolist(), stops, strict=True):
+            own = ids[start:stop]
+            written[w], decoded[w] = " ".join(map(str, own)), self.decode(own)
+            start = stop
+        return written, decoded
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        split, known = self.encode_words(texts)
-        return [[i for w in words for i in known[w]] for words in split]
+        return [self.ids_of(n).tolist() for n in self.number_words(texts)]
+
+    def encode_lists(self, texts: list[str]) -> pa.Array:
+        """The ids of each text as a list array."""
+        ids = [self.ids_of(n) for n in self.number_words(texts)]
+        offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([self._ids[:0], *ids]), pa.int32()))
 
     def decode(self, ids: list[int]) -> str:
         """Token strings joined with one space; unknown ids are skipped."""
@@ -228,20 +284,20 @@ def _groups(texts: list[str], most: int = 8 << 20):
         yield texts[start:]
 
 
-def encode(df: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``df`` with the ids of each text as ``array<int>``."""
+def encode(df: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str = "ids", keep_text: bool = True) -> DataFrame:
+    """``df`` with the ids of each text as ``array<int>``; without ``keep_text`` texts don't come back from the tasks."""
 
     def make():
         encoder = Encoder(tokenizer)
 
         def batch(column: pa.Array) -> list:
             texts = [t or "" for t in column.to_pylist()]
-            parts = [pa.array(encoder.encode_batch(group), pa.list_(pa.int32())) for group in _groups(texts)]
+            parts = [encoder.encode_lists(group) for group in _groups(texts)]
             return [pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))]
 
         return batch
 
-    return append_columns(df, text_col, [T.StructField(ids_col, T.ArrayType(T.IntegerType()))], make)
+    return append_columns(df, text_col, [T.StructField(ids_col, T.ArrayType(T.IntegerType()))], make, keep_text)
 
 
 def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -267,13 +323,11 @@ def round_trip(df: DataFrame, tokenizer: str, text_col: str = "text") -> DataFra
         def batch(column: pa.Array) -> list:
             counts, ids_digest, text_digest = [], [], []
             for group in _groups([t or "" for t in column.to_pylist()]):
-                split, known = encoder.encode_words(group)
-                here = set().union(*split)
-                size = {w: len(known[w]) for w in here}
-                written = {w: " ".join(map(str, known[w])) for w in here}
-                decoded = {w: encoder.decode(known[w]) for w in here}
-                for ws in split:
-                    counts.append(sum([size[w] for w in ws]))
+                numbered = encoder.number_words(group)
+                written, decoded = encoder.spellings(numbered)
+                for numbers in numbered:
+                    counts.append(encoder.count_ids(numbers))
+                    ws = numbers.tolist()
                     ids_digest.append(hashlib.sha256(" ".join([written[w] for w in ws]).encode()).hexdigest())
                     text_digest.append(hashlib.sha256(" ".join([decoded[w] for w in ws]).encode()).hexdigest())
             return [pa.array(counts, pa.int64()), pa.array(ids_digest, pa.string()), pa.array(text_digest, pa.string())]
