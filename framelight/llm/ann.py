@@ -23,6 +23,9 @@ empty result.
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -60,10 +63,10 @@ def _near_one(x: np.ndarray) -> np.ndarray:
 def neighbour_graph(unit: np.ndarray, k: int) -> np.ndarray:
     """Each row's ``k`` nearest other rows, by blocks of rows."""
     out = []
-    for low in range(0, len(unit), 1024):
-        near = unit[low : low + 1024] @ unit.T
+    for low in range(0, len(unit), 256):
+        near = unit[low : low + 256] @ unit.T
         near[np.arange(len(near)), np.arange(low, low + len(near))] = -np.inf
-        out.append(np.argpartition(-near, min(k, len(unit) - 1) - 1, axis=1)[:, :k])
+        out.append(np.argpartition(-near, min(k, len(unit) - 1) - 1, axis=1)[:, :k].copy())  # a view would keep the whole block
     return np.concatenate(out)
 
 
@@ -133,15 +136,25 @@ def route(net: list[np.ndarray], unit: np.ndarray, cover: float) -> list[np.ndar
 
 
 def fit(vectors: DataFrame, parts: int = PARTS) -> list[np.ndarray] | None:
-    """The router, fitted on a bounded hash sample of (vec_id, vector) rows."""
+    """The router, fitted in one task on a bounded hash sample of (vec_id, vector) rows."""
     n = vectors.count()
     if not n:
         return None
     thinned = vectors.withColumn("_draw", F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000))).filter(F.col("_draw") < min(1.0, 1.2 * SAMPLE / n) * 1_000_000)
-    rows = thinned.orderBy("_draw", "vec_id").limit(SAMPLE).select("vector").collect()
-    if not rows:
-        return None
-    unit = np.unique(_unit(np.array([r["vector"] for r in rows], dtype=np.float64)), axis=0)
+    sample = thinned.orderBy("_draw", "vec_id").limit(SAMPLE).select("vector").coalesce(1)
+    row = sample.mapInPandas(lambda batches: fit_batches(batches, parts), "net binary").first()
+    return pickle.loads(row["net"]) if row else None
+
+
+def fit_batches(batches: Iterator[pd.DataFrame], parts: int) -> Iterator[pd.DataFrame]:
+    """The router of all sampled vectors as one pickled row, none without vectors."""
+    rows = [np.stack(b["vector"].to_numpy()).astype(np.float64) for b in batches if len(b)]
+    if rows:
+        yield pd.DataFrame({"net": [pickle.dumps(fit_sample(np.concatenate(rows), parts))]})
+
+
+def fit_sample(vectors: np.ndarray, parts: int) -> list[np.ndarray]:
+    unit = np.unique(_unit(vectors), axis=0)
     if len(unit) < 4 * parts:  # too few to cut: all in one part
         return [np.zeros((unit.shape[1], 1)), np.zeros(1), np.zeros((1, parts)), np.zeros(parts)]
     graph = neighbour_graph(unit, min(GRAPH_NEIGHBOURS, len(unit) - 1))
