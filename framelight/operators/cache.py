@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelight.config import Config
+from framelight.functions.ordered import in_order
 from framelight.operators.retrieval import CAPTION_FAILED, similarities
 
 # Budgets of the five sets, the least number of facts, the words that route a triple, and how a year and a number look.
@@ -91,7 +92,7 @@ def _replayed(events: DataFrame, size: int, config: Config, evicted: bool, schem
             yield cache.final(video)
 
     given = events.select("video_id", "arrival", "frame_idx", *SIGNALS)
-    return given.repartition("video_id").sortWithinPartitions("video_id", "arrival").mapInPandas(run, schema)
+    return in_order(given, ["video_id"], "arrival").mapInPandas(run, schema)
 
 
 def admit(events: DataFrame, config: Config = Config(), capacity: int | None = None) -> DataFrame:
@@ -139,7 +140,7 @@ def best_possible(events: DataFrame, capacity: int) -> DataFrame:
         if any_row:
             yield row()
 
-    return given.repartition("video_id").sortWithinPartitions("video_id", "arrival").mapInPandas(run, "video_id long, hits long, misses long")
+    return in_order(given, ["video_id"], "arrival").mapInPandas(run, "video_id long, hits long, misses long")
 
 
 def cache_report(events: DataFrame, variants: dict[str, Config], capacity: int, targets: DataFrame, embeddings: DataFrame) -> DataFrame:
@@ -332,7 +333,7 @@ def replay_facts(rows: DataFrame, budget: int = DEFAULT_BUDGETS["facts"], least:
         if facts is not None:
             yield held()
 
-    ordered = given.repartition("set_id").sortWithinPartitions("set_id", "seq", "text", "score")
+    ordered = in_order(given, ["set_id"], "seq", "text", "score")
     return ordered.mapInArrow(run, f"set_id {kinds['set_id']}, text string, score double, seq {kinds['seq']}, position long")
 
 

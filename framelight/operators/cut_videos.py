@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelight.config import Config
+from framelight.functions.ordered import in_order
 from framelight.operators import scores
 
 SIZE = 4096
@@ -57,7 +58,7 @@ def _walk(summaries: DataFrame, order: list[str], step: Callable[[dict | None, d
             types = [kinds, *([pa.int32()] if names[1] == "frame_idx" else []), *[pa.float64()] * (len(names) - 2)]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    return summaries.repartition(*order[:-1]).sortWithinPartitions(*order).mapInArrow(run, schema)
+    return in_order(summaries, order[:-1], order[-1]).mapInArrow(run, schema)
 
 
 def find_peaks(scored: DataFrame, size: int = SIZE) -> DataFrame:
