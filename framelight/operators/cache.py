@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelight.config import Config
+from framelight.functions.formats import fixed
 from framelight.functions.ordered import in_order
 from framelight.operators.retrieval import CAPTION_FAILED, similarities
 
@@ -190,6 +191,13 @@ def query_cache(entries: DataFrame, queries: DataFrame, k: int, config: Config =
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).drop("_query")
 
 
+def salient_fact(frame_idx: Column, timestamp: Column, residual: Column, score: Column) -> Column:
+    """A frame's sentence for the fact set, scores to four decimals."""
+    # values halfway between two decimals go up whatever their last bits
+    r4 = lambda c: fixed(F.round(c + 1e-9, 4), 4)
+    return F.concat(F.lit("Frame "), frame_idx.cast("string"), F.lit(" at "), fixed(timestamp, 2), F.lit("s depicts salient visual cues (residual energy "), r4(residual), F.lit(", action score "), r4(score), F.lit(")"))
+
+
 def update_pagerank(entries: DataFrame, scores: DataFrame) -> DataFrame:
     """``entries`` with the scores of those present; others keep theirs, unknown frames are ignored."""
     new = scores.select("video_id", "frame_idx", F.col("pagerank_score").alias("_new"))
@@ -204,7 +212,8 @@ def counters(entries: DataFrame, capacity: int) -> DataFrame:
 def display_text() -> Column:
     # Fixed value: the layout of a frame's block.
     caption = F.coalesce(F.when(F.col("caption") != "", F.col("caption")), F.lit(CAPTION_FAILED))
-    text = F.format_string("Frame %d\nTimestamp: %.1fs\n\nCaption:\n%s\n\nAction Score:\n%.2f\n\nPersistence:\n%.2f", "frame_idx", "timestamp_sec", caption, "action_score", "persistence_value")
+    lit = F.lit
+    text = F.concat(lit("Frame "), F.col("frame_idx").cast("string"), lit("\nTimestamp: "), fixed(F.col("timestamp_sec"), 1), lit("s\n\nCaption:\n"), caption, lit("\n\nAction Score:\n"), fixed(F.col("action_score"), 2), lit("\n\nPersistence:\n"), fixed(F.col("persistence_value"), 2))
     return F.concat(text, F.when(F.col("is_peak"), "\n\nSelection Reason:\nTop peak after NMS.").otherwise(""))
 
 
@@ -217,7 +226,7 @@ def context_text(frames: DataFrame, order: str = "position") -> DataFrame:
 def nli_fact(frame_idx: Column, timestamp: Column, caption: Column) -> Column:
     """The caption as a sentence; null where it's missing, failed, or left over from a demo clip."""
     bad = caption.isNull() | (caption == "") | (caption == CAPTION_FAILED) | F.lower(caption).rlike("rabbit|meadow")
-    return F.when(~bad, F.format_string("Frame %d at %.2fs: %s.", frame_idx, timestamp, caption))
+    return F.when(~bad, F.concat(F.lit("Frame "), frame_idx.cast("string"), F.lit(" at "), fixed(timestamp, 2), F.lit("s: "), caption, F.lit(".")))
 
 
 def token_count(text: Column) -> Column:
