@@ -353,3 +353,21 @@ def test_cache_report_by_hand(spark):
     assert r["variant"] == "newest" and r["hit_rate"] == pytest.approx(1 / 6) and r["best_hit_rate"] == pytest.approx(2 / 6)
     assert r["regret"] == pytest.approx(1 / 3)
     assert (r["target_hit_rate"], r["precision_at_1"], r["frames_scanned"]) == (0.5, 0.5, (2 + 2 + 4) / 2)
+
+
+def test_runs_of_any_size_give_the_same_relevant_pairs(spark, monkeypatch):
+    texts_of = lambda n: [f"{'Red' if k % 3 else 'blue'} fox {'jumps' if k % 2 else 'rests'} w{chr(97 + k % 7) * 3}" for k in range(n)]
+    claims, facts = rows_of(spark, texts_of(9)), rows_of(spark, texts_of(5))
+    both = claims.unionAll(claims.withColumn("run_id", F.col("run_id") + 1).filter("pos < 2")), facts.unionAll(facts.withColumn("run_id", F.col("run_id") + 1).filter("pos < 2"))
+    pairs = lambda: sorted(tuple(r) for r in verify.relevant_pairs(*both).select("run_id", "pos", "fact_pos", "claim", "fact").collect())
+    found = pairs()
+    monkeypatch.setattr(verify, "CROWDED", 8)  # the first run is crowded, the second isn't
+    assert pairs() == found and len(found) > 20
+
+
+def test_pairs_of_small_runs_leave_no_row_for_each_term(spark):
+    rows = spark.range(3).select((F.col("id") * 0).alias("run_id"), F.col("id").alias("pos"), F.concat(F.lit("alpha beta gamma delta n"), F.col("id").cast("string")).alias("text"))
+    kept = verify.relevant_pairs(rows, rows)
+    kept.collect()
+    final = kept._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Generate" not in final  # the way by terms is left out once no run is crowded
