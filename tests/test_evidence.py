@@ -371,3 +371,44 @@ def test_pairs_of_small_runs_leave_no_row_for_each_term(spark):
     kept.collect()
     final = kept._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "Generate" not in final  # the way by terms is left out once no run is crowded
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_best_of_videos_whatever_the_blocks_and_batches(spark, monkeypatch, many):
+    from framelight.operators import retrieval
+
+    rng = np.random.default_rng(5)
+    # few scores, so that many are equal; one long video
+    rows = [(v, i, [float(x) for x in rng.integers(-1, 2, 2)] if rng.random() > 0.1 else None, float(rng.integers(0, 3)), 0.0) for v in range(9) for i in range(60 if v == 4 else v)]
+    nodes = spark.createDataFrame(rows, "video_id long, frame_idx int, embedding array<double>, action_score double, persistence_value double").repartition(3)
+    asked = [(k, [float(x) for x in rng.normal(size=2)]) for k in range(23)]
+    queries = spark.createDataFrame(asked, "query_id long, query_embedding array<double>")
+    if many:
+        monkeypatch.setattr(retrieval, "BLOCK", 7)
+        monkeypatch.setattr(retrieval, "SLICE", 3)
+        monkeypatch.setattr(retrieval, "TILE", 5)
+        monkeypatch.setattr(retrieval, "SENT", 10)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 11 if many else 10000)
+    try:
+        found = retrieval.hybrid_retrieve(nodes, queries, 4)
+        got = sorted((r["query_id"], r["video_id"], r["rank"], r["frame_idx"]) for r in found.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    c, expected = Config(), []
+    for k, q in asked:
+        for v in range(9):
+            own = []
+            for _, i, e, action, _ in (r for r in rows if r[0] == v):
+                size = np.linalg.norm(e) * np.linalg.norm(q) if e is not None else 0
+                own.append((-round(c.alpha * (np.dot(e, q) / size if size else 0) + c.beta * action, 12), i))
+            expected += [(k, v, rank, i) for rank, (_, i) in enumerate(sorted(own)[:4], 1)]
+    assert got == sorted(expected)
+    assert "CoGroup" not in found._jdf.queryExecution().executedPlan().toString()  # which copies all queries for every video
+
+
+def test_a_query_of_one_video_meets_its_cache_alone(spark):
+    rows = spark.createDataFrame([(v, i, [1.0, float(i)], i) for v in (1, 2) for i in range(3)], "video_id long, frame_idx int, embedding array<double>, position long")
+    rows = rows.withColumns({c: F.lit(0.5) for c in cache.SIGNALS}).withColumn("admitted_at", F.lit(0)).withColumn("counter", F.lit(3))
+    asked = spark.createDataFrame([(7, 1, [0.0, 1.0]), (8, 2, [1.0, 0.0]), (9, 3, [1.0, 0.0])], "query_id long, video_id long, query_embedding array<double>")
+    found = cache.query_cache(rows, asked, 1)
+    assert sorted((r["query_id"], r["video_id"], r["frame_idx"]) for r in found.collect()) == [(7, 1, 2), (8, 2, 0)]
