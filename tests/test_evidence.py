@@ -412,3 +412,16 @@ def test_a_query_of_one_video_meets_its_cache_alone(spark):
     asked = spark.createDataFrame([(7, 1, [0.0, 1.0]), (8, 2, [1.0, 0.0]), (9, 3, [1.0, 0.0])], "query_id long, video_id long, query_embedding array<double>")
     found = cache.query_cache(rows, asked, 1)
     assert sorted((r["query_id"], r["video_id"], r["frame_idx"]) for r in found.collect()) == [(7, 1, 2), (8, 2, 0)]
+
+
+def test_two_runs_are_compared_in_one_pass(spark):
+    from framelight.operators import metrics
+
+    first = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (3, "c")], "k int, t string")
+    second = spark.createDataFrame([("a", 1), (None, 2), (None, 2), ("d", 3)], "t string, k int")
+    compared = metrics.determinism_compare(first, second.select("k", "t"))
+    assert tuple(compared.first()) == (2, 2, False)
+    assert tuple(metrics.determinism_compare(first, first.repartition(3)).first()) == (0, 0, True)
+    assert tuple(metrics.determinism_compare(first.filter("false"), first.filter("false")).first()) == (0, 0, True)
+    reads = compared._jdf.queryExecution().optimizedPlan().toString()
+    assert reads.count("LogicalRDD") + reads.count("LocalRelation") == 2  # each run is made once
