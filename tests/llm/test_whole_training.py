@@ -66,3 +66,23 @@ def test_toxicity_moves_no_text_without_a_label(spark, tmp_path):
             sent.append(node.plan().metrics().apply("shuffleRecordsWritten").value())
         nodes += [node.children().apply(k) for k in range(node.children().size())]
     assert sent and max(sent) < 400, sent  # 200 labels; before, all 3,200 texts outside the held-out fold, or a broadcast of the labels
+
+
+def test_weights_are_fitted_on_every_training_document(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from framelight.llm import context_mixing as cm
+
+    rng = random.Random(3)
+    docs = [(i, " ".join(rng.choice(CALM) for _ in range(9000 if i % 50 == 0 else 20))) for i in range(600)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = [t for i, t in docs if zlib.crc32(str(i).encode()) % cm.FOLDS != cm.HELD_OUT]
+    assert len(kept) > 500 and max(map(len, kept)) > 40_000  # fitting once stopped at 400 documents of 40,000 characters
+    given = {}
+    settle = cm.settled
+    monkeypatch.setattr(cm, "settled", lambda model, n, ones: given.update(n=n, ones=ones) or settle(model, n, ones))
+    model, _ = cm.fit(table)
+    s = cm.read(pa.array(kept))
+    *_, bits, _ = cm.decisions(cm.pairs_of(s), np.arange(len(s.data)), model[1:4])
+    assert (given["n"].sum(), given["ones"].sum()) == (len(bits), bits.sum())
