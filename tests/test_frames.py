@@ -413,3 +413,12 @@ def test_pagerank_of_cut_videos_without_convergence(spark):
     ranked = lambda found: [r["pagerank_score"] for r in found.orderBy("video_id", "frame_idx").collect()]
     assert ranked(split_rank.pagerank(nodes, rounds=2, tolerance=1e-30, size=2)) == pytest.approx(ranked(graph.pagerank(nodes, rounds=2, tolerance=1e-30)))
     assert split_rank.pagerank(nodes.limit(0)).count() == 0
+
+
+def test_a_range_of_a_cut_video_is_one_row(spark):
+    rows = [(v, i, float(i % 5), None if i == 3 else [1.0, float(i)]) for v in range(4) for i in range(10)]
+    cut = split_rank.ranges(spark.createDataFrame(rows, "video_id long, frame_idx int, action_score double, embedding array<double>").coalesce(1), 4)
+    found = cut.collect()
+    assert sorted((r["video_id"], f, s) for r in found for f, s in zip(r["frames"], r["scores"], strict=True)) == sorted((v, f, s) for v, f, s, _ in rows)
+    assert len({(r["video_id"], r["block"]) for r in found}) == len(found) < len(rows)
+    assert all(r["scores"] == sorted(r["scores"]) and len(r["frames"]) <= 4 and len(r["unit"]) == 2 * len(r["frames"]) for r in found)
